@@ -31,6 +31,11 @@ from ._shared import documents, materialize, n_words
 MOST_SOURCES = 1_000_000
 
 
+def shuffle_key(seed: int = 20) -> Column:
+    """The order of a source's queue: a hash of the row's id and text."""
+    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
+
+
 def source_totals(sized: DataFrame) -> list[tuple]:
     """(source, size, documents) by code point of the source, null last."""
     rows = sized.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
@@ -78,9 +83,7 @@ def mix(
     spark = docs.sparkSession
     clash = {"size", "source_size", "target", "row_id", "shuffle", "weight", "slices", "epoch", "finish", "position"}
     kept = [c for c in docs.columns if c not in clash]
-    # The order of a source's queue: a hash of the row's id and text, ties by them.
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
-    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), order.alias("shuffle")), "sizes")
+    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key(seed).alias("shuffle")), "sizes")
     rows = source_totals(sized)
     if not rows:
         empty = docs.select(*kept, F.lit(0).cast("long").alias("size"))

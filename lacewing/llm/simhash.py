@@ -20,6 +20,7 @@ null id; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
@@ -33,36 +34,53 @@ from .components import components
 ONE = np.uint64(1)
 
 
-def fingerprint(text: bytes, width: int) -> int:
+def _more(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of each shingle, mixed from its first."""
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: bytes, width: int, n_hashes: int = 1) -> bytes:
+    """``n_hashes`` times 64 majority bits, big-endian; zeros for a text without words."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     cut = text.lower().split()  # bytes: A-Z only, and ASCII white space
     if not cut:
-        return 0
+        return bytes(8 * n_hashes)
     joined = b" ".join(cut)
     if len(cut) <= width:
         hashes = [digest(joined, 42)]
     else:
         at = list(accumulate(map(len, cut), lambda a, n: a + n + 1, initial=0))
         hashes = [digest(joined[a : b - 1], 42) for a, b in zip(at, at[width:])]
-    held = np.array(hashes, ">u8")
-    ones = np.zeros(64, np.int64)
-    for i in range(0, held.size, 8192):
-        ones += np.unpackbits(held[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > held.size).tobytes(), "big")
-
-
-def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """doc_id and the fingerprint as a signed long, one row for each document."""
+    held, out = np.array(hashes, np.uint64), b""
+    for k in range(n_hashes):
+        h = (held if not k else _more(held, k)).astype(">u8")
+        ones = np.zeros(64, np.int64)
+        for i in range(0, h.size, 8192):
+            ones += np.unpackbits(h[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        out += np.packbits(2 * ones > h.size).tobytes()
+    return out
+
+
+def fingerprints(docs: DataFrame, width: int = 4, n_hashes: int = 1) -> DataFrame:
+    """The columns of ``docs`` but text and clashing names, and each text's fingerprint:
+    all bits as bytes (w), and as a signed long the first 64 bits (f)."""
+    rest = [c for c in docs.columns if c not in {"text", "f", "w"}]
+    kinds = {x.name: x.dataType.simpleString() for x in docs.schema}
 
     def hash_texts(batches):
         for batch in batches:
-            found = np.array([fingerprint(t, width) for t in as_bytes(batch.column("text"))], np.uint64)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "f"])
+            found = [fingerprint(t, width, n_hashes) for t in as_bytes(batch.column("text"))]
+            first = np.array([int.from_bytes(x[:8], "big", signed=True) for x in found], np.int64)
+            columns = [*(batch.column(c) for c in rest), pa.array(first), pa.array(found, pa.binary())]
+            yield pa.record_batch(columns, names=[*rest, "f", "w"])
 
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(chosen, hash_texts, "doc_id long, f long")
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "f long, w binary"])
+    return map_arrow(docs.select(*rest, "text"), hash_texts, schema)
 
 
 def unite(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
@@ -82,32 +100,42 @@ def unite(parent: np.ndarray, u: np.ndarray, v: np.ndarray) -> None:
 
 
 class _Trie:
-    """The self-join over sorted distinct keys of one rotation in one task."""
+    """The self-join of many tries in one task.
+
+    ``keys`` [n, words] are in order within each group of ``groups`` (an array of equal
+    neighbours); pairs are sought within groups, among bits from ``depth`` on. After a run
+    ``parent`` holds each key's class."""
 
-    def __init__(self, keys: np.ndarray, skip: int, budget: int, most: int = 1 << 20):
+    def __init__(self, keys: np.ndarray, groups: np.ndarray, depth: int, budget: int, most: int = 1 << 20):
         self.keys, self.budget, self.most = keys, budget, most
-        self.parent = np.arange(keys.size)
+        n, self.bits = keys.shape[0], 64 * keys.shape[1]
+        self.parent = np.arange(n)
         self.ones: dict[int, np.ndarray] = {}
-        if keys.size < 2:
+        if n < 2:
             return
-        head = keys >> np.uint64(64 - skip)
-        lo = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
-        hi = np.append(lo[1:], keys.size)
+        lo = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+        hi = np.append(lo[1:], n)
         grown = hi - lo > 1
         lo, hi = lo[grown], hi[grown]
-        stack = [(skip, lo, hi, lo, hi, np.zeros(lo.size, np.int8))]
+        stack = [(depth, lo, hi, lo, hi, np.zeros(lo.size, np.int16))]
         while stack:
             depth, *pairs = stack.pop()
             if pairs[0].size > most:
                 half = pairs[0].size // 2
                 stack += [(depth, *(x[half:] for x in pairs)), (depth, *(x[:half] for x in pairs))]
             elif pairs[0].size:
-                stack.append((depth + 1, *self.step(depth, *pairs)))
+                stack.append((depth + 1, *self.step(depth, *self.open_pairs(*pairs))))
+
+    def open_pairs(self, a, b, c, d, err):
+        """Without the node pairs whose leaves are all in one class already."""
+        changes = np.cumsum(np.concatenate([[0], self.parent[1:] != self.parent[:-1]]))
+        one = (changes[b - 1] == changes[a]) & (changes[d - 1] == changes[c]) & (self.parent[a] == self.parent[c])
+        return [x[~one] for x in (a, b, c, d, err)]
 
     def step(self, depth, a, b, c, d, err):
         """Children pairs of the node pairs [a,b) x [c,d); small pairs are settled here."""
         small = (b - a) * (d - c) <= 16
-        if depth == 64:
+        if depth == self.bits:
             small[:] = True
         if small.any():
             self.settle(a[small], b[small], c[small], d[small])
@@ -116,19 +144,14 @@ class _Trie:
         if not a.size:
             return a, b, c, d, err
         if depth not in self.ones:
-            bit = (self.keys >> np.uint64(63 - depth)) & ONE
+            self.ones.pop(depth - 64, None)
+            bit = (self.keys[:, depth // 64] >> np.uint64(63 - depth % 64)) & ONE
             self.ones[depth] = np.concatenate([[0], np.cumsum(bit.astype(np.int64))])
         ones = self.ones[depth]
         m, n = b - (ones[b] - ones[a]), d - (ones[d] - ones[c])
-        same = a == c
-        off = ~same & (err < self.budget)
-        on_diagonal = same & (err < self.budget)
-        parts = [
-            (a, m, c, n, err, np.ones(a.size, bool)),
-            (m, b, n, d, err, np.ones(a.size, bool)),
-            (a, m, n, d, err + 1, off | on_diagonal),
-            (m, b, c, n, err + 1, off),
-        ]
+        same, room = a == c, err < self.budget
+        every = np.ones(a.size, bool)
+        parts = [(a, m, c, n, err, every), (m, b, n, d, err, every), (a, m, n, d, err + 1, room), (m, b, c, n, err + 1, room & ~same)]
         out = []
         for *x, held in parts:
             held = held & (x[1] > x[0]) & (x[3] > x[2]) & ~((x[0] == x[2]) & (x[1] - x[0] < 2))
@@ -144,7 +167,10 @@ class _Trie:
             k = np.arange(row.size) - np.repeat(np.cumsum(size) - size, size)
             across = (d - c)[s][row]
             u, v = a[s][row] + k // across, c[s][row] + k % across
-            near = np.bitwise_count(self.keys[u] ^ self.keys[v]) <= self.budget
+            differ = np.zeros(u.size, np.int16)
+            for word in range(self.keys.shape[1]):
+                differ += np.bitwise_count(self.keys[u, word] ^ self.keys[v, word])
+            near = differ <= self.budget
             unite(self.parent, u[near], v[near])
 
 
@@ -172,7 +198,7 @@ def fingerprint_links(distinct: DataFrame, budget: int = 4) -> DataFrame:
         turn = table.column("turn").to_numpy()
         for k, (start, bits) in enumerate(blocks):
             keys = np.unique(_rotate(f[turn == k], start))
-            parent = _Trie(keys, bits, budget).parent
+            parent = _Trie(keys[:, None], keys >> np.uint64(64 - bits), bits, budget).parent
             linked = np.flatnonzero(parent != np.arange(keys.size))
             back = _rotate(keys, (64 - start) % 64).view(np.int64)
             if linked.size:
@@ -187,16 +213,93 @@ def fingerprint_links(distinct: DataFrame, budget: int = 4) -> DataFrame:
     return map_arrow(dealt.repartition("turn", "head").select("f", "turn"), join, "src long, dst long")
 
 
+def wide_budget(similarity: float, bits: int) -> int:
+    """Differing bits that shingle sets of this Jaccard similarity and of equal size have
+    on average."""
+    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def wide_links(distinct: DataFrame, budget: int, n_hashes: int, tables: int = 32, head_bits: int = 12, seed: int = 3) -> DataFrame:
+    """Links (src, dst) between nodes (node long, w binary) for budgets that are too large
+    for blocks that agree wholly: each of ``tables`` deals takes ``head_bits`` random bits
+    as the first levels of its tries. A pair at 15% differing bits meets in one of 32 deals
+    of 12 bits with a chance of 99%."""
+    choice = np.random.default_rng(seed)
+    heads = [np.sort(choice.choice(64 * n_hashes, head_bits, replace=False)) for _ in range(tables)]
+    weights = 1 << np.arange(head_bits)
+
+    def deal(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("w").to_pylist()), np.uint8).reshape(n, -1), axis=1)
+            for t, chosen in enumerate(heads):
+                head = (bits[:, chosen] @ weights).astype(np.int32)
+                columns = [batch.column("node"), batch.column("w"), pa.array(np.full(n, t, np.int32)), pa.array(head)]
+                yield pa.record_batch(columns, names=["node", "w", "turn", "head"])
+
+    def join(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        node = table.column("node").to_numpy()
+        group = table.column("turn").to_numpy().astype(np.int64) << 32 | table.column("head").to_numpy()
+        keys = np.frombuffer(b"".join(table.column("w").to_pylist()), ">u8").reshape(node.size, -1).astype(np.uint64)
+        order = np.lexsort((*(keys[:, k] for k in reversed(range(n_hashes))), group))
+        node, group, keys = node[order], group[order], keys[order]
+        parent = _Trie(keys, group, 0, budget).parent
+        linked = np.flatnonzero(parent != np.arange(node.size))
+        if linked.size:
+            yield pa.record_batch([pa.array(node[linked]), pa.array(node[parent[linked]])], names=["src", "dst"])
+
+    dealt = map_arrow(distinct.select("node", "w"), deal, "node long, w binary, turn int, head int")
+    return map_arrow(dealt.repartition("turn", "head"), join, "src long, dst long")
+
+
+def _classes(hashed: DataFrame, key: str, least, links) -> DataFrame:
+    """(key, component_id) from rows with a fingerprint's ``key`` (long)."""
+    grouped = materialize(hashed.groupBy(key).agg(F.min(least).alias("least"), F.min("w").alias("w")), "distinct-fingerprints")
+    roots = components(links(grouped)).withColumnRenamed("node", key)
+    rooted = grouped.join(roots, key, "left").select(key, "least", F.coalesce("component", key).alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rooted.join(named, "root").select(key, "component_id")
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
     """doc_id, f (fingerprint as a signed long) and component_id, the least doc_id reachable
     by links of at most ``budget`` differing bits, for every document."""
-    hashed = materialize(fingerprints(docs, width), "fingerprints")
-    least = materialize(hashed.groupBy("f").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(fingerprint_links(least, budget)).withColumnRenamed("node", "f")
-    rooted = least.join(roots, "f", "left").select("f", "least", F.coalesce("component", "f").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(named, "root").select("f", "component_id")
-    return hashed.join(by_print, "f").select("doc_id", "f", "component_id")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashed = materialize(fingerprints(chosen, width), "fingerprints")
+    classes = _classes(hashed, "f", "doc_id", lambda d: fingerprint_links(d, budget))
+    return hashed.join(classes, "f").select("doc_id", "f", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, n_hashes: int = 5) -> DataFrame:
+    """``docs`` with one row of each group: the least id, then the least text.
+
+    Rows are linked if their fingerprints of ``n_hashes`` times 64 bits differ in no more
+    bits than sets of ``width``-word shingles of that Jaccard similarity do on average. Texts
+    without words are linked to each other. Columns named ``near_*`` are not kept."""
+    columns = docs.columns
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("near_text"), "text")
+    hashed = fingerprints(chosen, width, n_hashes).withColumn("node", F.xxhash64("w"))
+    hashed = materialize(hashed.select("doc_id", "near_text", "w", "node"), "fingerprints")
+    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_text")
+    budget = wide_budget(similarity, 64 * n_hashes)
+    classes = _classes(hashed, "node", least, lambda d: wide_links(d, budget, n_hashes))
+    first = classes.select("component_id.doc_id", "component_id.near_text").distinct()
+    first = first.select(F.col("doc_id").alias("near_id"), F.col("near_text").alias("near_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("near_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("near_hash"))
+    kept = docs.join(first, same, "left_semi")
+    # Rows that repeat an id and its text wholly are one document.
+    return kept.select(*columns).dropDuplicates(["doc_id", "text"]) if _repeats(hashed) else kept.select(*columns)
+
+
+def _repeats(hashed: DataFrame) -> bool:
+    """Whether any id comes with the same text twice."""
+    return not hashed.groupBy("doc_id", "near_text").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

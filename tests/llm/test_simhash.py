@@ -79,10 +79,31 @@ def test_large_near_group_in_one_trie():
     rng = np.random.default_rng(9)
     f = [0x123456789ABCDEF0]
     for _ in range(3000):
-        f.append(f[0] ^ (1 << int(rng.integers(20, 64))) ^ (1 << int(rng.integers(20, 64))))
+        f.append(f[0] ^ (1 << int(rng.integers(8, 52))) ^ (1 << int(rng.integers(8, 52))))
     keys = np.unique(np.array(f, np.uint64))
-    assert (simhash._Trie(keys, 12, 4, most=4096).parent >= 0).all()
+    parent = simhash._Trie(keys[:, None], keys >> np.uint64(52), 12, 4, most=4096).parent
+    want = brute_components(400, lambda i, j: int(keys[i] ^ keys[j]).bit_count() <= 4)
+    assert (np.unique(parent).size == 1) == (len(set(want)) == 1) and (parent <= np.arange(keys.size)).all()
 
 
 def test_empty_table(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_dropping_near_copies(spark, messy, messy_rows, nothing):
+    kept = simhash.drop_near_duplicates(messy)
+    assert kept.columns == messy.columns
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    texts = [" ".join((t or "").lower().split()) for _, t in got]
+    assert len(set(texts)) == len(texts)
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    for i, a in enumerate(sets):
+        for b in sets[:i]:
+            assert len(a & b) / len(a | b) < 0.9
+    base = set(got)
+    rare = {t: i for i, t in messy_rows if t and sum(x == t for _, x in messy_rows) == 1 and "changed" not in t and len(t.split()) > 20}
+    assert sum((i, t) in base for t, i in rare.items()) >= 0.95 * len(rare)
+    assert simhash.drop_near_duplicates(nothing).count() == 0

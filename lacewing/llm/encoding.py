@@ -1,9 +1,9 @@
 """Whole-text encoding with the tokenizers library through a bounded cache of chunks.
 
-A pre-token of either vocabulary never runs across the start of a white-space run, so a
-text is cut there and each chunk is encoded on its own: the ids are those of the whole
-text. Chunks repeat far more often than texts do, hence the cache. Strings of special
-tokens in a text are ordinary text.
+A pre-token of either vocabulary never runs across the start of a white-space run or past
+the end of a run of letters, so a text is cut there and each chunk is encoded on its own:
+the ids are those of the whole text. Chunks repeat far more often than texts do, hence the
+cache. Strings of special tokens in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ from itertools import chain
 
 # The code points with the Unicode property White_Space.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_LED = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-_BARE = re.compile(f"[^{SPACE}]+")
-_ODD = re.compile("[\x1c-\x1f]")
+# Letters below U+0250. A run of them ends a pre-token unless another letter or a mark follows.
+LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_RUN = f"[{LETTERS}]++(?![^\0-\u024f])"
+_LED = re.compile(f"[{SPACE}]*{_RUN}|[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+_BARE = re.compile(f"{_RUN}|[^{SPACE}]+")
 
 
 def led_chunks(text: str) -> list[str]:
@@ -26,35 +28,36 @@ def led_chunks(text: str) -> list[str]:
 
 
 def bare_chunks(text: str) -> list[str]:
-    """Words alone; for vocabularies that drop white space. str.split also cuts at
-    U+001C to U+001F, which are not white space here."""
-    return _BARE.findall(text) if _ODD.search(text) else text.split()
+    """Words alone; for vocabularies that drop white space."""
+    return _BARE.findall(text)
 
 
 class Encoder:
     """``encode`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
-    The cache holds at most ``limit`` chunks of at most 64 characters, then starts afresh.
-    """
+    The cache has two generations of at most about ``limit`` chunks of at most 64 characters:
+    when the younger is full it becomes the older, and what is used moves back."""
 
-    def __init__(self, path: str, chunks, limit: int = 800_000):
+    def __init__(self, path: str, chunks, limit: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.chunks, self.limit, self.cache = chunks, limit, {}
+        self.chunks, self.limit, self.cache, self.older = chunks, limit, {}, {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.chunks(t) for t in texts]
         cache = self.cache
-        fresh = [c for c in set(chain.from_iterable(cut)) if c not in cache]
-        if fresh:
-            if len(cache) + len(fresh) > self.limit:
-                kept = set(chain.from_iterable(cut))
-                self.cache = cache = {c: cache[c] for c in kept if c in cache}
-            got = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            cache.update((c, array("I", e.ids).tobytes()) for c, e in zip(fresh, got))
+        missing = [c for c in set(chain.from_iterable(cut)) if c not in cache]
+        if len(cache) + len(missing) > self.limit:
+            self.older, self.cache = cache, {}
+            cache, missing = self.cache, list(set(chain.from_iterable(cut)))
+        older = self.older
+        cache.update((c, older[c]) for c in missing if c in older)
+        fresh = [c for c in missing if c not in cache]
+        got = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
+        cache.update((c, array("I", e.ids).tobytes()) for c, e in zip(fresh, got))
         found = [b"".join(map(cache.__getitem__, c)) for c in cut]
         for c in fresh:
             if len(c) > 64:

@@ -17,16 +17,24 @@ each; an empty table gives none; other columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import documents, map_arrow
-from .encoding import bare_chunks
+from .encoding import SPACE
 
 LEAD = "\u2581"
 UNKNOWN_PENALTY = 10.0
+_WORD = re.compile(f"[^{SPACE}]+")
+_ODD = re.compile("[\x1c-\x1f]")
+
+
+def split(text: str) -> list[str]:
+    """str.split also cuts at U+001C to U+001F, which are not white space here."""
+    return _WORD.findall(text) if _ODD.search(text) else text.split()
 
 
 def unigram_vocabulary(path: str) -> list[tuple[str, float]]:
@@ -118,7 +126,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
         for batch in batches:
             n_words, n_tokens, n_unknown = [], [], []
             for text in batch.column("text").to_pylist():
-                cut = bare_chunks(text or "")
+                cut = split(text or "")
                 pairs = [counter[w] for w in cut]
                 n_words.append(len(cut))
                 n_tokens.append(sum(p[0] for p in pairs))

@@ -91,7 +91,11 @@ def test_token_files_round_trip(spark, messy, messy_rows, rows_of):
     out = shared_path(spark, "test-files")
     manifest = token_files.write_token_files(messy, out, P.path("word_bpe_49k.json"), 1, 32, 4, ranges=3)
     got = token_files.read_token_files(spark, manifest, out)
-    rows = sorted(messy_rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    import xxhash
+
+    signed = lambda x: x - (x >> 63 << 64)
+    digest = lambda t: 42 if t is None else signed(xxhash.xxh64_intdigest(t.encode(), 42))  # noqa: E731  Spark's hash of a null is the seed
+    rows = sorted(messy_rows, key=lambda r: (r[0] is not None, r[0] or 0, digest(r[1])))
     at, want = 0, []
     for i, s in rows:
         ids = [*encode(s), 1]
@@ -117,3 +121,22 @@ def test_empty_tables(spark, nothing):
     out = shared_path(spark, "test-none")
     manifest = token_files.write_token_files(nothing, out, P.path("word_bpe_49k.json"))
     assert token_files.read_token_files(spark, manifest, out).count() == 0
+
+
+def test_chunks_are_encoded_as_the_whole_text():
+    import random
+
+    from lacewing.llm.encoding import Encoder, bare_chunks, led_chunks
+
+    rng = random.Random(4)
+    parts = ["don't", "co-op", "caf\u0065\u0301", "a\u0301b", "stra\u00dfe", "\u0416\u0436x", "x\u0416", "\u6f22\u5b57", "12a3", "'s", "'", "a's", "...", "a.b,c", "!!\x1c!",
+             " ", "  ", "\n", "\t\n ", "\xa0", "\u3000", "\u200b", "\U0001f642", "%%%", "I'LL", "\u0130\u03a3", "\u1e9e", "<|endoftext|>", "\u00aa1", "\u00b2", "\u0345"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
+    for name, chunks in (("byte_bpe_50k.json", led_chunks), ("word_bpe_49k.json", bare_chunks)):
+        whole = library(name)
+        got = Encoder(P.path(name), chunks, limit=500).encode(texts)
+        again = Encoder(P.path(name), chunks, limit=500)
+        pieces_ = [x for i in range(0, 3000, 100) for x in again.encode(texts[i : i + 100])]
+        for t, b, c in zip(texts, got, pieces_):
+            assert np.frombuffer(b, "<u4").tolist() == whole(t), repr(t)
+            assert b == c

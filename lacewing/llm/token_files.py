@@ -10,7 +10,7 @@ writer holds one batch of sequences at a time. A retried task writes under a new
 the names in the manifest, a table of one row for each range, count.
 
 Defined cases: a null text is empty (the end id alone); null ids come first; repeated ids
-are ordered by text; an empty table gives a manifest without rows; other columns are
+are ordered by a hash of the text; an empty table gives a manifest without rows; other columns are
 ignored.
 """
 
@@ -128,8 +128,8 @@ def write_token_files(
 
     dealt = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(ranges or partitions(docs.sparkSession), "doc_id", "text")
-        .sortWithinPartitions("doc_id", "text")
+        .repartitionByRange(ranges or partitions(docs.sparkSession), "doc_id", F.xxhash64("text"))
+        .sortWithinPartitions("doc_id", F.xxhash64("text"))
     )
     return materialize(map_arrow(dealt, write, MANIFEST), "token-manifest")
 

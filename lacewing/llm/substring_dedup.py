@@ -34,25 +34,8 @@ ROWS = 2
 SLICES = 64
 #: Odd, so that powers have inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_M = (1 << 64) - 1
-CHUNK = 4_000_000  # windows that a task holds at once
-
-
-class _WordHash(dict):
-    """XXH64 of a word; at most a million short words are kept."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        h = xxhash.xxh64_intdigest(word, 7)
-        if len(word) <= 48:
-            if len(self) >= 1_000_000:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_WORDS = _WordHash()
+WORD_BASE = 0xD6E8FEB86659FD93
+CHARS = 2_000_000  # bytes of text that a task holds at once, or one text if longer
 
 
 def _mix(x: np.ndarray, by: int) -> np.ndarray:
@@ -70,38 +53,68 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+_KEPT: dict[int, np.ndarray] = {}
+
+
+def _kept_powers(base: int, n: int) -> np.ndarray:
+    """Kept from chunk to chunk, up to a chunk's usual size."""
+    if base not in _KEPT or _KEPT[base].size < n:
+        if n > 2 * CHARS:
+            return _powers(base, n)
+        _KEPT[base] = _powers(base, n + n // 4)
+    return _KEPT[base][:n]
+
+
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Polynomial hash, modulo 2**64, of values[start:end] for each span, the same wherever
+    the span lies."""
+    up = _kept_powers(base, values.size + 1)
+    down = _kept_powers(pow(base, -1, 1 << 64), values.size + 1)
+    sums = np.zeros(values.size + 1, np.uint64)
+    np.cumsum(values * up[:-1], out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * down[starts], base)
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
 def window_hashes(texts: list[bytes], width: int):
     """For the windows of all texts in order: two 64-bit hashes, the text's index, and the
     window's first word; and the number of words of each text."""
-    cut = [t.split() for t in texts]
-    n = np.array([len(c) for c in cut], np.int64)
-    total = int(n.sum())
-    get = _WORDS.__getitem__
-    h = np.fromiter((get(w) for c in cut for w in c), np.uint64, total)
+    raw = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
+    inside = ~_SPACE[raw]
+    turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    starts, ends = turn[::2], turn[1::2]
+    h = _spans(raw.astype(np.uint64) + np.uint64(1), starts, ends, WORD_BASE)
+    edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    n = np.diff(np.searchsorted(starts, edges))
     firsts = np.cumsum(n) - n
     many = np.maximum(n - width + 1, 0)
     text = np.repeat(np.arange(n.size), many)
     word = np.arange(text.size) - np.repeat(np.cumsum(many) - many, many)
     at = firsts[text] + word
-    found = []
-    for base in BASES:
-        down = _powers(pow(base, -1, 1 << 64), total)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down, dtype=np.uint64)])
-        found.append(_mix((sums[at + width] - sums[at]) * _powers(base, total)[at], base & _M))
-        del down, sums
-    return found[0], found[1], text, word, n
+    h1, h2 = (_spans(h, at, at + width, base) for base in BASES)
+    return h1, h2, text, word, n
 
 
-def _chunks(batches, width: int, chars: int = 24_000_000):
-    """Batches joined or cut into lists of rows of about CHUNK windows."""
-    keys, texts, held = [], [], 0
+def _parts(batches, rows: int = 256):
+    """Batches in parts of a few rows, so that few texts are Python objects at once."""
     for batch in batches:
-        key = [batch.column(i).to_pylist() for i in range(batch.num_columns - 1)]
-        for *k, t in zip(*key, as_bytes(batch.column(batch.num_columns - 1))):
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def _chunks(batches, width: int):
+    """Lists of rows of about CHARS bytes of text."""
+    keys, texts, held = [], [], 0
+    for part in _parts(batches):
+        key = [part.column(i).to_pylist() for i in range(part.num_columns - 1)]
+        for *k, t in zip(*key, as_bytes(part.column(part.num_columns - 1))):
             keys.append(k)
             texts.append(t)
             held += len(t)
-            if held >= chars:
+            if held >= CHARS:
                 yield keys, texts
                 keys, texts, held = [], [], 0
     if texts:
@@ -292,34 +305,52 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, most_bits: int = 29) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, most_bits: int = 29, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words joined by one space; the text
     itself, null included, where no word goes) of every document, and its other columns
-    that have other names."""
-    added = {"n_words": "long", "n_removed": "long", "kept": "string"}
-    rest = [c for c in docs.columns if c not in {*added, "text", "key1", "key2", "marks"}]
+    that have other names. With ``digest``, kept_sha256 instead of kept: of the kept words
+    joined by one space, whether or not any word goes."""
+    added = {"n_words": "long", "n_removed": "long", "kept_sha256" if digest else "kept": "string"}
+    rest = [c for c in docs.columns if c not in {*added, "text", "key1", "key2", "marks", "n_bytes"}]
     marks = repeated_windows(docs, width, most_bits).groupBy("key1", "key2").agg(F.collect_list(F.struct("n", "at")).alias("marks"))
-    joined = _keyed(docs).select("key1", "key2", *rest, "text").join(marks, ["key1", "key2"], "left").select(*rest, "text", "marks")
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest), *(f"{k} {v}" for k, v in added.items())])
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
+    kinds = f"{kinds}, " if rest else ""
+    schema = kinds + ", ".join(f"{k} {v}" for k, v in added.items())
+
+    def fold(batches):
+        """Texts compressed for the shuffle."""
+        for batch in _parts(batches):
+            names = ["key1", "key2", *rest]
+            raw = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
+            sizes = [None if t is None else len(t) for t in raw]
+            new = [pa.array(sizes, pa.int64()), pa.array([t and _pack(np.frombuffer(t, np.uint8)) for t in raw], pa.binary())]
+            yield pa.record_batch([*(batch.column(c) for c in names), *new], names=[*names, "n_bytes", "text"])
+
+    folded = map_arrow(_keyed(docs).select("key1", "key2", *rest, "text"), fold, f"key1 long, key2 long, {kinds}n_bytes long, text binary")
+    joined = folded.join(marks, ["key1", "key2"], "left").select(*rest, "n_bytes", "text", "marks")
 
     def cover(batches):
-        for batch in batches:
-            texts, marked = batch.column("text").to_pylist(), batch.column("marks").to_pylist()
+        for batch in _parts(batches):
+            sizes, marked = batch.column("n_bytes").to_pylist(), batch.column("marks").to_pylist()
             n_words, n_removed, kept = [], [], []
-            for text, marks in zip(texts, marked):
-                cut = (text or "").encode().split()
+            for blob, size, marks in zip(batch.column("text").to_pylist(), sizes, marked):
+                raw = _unpack(blob, np.uint8, size).tobytes() if size else b""
+                text = None if size is None or digest else raw.decode()
+                cut = raw.split()
                 n_words.append(len(cut))
+                left = cut
                 if marks:
                     at = np.concatenate([_positions(m["n"], m["at"]) for m in marks]).astype(np.int64)
                     edge = np.zeros(len(cut) + 1, np.int64)
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + width, -1)
                     stay = np.cumsum(edge[:-1]) == 0
-                    text = b" ".join([w for w, s in zip(cut, stay.tolist()) if s]).decode()
+                    left = [w for w, s in zip(cut, stay.tolist()) if s]
+                    text = None if digest else b" ".join(left).decode()
                     n_removed.append(int(stay.size - stay.sum()))
                 else:
                     n_removed.append(0)
-                kept.append(text)
+                kept.append(hashlib.sha256(b" ".join(left)).hexdigest() if digest else text)
             new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.record_batch([*(batch.column(c) for c in rest), *new], names=[*rest, *added])
 
@@ -327,14 +358,4 @@ def remove_repeats(docs: DataFrame, width: int = 35, most_bits: int = 29) -> Dat
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of what is kept is of its words joined by one space, whether or not any
-    word goes."""
-    found = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
-
-    def digest(batches):
-        for batch in batches:
-            sums = [hashlib.sha256(b" ".join(t.split())).hexdigest() for t in as_bytes(batch.column("kept"))]
-            columns = [batch.column(c) for c in ("doc_id", "n_words", "n_removed")]
-            yield pa.record_batch([*columns, pa.array(sums, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return map_arrow(found, digest, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), digest=True)

@@ -37,11 +37,11 @@ def shuffle_key(seed: int = 20) -> Column:
 
 
 def source_totals(sized: DataFrame) -> list[tuple]:
-    """(source, size, documents) by code point of the source, null last."""
-    rows = sized.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()
+    """(source, size, documents, largest document) by code point of the source, null last."""
+    rows = sized.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("n"), F.max("size").alias("most")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    return sorted(((r["source"], r["total"] or 0, r["n"]) for r in rows), key=lambda r: (r[0] is None, r[0] or ""))
+    return sorted(((r["source"], r["total"] or 0, r["n"], r["most"] or 0) for r in rows), key=lambda r: (r[0] is None, r[0] or ""))
 
 
 def targets(sizes: list[int], weights: list[float], budget: float, most_epochs: float = 3) -> list[float]:
@@ -92,7 +92,7 @@ def mix(
     w = weights(sizes)
     total = float(sum(sizes)) if budget is None else float(budget)
     goal = targets(sizes, w, total, most_epochs)
-    listed = [(*r, float(x), g, max(1, -(-r[2] // documents_per_slice))) for r, x, g in zip(rows, w, goal)]
+    listed = [(*r[:3], float(x), g, max(1, -(-r[2] // documents_per_slice))) for r, x, g in zip(rows, w, goal)]
     sources = spark.createDataFrame(listed, "source string, source_size long, n long, weight double, target double, slices int").drop("n")
     same = lambda a: F.broadcast(a)  # noqa: E731  at most MOST_SOURCES rows
     small = same(sources.withColumnRenamed("source", "of_source")) if len(rows) <= 10_000 else sources.withColumnRenamed("source", "of_source")
@@ -113,15 +113,17 @@ def mix(
     offers = placed.select("doc_id", "source", "size", "shuffle", "source_size", "target", "weight", "served", epochs.alias("epoch"))
     finish = (F.col("served") + F.col("epoch") * F.col("source_size")) / F.col("weight")
     offers = offers.withColumn("finish", finish.cast("double"))
-    # No offer that finishes after every source with room has met its target twice over can
-    # be in the mix; the exact cut-off is by the summed order below.
+    # By the time at which the targets are met, each source has served its target but for
+    # the document in service; a largest document later the budget is spent, so that no
+    # later offer can be in the mix. The exact cut-off is by the summed order below.
     meet = max((g / x for g, x in zip(goal, w) if g > 0), default=0.0)
+    spent = meet + max(r[3] / x for r, x in zip(rows, w))
+    offers = offers.where(F.col("finish") <= spent * (1 + 1e-9))
     n_offers = most_epochs * sum(r[2] for r in rows)
     ranges = max(1, int(-(-n_offers // documents_per_slice)))
-    longest = max((most_epochs * s / x for s, x in zip(sizes, w)), default=0.0)
     wide = max(meet, 1e-9) / ranges
     by_time = F.when(F.col("finish") <= meet, F.floor(F.col("finish") / wide)).otherwise(
-        F.lit(ranges) + F.floor((F.col("finish") - meet) / max(1e-9, (longest - meet) / ranges))
+        F.lit(ranges) + F.floor((F.col("finish") - meet) / wide)
     )
     offers = materialize(offers.withColumn("range", by_time.cast("long")), "offers")
     by_range = offers.groupBy("range").agg(F.sum("size").alias("n"))

@@ -72,7 +72,7 @@ def encoder(path: str, chunks) -> Encoder:
     """One encoder for each vocabulary and Python worker, kept from task to task."""
     key = (path, chunks.__name__)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, chunks)
+        _ENCODERS[key] = Encoder(path, chunks, 200_000 if chunks is led_chunks else 400_000)
     return _ENCODERS[key]
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, map_arrow, materialize
+from ._shared import documents, map_arrow, materialize, parts
 from .encoding import encoder, led_chunks, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 204
     def cut(batches):
         code = encoder(tokenizer, led_chunks)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in parts(batches, 512):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = batch.column("doc_id").to_pylist()
             rows = []

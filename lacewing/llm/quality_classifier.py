@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, documents, id_remainder, map_arrow
+from ._shared import as_bytes, documents, id_remainder, map_arrow, parts
 
 HASHED = 1024
 EXTRA = 7
@@ -142,7 +142,7 @@ def fit(p: np.ndarray, u: np.ndarray, seed: int = 5) -> tuple[Linear, float]:
     if not len(p) or not len(u):
         return Linear(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0), 0.5
     mean, scale = u.mean(0, dtype=np.float64), u.std(0, dtype=np.float64) + 0.01
-    p, u = (p - mean) / scale, (u - mean) / scale
+    p, u = (((x - mean.astype(np.float32)) / scale.astype(np.float32)).astype(np.float32) for x in (p, u))
 
     def against(zp, zu):
         return -(1 - _sigmoid(zp)) / zp.size, _sigmoid(zu) / zu.size
@@ -180,18 +180,17 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8192) -> tuple[Li
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, F.col("doc_id") == F.col("sample_id"))
 
     def compute(batches):
-        for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            for i in range(0, len(texts), 500):
-                x = features(texts[i : i + 500])
-                part = batch.slice(i, 500)
-                blobs = pa.array([r.tobytes() for r in x], pa.binary())
-                yield pa.record_batch([part.column("sample_id"), part.column("sample_kind"), blobs], names=["id", "kind", "x"])
+        for part in parts(batches):
+            x = features(as_bytes(part.column("text")))
+            blobs = pa.array([r.tobytes() for r in x], pa.binary())
+            yield pa.record_batch([part.column("sample_id"), part.column("sample_kind"), blobs], names=["id", "kind", "x"])
 
     found = map_arrow(rows.select("sample_id", "sample_kind", "text"), compute, "id long, kind string, x binary")
-    found = sorted((tuple(r) for r in found.collect()), key=lambda r: (r[1], r[0], bytes(r[2])))[: 4 * most_rows]
-    table = lambda kind: np.array([np.frombuffer(r[2], np.float32) for r in found if r[1] == kind]).reshape(-1, WIDTH)
-    return fit(table("p"), table("u"))
+    found = found.toArrow().sort_by([("kind", "ascending"), ("id", "ascending"), ("x", "ascending")])
+    n_p = found.column("kind").to_pylist().count("p")
+    flat = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
+    del found
+    return fit(flat[:n_p], flat[n_p:])
 
 
 def score(docs: DataFrame, model: Linear, threshold: float = THRESHOLD) -> DataFrame:
@@ -200,9 +199,8 @@ def score(docs: DataFrame, model: Linear, threshold: float = THRESHOLD) -> DataF
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
 
     def compute(batches):
-        for batch in batches:
-            texts = as_bytes(batch.column("text"))
-            s = np.concatenate([np.zeros(0), *(model.scores(features(texts[i : i + 500])) for i in range(0, len(texts), 500))])
+        for batch in parts(batches):
+            s = model.scores(features(as_bytes(batch.column("text"))))
             new = [pa.array(s), pa.array((s >= threshold).astype(np.int32))]
             yield pa.record_batch([*(batch.column(c) for c in rest), *new], names=[*rest, "score", "predicted"])
 

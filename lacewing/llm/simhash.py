@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, documents, map_arrow, materialize
+from ._shared import as_bytes, documents, map_arrow, materialize, parts
 from .components import components
 
 ONE = np.uint64(1)
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int = 4, n_hashes: int = 1) -> DataFram
     kinds = {x.name: x.dataType.simpleString() for x in docs.schema}
 
     def hash_texts(batches):
-        for batch in batches:
+        for batch in parts(batches):
             found = [fingerprint(t, width, n_hashes) for t in as_bytes(batch.column("text"))]
             first = np.array([int.from_bytes(x[:8], "big", signed=True) for x in found], np.int64)
             columns = [*(batch.column(c) for c in rest), pa.array(first), pa.array(found, pa.binary())]

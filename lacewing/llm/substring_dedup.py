@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, documents, map_arrow, partitions
+from ._shared import as_bytes, documents, map_arrow, partitions, parts
 
 ROWS = 2
 SLICES = 64
@@ -98,17 +98,10 @@ def window_hashes(texts: list[bytes], width: int):
     return h1, h2, text, word, n
 
 
-def _parts(batches, rows: int = 256):
-    """Batches in parts of a few rows, so that few texts are Python objects at once."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
-
-
 def _chunks(batches, width: int):
     """Lists of rows of about CHARS bytes of text."""
     keys, texts, held = [], [], 0
-    for part in _parts(batches):
+    for part in parts(batches):
         key = [part.column(i).to_pylist() for i in range(part.num_columns - 1)]
         for *k, t in zip(*key, as_bytes(part.column(part.num_columns - 1))):
             keys.append(k)
@@ -319,7 +312,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, most_bits: int = 29, digest
 
     def fold(batches):
         """Texts compressed for the shuffle."""
-        for batch in _parts(batches):
+        for batch in parts(batches):
             names = ["key1", "key2", *rest]
             raw = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
             sizes = [None if t is None else len(t) for t in raw]
@@ -330,7 +323,7 @@ def remove_repeats(docs: DataFrame, width: int = 35, most_bits: int = 29, digest
     joined = folded.join(marks, ["key1", "key2"], "left").select(*rest, "n_bytes", "text", "marks")
 
     def cover(batches):
-        for batch in _parts(batches):
+        for batch in parts(batches):
             sizes, marked = batch.column("n_bytes").to_pylist(), batch.column("marks").to_pylist()
             n_words, n_removed, kept = [], [], []
             for blob, size, marks in zip(batch.column("text").to_pylist(), sizes, marked):

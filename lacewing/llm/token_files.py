@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, map_arrow, materialize, partitions, shared_path
+from ._shared import documents, map_arrow, materialize, partitions, parts, shared_path
 from .encoding import bare_chunks, encoder, slices
 
 MANIFEST = "part int, file string, docs_file string, n_docs long, n_tokens long"
@@ -97,7 +97,7 @@ def write_token_files(
         doc_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         doc_sink = doc_writer = None
         n_docs = at = 0
-        for batch in batches:
+        for batch in parts(batches, 512):
             if writer is None and batch.num_rows:
                 sink = system.open_output_stream(f"{name}.arrow")
                 writer = SequenceWriter(sink, sequence_length, sequences_per_batch, kind)

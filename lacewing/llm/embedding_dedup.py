@@ -47,7 +47,7 @@ def plan(n: int, dim: int) -> tuple[int, int]:
 
 
 def _width(dim: int) -> int:
-    return 1 << max(1, (dim - 1).bit_length())
+    return 1 << max(2, (dim - 1).bit_length())
 
 
 def _hadamard(x: np.ndarray) -> np.ndarray:

@@ -104,7 +104,7 @@ def mix(
     queue = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     before = before.select("source", "slice", F.coalesce(F.sum("slice_size").over(queue), F.lit(0)).alias("before"))
     before = before.withColumnsRenamed({"source": "s_source", "slice": "s_slice"})
-    within = W.partitionBy("source", "slice").orderBy("shuffle", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("source", "slice").orderBy(F.shiftrightunsigned("shuffle", 1), "shuffle", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     summed = sliced.withColumn("within", F.sum("size").over(within))
     placed = summed.join(
         before, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("slice") == F.col("s_slice"))

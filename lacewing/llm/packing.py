@@ -37,7 +37,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 204
     def cut(batches):
         code = encoder(tokenizer, led_chunks)
         end = np.array([end_id], "<u4").tobytes()
-        for batch in parts(batches, 512):
+        for batch in parts(batches, 1200):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = batch.column("doc_id").to_pylist()
             rows = []

@@ -97,7 +97,7 @@ def write_token_files(
         doc_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         doc_sink = doc_writer = None
         n_docs = at = 0
-        for batch in parts(batches, 512):
+        for batch in parts(batches, 1200):
             if writer is None and batch.num_rows:
                 sink = system.open_output_stream(f"{name}.arrow")
                 writer = SequenceWriter(sink, sequence_length, sequences_per_batch, kind)

@@ -21,7 +21,7 @@ def test_mix_meets_targets_and_reruns_agree(spark, messy):
     key = lambda r: (r.position, r.epoch, str(r.source), str(r.doc_id))
     assert sorted(map(key, rows)) == sorted(map(key, again.select(*taken.columns).collect()))
     goal = {r.source: r.target for r in known.select("source", "target").distinct().collect()}
-    got, largest = defaultdict(int), max(r.size for r in rows)
+    got, largest = defaultdict(int), known.agg(F.max("size")).first()[0]
     for r in rows:
         got[r.source] += r.size
     total = known.agg(F.sum("size")).first()[0]

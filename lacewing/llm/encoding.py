@@ -68,11 +68,11 @@ class Encoder:
 _ENCODERS: dict = {}
 
 
-def encoder(path: str, chunks) -> Encoder:
+def encoder(path: str, chunks, limit: int = 400_000) -> Encoder:
     """One encoder for each vocabulary and Python worker, kept from task to task."""
-    key = (path, chunks.__name__)
+    key = (path, chunks.__name__, limit)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, chunks, 200_000 if chunks is led_chunks else 400_000)
+        _ENCODERS[key] = Encoder(path, chunks, limit)
     return _ENCODERS[key]
 
 

@@ -30,12 +30,13 @@ from .encoding import encoder, led_chunks, slices
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, cache: int = 400_000) -> DataFrame:
     """The pieces of every document: whole if it fits, else cut from its end into pieces of
-    ``capacity`` ids, so that only the first is shorter."""
+    ``capacity`` ids, so that only the first is shorter. ``cache`` bounds the encoder's
+    memory and changes no result."""
 
     def cut(batches):
-        code = encoder(tokenizer, led_chunks)
+        code = encoder(tokenizer, led_chunks, cache)
         end = np.array([end_id], "<u4").tobytes()
         for batch in parts(batches, 1200):
             texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -142,8 +143,8 @@ def pack(
     return map_arrow(dealt, place, f"{PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, **limits) -> DataFrame:
-    return pack(materialize(pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity, **limits)
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, cache: int = 400_000, **limits) -> DataFrame:
+    return pack(materialize(pieces(docs, tokenizer, end_id, capacity, cache), "pieces"), capacity, **limits)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,3 +255,28 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, chunk_rows: int = 4096
 
 def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: Every pair's cosine, and the least id handed along links until nothing changes.
+OP5_SQL = r"""
+WITH RECURSIVE read AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_id, vec_id, embedding::DOUBLE[] AS x FROM embeddings
+), sound AS MATERIALIZED (
+  SELECT row_id, vec_id, x FROM read
+  WHERE len(x) > 0 AND len(list_filter(x, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(x, lambda v: v <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.row_id AS a, b.row_id AS b FROM sound a JOIN sound b ON a.row_id <> b.row_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.95
+), reached(a, b) AS (
+  SELECT row_id, row_id FROM sound
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), classes AS (
+  SELECT r.a AS row_id, min(s.vec_id) AS component_id FROM reached r JOIN sound s ON s.row_id = r.b GROUP BY r.a
+), counts AS (
+  SELECT a AS row_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id,
+       coalesce(component_id, vec_id) IS NOT DISTINCT FROM vec_id AS kept
+FROM read LEFT JOIN classes USING (row_id) LEFT JOIN counts USING (row_id)
+"""

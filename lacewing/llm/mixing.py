@@ -32,8 +32,9 @@ MOST_SOURCES = 1_000_000
 
 
 def shuffle_key(seed: int = 20) -> Column:
-    """The order of a source's queue: a hash of the row's id and text."""
-    return F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
+    """The order of a source's queue: 60 bits of a hash of the row's id and text."""
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    return F.conv(F.substring(hashed, 1, 15), 16, 10).cast("long")
 
 
 def source_totals(sized: DataFrame) -> list[tuple]:
@@ -83,7 +84,11 @@ def mix(
     spark = docs.sparkSession
     clash = {"size", "source_size", "target", "row_id", "shuffle", "weight", "slices", "epoch", "finish", "position"}
     kept = [c for c in docs.columns if c not in clash]
-    sized = materialize(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key(seed).alias("shuffle")), "sizes")
+    # Written, a row's id is the same wherever it is read, and tells copies apart.
+    row_id = F.monotonically_increasing_id().alias("row_id")
+    sized = materialize(
+        docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key(seed).alias("shuffle"), row_id), "sizes"
+    )
     rows = source_totals(sized)
     if not rows:
         empty = docs.select(*kept, F.lit(0).cast("long").alias("size"))
@@ -98,19 +103,19 @@ def mix(
     small = same(sources.withColumnRenamed("source", "of_source")) if len(rows) <= 10_000 else sources.withColumnRenamed("source", "of_source")
     known = sized.join(small, F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
 
-    unit = F.shiftrightunsigned(F.col("shuffle"), 11) / F.lit(float(1 << 53))
+    unit = F.shiftright(F.col("shuffle"), 7) / F.lit(float(1 << 53))
     sliced = known.withColumn("slice", F.floor(unit * F.col("slices")).cast("int"))
     before = sliced.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"), F.first("slices").alias("slices"))
     queue = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     before = before.select("source", "slice", F.coalesce(F.sum("slice_size").over(queue), F.lit(0)).alias("before"))
     before = before.withColumnsRenamed({"source": "s_source", "slice": "s_slice"})
-    within = W.partitionBy("source", "slice").orderBy(F.shiftrightunsigned("shuffle", 1), "shuffle", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    within = W.partitionBy("source", "slice").orderBy("shuffle", "doc_id", "row_id").rowsBetween(W.unboundedPreceding, 0)
     summed = sliced.withColumn("within", F.sum("size").over(within))
     placed = summed.join(
         before, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("slice") == F.col("s_slice"))
     ).withColumn("served", F.col("before") + F.col("within"))
     epochs = F.explode(F.sequence(F.lit(0), F.lit(most_epochs - 1)))
-    offers = placed.select("doc_id", "source", "size", "shuffle", "source_size", "target", "weight", "served", epochs.alias("epoch"))
+    offers = placed.select("row_id", "doc_id", "source", "size", "shuffle", "source_size", "target", "weight", "served", epochs.alias("epoch"))
     finish = (F.col("served") + F.col("epoch") * F.col("source_size")) / F.col("weight")
     offers = offers.withColumn("finish", finish.cast("double"))
     # By the time at which the targets are met, each source has served its target but for
@@ -132,19 +137,76 @@ def mix(
     by_range = by_range.select("range", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("range_before")).where(
         F.col("range_before") <= total
     )
-    in_range = W.partitionBy("range").orderBy("finish", "source", "epoch", "shuffle", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    in_range = W.partitionBy("range").orderBy("finish", "source", "epoch", "shuffle", "doc_id", "row_id").rowsBetween(W.unboundedPreceding, 0)
     taken = offers.join(by_range, "range").withColumn("end", F.col("range_before") + F.sum("size").over(in_range))
     taken = materialize(taken.where(F.col("end") <= total).withColumn("position", F.col("end") - F.col("size")), "taken")
     return taken, known
 
 
+def repeats(taken: DataFrame, known: DataFrame) -> tuple[DataFrame, list]:
+    """How often the mix takes rows of one (doc_id, shuffle, source): ``times`` for each of
+    its copies. The copies of a document follow each other in their queue, so the cut-off
+    leaves at most one such group of a source with some copies taken once more than others:
+    these are the second result, (doc_id, shuffle, source, more)."""
+    key = ["doc_id", "shuffle", "source"]
+    copies = known.groupBy(*key).agg(F.count("*").alias("copies"))
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col(f"t_{c}"))
+    total = taken.groupBy(*(F.col(c).alias(f"t_{c}") for c in key)).agg(F.count("*").alias("n"))
+    both = materialize(copies.join(total, same).select(*key, "n", "copies"), "repeats")
+    uneven = both.where("n % copies > 0").select(*key, (F.col("n") % F.col("copies")).cast("long").alias("more")).collect()
+    return both.select(*key, F.expr("n div copies").alias("times")), uneven
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated rows of one id share a row of the sum, divided among them, were there any;
-    ids are unique in ``documents``."""
+    """Every row of ``documents`` with what the mix takes of it, repeated rows each their own."""
     taken, known = mix(documents(spark, sf_dir))
-    by_doc = taken.groupBy("doc_id", "shuffle").agg(F.sum("size").alias("taken"))
-    by_doc = by_doc.withColumnsRenamed({"doc_id": "t_id", "shuffle": "t_shuffle"})
-    same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (F.col("shuffle") == F.col("t_shuffle"))
-    return known.join(by_doc, same, "left").select(
+    by_row = taken.groupBy(F.col("row_id").alias("t_row")).agg(F.sum("size").alias("taken"))
+    return known.join(by_row, F.col("row_id") == F.col("t_row"), "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
+
+
+#: The same mix as one sorted table: sources capped in the order of their size by weight,
+#: queues and the order of finish times by window sums.
+OP2_SQL = r"""
+WITH sized AS (
+  SELECT row_number() OVER () AS row_id, doc_id, source,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('20|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS shuffle
+  FROM documents
+), totals AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+  FROM sized GROUP BY source
+), filled AS (
+  SELECT *, sum(source_size) OVER () AS total,
+         sum(source_size) OVER () - coalesce(3 * sum(source_size) OVER (
+           ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining,
+         sum(weight) OVER (ORDER BY source_size / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_weight
+  FROM totals
+), capped AS (
+  SELECT *, remaining * weight > 3 * source_size * open_weight AS full_up FROM filled
+), aims AS (
+  SELECT source, source_size, weight, total,
+         CASE WHEN full_up THEN (3 * source_size)::DOUBLE
+              ELSE (total - coalesce(sum(3 * source_size) FILTER (full_up) OVER (), 0))::DOUBLE * weight
+                   / sum(weight) FILTER (NOT full_up) OVER () END AS target
+  FROM capped
+), queued AS (
+  SELECT z.row_id, z.doc_id, z.source, z.size, z.shuffle, a.source_size, a.weight, a.total, a.target,
+         sum(z.size) OVER (PARTITION BY z.source ORDER BY z.shuffle, z.doc_id NULLS FIRST, z.row_id ROWS UNBOUNDED PRECEDING) AS served
+  FROM sized z JOIN aims a ON z.source IS NOT DISTINCT FROM a.source
+), offers AS (
+  SELECT *, (served + epoch * source_size)::DOUBLE / weight::DOUBLE AS finish
+  FROM queued, (SELECT unnest([0, 1, 2]) AS epoch)
+), ordered AS (
+  SELECT row_id, size, total, sum(size) OVER (
+    ORDER BY finish, source NULLS FIRST, epoch, shuffle, doc_id NULLS FIRST, row_id ROWS UNBOUNDED PRECEDING) AS until
+  FROM offers
+), mixed AS (
+  SELECT row_id, sum(size) AS taken FROM ordered WHERE until <= total GROUP BY row_id
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+FROM queued LEFT JOIN mixed USING (row_id)
+"""

@@ -8,6 +8,7 @@ similarity of 0.8; repeated windows of 35 words; a source's weight is its size t
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import mixing, packing, quality_classifier, simhash, substring_dedup
@@ -44,12 +45,20 @@ def powers(sizes: list[int]) -> list[float]:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix; one that is taken in several epochs comes as often."""
     docs = docs.select(*COLUMNS)
-    taken, _ = mixing.mix(docs, weights=powers, most_epochs=3)
-    times = taken.groupBy("doc_id", "shuffle").agg(F.count("*").alias("times"))
-    times = times.select(F.col("doc_id").alias("t_id"), F.col("shuffle").alias("t_shuffle"), "times")
-    same = F.col("doc_id").eqNullSafe(F.col("t_id")) & (mixing.shuffle_key() == F.col("t_shuffle"))
-    again = docs.join(times, same).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times"))))
-    return again.select(*COLUMNS)
+    taken, known = mixing.mix(docs, weights=powers, most_epochs=3)
+    times, uneven = mixing.repeats(taken, known)
+    times = times.select(*(F.col(c).alias(f"t_{c}") for c in ("doc_id", "shuffle", "source")), "times")
+    keyed = docs.withColumn("shuffle", mixing.shuffle_key())
+    same = F.col("shuffle") == F.col("t_shuffle")
+    for c in ("doc_id", "source"):
+        same = same & F.col(c).eqNullSafe(F.col(f"t_{c}"))
+    again = keyed.join(times.where("times > 0"), same).withColumn("again", F.explode(F.sequence(F.lit(1), F.col("times").cast("long"))))
+    out = again.select(*COLUMNS)
+    if uneven:  # at most one group of copies of each source
+        few = F.broadcast(spark.createDataFrame([tuple(r) for r in uneven], "t_doc_id long, t_shuffle long, t_source string, more long"))
+        which = W.partitionBy("doc_id", "shuffle", "source").orderBy("lang", "n_chars")
+        out = out.union(keyed.join(few, same).withColumn("k", F.row_number().over(which)).where("k <= more").select(*COLUMNS))
+    return out
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -136,3 +136,38 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failures"
     )
+
+
+#: The ledger of policy v2, windows compared as texts.
+OP8_SQL = r"""
+WITH read AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS t FROM documents
+), cut AS (
+  SELECT row_id, doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS c,
+         list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS l
+  FROM read
+), starts AS (
+  SELECT row_id, unnest(range(1, len(w) - 3)) AS i, w FROM cut WHERE len(w) >= 5
+), windows AS (
+  SELECT row_id, i, count(*) OVER (PARTITION BY row_id, array_to_string(w[i:i + 4], ' ')) AS n FROM starts
+), covered AS (
+  SELECT row_id, least(5, lead(i, 1, i + 5) OVER (PARTITION BY row_id ORDER BY i) - i) AS words FROM windows WHERE n > 1
+), repeated AS (
+  SELECT row_id, sum(words)::BIGINT AS n_repeat_words FROM covered GROUP BY row_id
+), measured AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(c)::BIGINT AS word_chars,
+         (length(c) - length(regexp_replace(c, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
+         len(l)::BIGINT AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+         length(c) - length(regexp_replace(c, '[!?;:=_~^+/\\]+', '', 'g')) AS n_marks,
+         length(c) - length(regexp_replace(c, '\p{L}+', '', 'g')) AS n_letters,
+         length(c) - length(regexp_replace(c, '\p{Lu}+', '', 'g')) AS n_capitals,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM cut LEFT JOIN repeated USING (row_id)
+), ruled AS (
+  SELECT *, ({bits})::BIGINT AS failures FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       failures & 3 <> 0 AS base_failed, failures = 0 AS kept, failures
+FROM ruled
+""".replace("{bits}", " + ".join(f"CASE WHEN {rule} THEN {bit(name)} ELSE 0 END" for name, rule in RULES.items()))

@@ -352,3 +352,25 @@ def remove_repeats(docs: DataFrame, width: int = 35, most_bits: int = 29, digest
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir).select("doc_id", "text"), digest=True)
+
+
+#: Windows grouped as whole texts, without sketch or hash.
+OP6_SQL = r"""
+WITH read AS (
+  SELECT row_number() OVER () AS row_id, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), starts AS (
+  SELECT row_id, unnest(range(1, len(w) - 33)) AS i, w FROM read WHERE len(w) >= 35
+), windows AS (
+  SELECT row_id, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS n FROM starts
+), placed AS (
+  SELECT row_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM read
+), marked AS (
+  SELECT p.row_id, p.i, p.word, max(CASE WHEN n > 1 THEN 1 ELSE 0 END) OVER (
+           PARTITION BY p.row_id ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM placed p LEFT JOIN windows USING (row_id, i)
+), folded AS (
+  SELECT row_id, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM marked GROUP BY row_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM read LEFT JOIN folded USING (row_id)
+"""

@@ -45,3 +45,22 @@ def test_weights_by_code_point_null_last(spark):
 def test_empty_table(nothing):
     taken, known = mixing.mix(nothing)
     assert taken.count() == 0 and known.count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 3, 7])
+def test_stage_takes_copies_as_often_as_the_mix(spark, tmp_path, copies):
+    from collections import Counter
+
+    from lacewing.llm import pipeline_stages as stages
+
+    rows = [(i // copies, f"text {i // copies} " * (i // copies % 5 + 1), None, ["a", "b", None][i // copies % 3], i) for i in range(40 * copies)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    taken, _ = mixing.mix(docs, weights=stages.powers, most_epochs=3)
+    want = Counter(r.doc_id for r in taken.select("doc_id").collect())
+    out = stages.mix_sources(spark, docs, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in out) == want
+    most, least = defaultdict(int), defaultdict(int)
+    for k, n in Counter((r.doc_id, r.n_chars) for r in out).items():
+        most[k[0]] = max(most[k[0]], n)
+        least[k[0]] += 1
+    assert all(most[i] <= -(-want[i] // copies) for i in want)

@@ -147,10 +147,14 @@ WITH read AS (
          regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g') AS c,
          list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS l
   FROM read
-), starts AS (
-  SELECT row_id, unnest(range(1, len(w) - 3)) AS i, w FROM cut WHERE len(w) >= 5
+), placed AS (
+  SELECT row_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, len(w) AS n_words FROM cut
+), spans AS (
+  SELECT row_id, i, i + 4 <= n_words AS full_width,
+         string_agg(word, ' ') OVER (PARTITION BY row_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS span
+  FROM placed
 ), windows AS (
-  SELECT row_id, i, count(*) OVER (PARTITION BY row_id, array_to_string(w[i:i + 4], ' ')) AS n FROM starts
+  SELECT row_id, i, count(*) OVER (PARTITION BY row_id, span) AS n FROM spans WHERE full_width
 ), covered AS (
   SELECT row_id, least(5, lead(i, 1, i + 5) OVER (PARTITION BY row_id ORDER BY i) - i) AS words FROM windows WHERE n > 1
 ), repeated AS (

@@ -358,12 +358,14 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = r"""
 WITH read AS (
   SELECT row_number() OVER () AS row_id, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
-), starts AS (
-  SELECT row_id, unnest(range(1, len(w) - 33)) AS i, w FROM read WHERE len(w) >= 35
-), windows AS (
-  SELECT row_id, i, count(*) OVER (PARTITION BY array_to_string(w[i:i + 34], ' ')) AS n FROM starts
 ), placed AS (
-  SELECT row_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM read
+  SELECT row_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i, len(w) AS n_words FROM read
+), spans AS (
+  SELECT row_id, i, i + 34 <= n_words AS full_width,
+         string_agg(word, ' ') OVER (PARTITION BY row_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS span
+  FROM placed
+), windows AS (
+  SELECT row_id, i, count(*) OVER (PARTITION BY span) AS n FROM spans WHERE full_width
 ), marked AS (
   SELECT p.row_id, p.i, p.word, max(CASE WHEN n > 1 THEN 1 ELSE 0 END) OVER (
            PARTITION BY p.row_id ORDER BY p.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone

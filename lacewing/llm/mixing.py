@@ -73,7 +73,7 @@ def mix(
     budget: float | None = None,
     most_epochs: int = 3,
     seed: int = 20,
-    documents_per_slice: int = 20_000,
+    documents_per_slice: int = 4_000,
 ) -> tuple[DataFrame, DataFrame]:
     """The mix in order, and the sized documents.
 
@@ -133,7 +133,7 @@ def mix(
     offers = materialize(offers.withColumn("range", by_time.cast("long")), "offers")
     by_range = offers.groupBy("range").agg(F.sum("size").alias("n"))
     so_far = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    # One row for each range: some ten thousand documents each.
+    # One row for each range, of some thousand documents.
     by_range = by_range.select("range", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("range_before")).where(
         F.col("range_before") <= total
     )

@@ -36,6 +36,7 @@ SLICES = 64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 WORD_BASE = 0xD6E8FEB86659FD93
 CHARS = 2_000_000  # bytes of text that a task holds at once, or one text if longer
+BLOCK = 1 << 18  # bytes whose words are hashed at once
 
 
 def _mix(x: np.ndarray, by: int) -> np.ndarray:
@@ -79,6 +80,20 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Block by block, or word by word if longer: bytes take much room while they are hashed."""
+    h = np.empty(starts.size, np.uint64)
+    i = 0
+    while i < starts.size:
+        at = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, at + BLOCK, side="right")))
+        values = raw[at : ends[j - 1]].astype(np.uint64)
+        values += np.uint64(1)
+        h[i:j] = _spans(values, starts[i:j] - at, ends[i:j] - at, WORD_BASE)
+        i = j
+    return h
+
+
 def window_hashes(texts: list[bytes], width: int):
     """For the windows of all texts in order: two 64-bit hashes, the text's index, and the
     window's first word; and the number of words of each text."""
@@ -86,7 +101,7 @@ def window_hashes(texts: list[bytes], width: int):
     inside = ~_SPACE[raw]
     turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     starts, ends = turn[::2], turn[1::2]
-    h = _spans(raw.astype(np.uint64) + np.uint64(1), starts, ends, WORD_BASE)
+    h = _word_hashes(raw, starts, ends)
     edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
     n = np.diff(np.searchsorted(starts, edges))
     firsts = np.cumsum(n) - n

@@ -34,3 +34,15 @@ def test_digest_and_other_columns(spark, messy, messy_rows, rows_of, in_order):
 
 def test_empty_table(nothing):
     assert s.remove_repeats(nothing).count() == 0
+
+
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch, messy_rows):
+    import numpy as np
+
+    from lacewing.llm import substring_dedup as s
+
+    texts = [(t or "").encode() for _, t in messy_rows]
+    want = s.window_hashes(texts, 3)
+    monkeypatch.setattr(s, "BLOCK", 50)
+    for a, b in zip(want, s.window_hashes(texts, 3)):
+        assert np.array_equal(a, b)

@@ -239,7 +239,7 @@ def repeated_windows(docs: DataFrame, width: int = 35, most_bits: int = 29) -> D
             starts = np.flatnonzero(np.concatenate([[True], text[local][1:] != text[local][:-1]])) if local.size else []
             for s, e in zip(starts, [*starts[1:], local.size]):
                 k1, k2 = key[text[local[s]]]
-                rows.append((int(k2) % shards, 0, int(k1), int(k2), int(e - s), _pack(word[local[s:e]]), b"", b"", b""))
+                rows.append(((int(k1) + int(k2)) % shards, 0, int(k1), int(k2), int(e - s), _pack(word[local[s:e]]), b"", b"", b""))
             one = order[new]
             many = size > 1
             shard = (h1[one] % np.uint64(shards)).astype(np.int64)

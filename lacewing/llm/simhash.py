@@ -42,21 +42,26 @@ def _more(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: bytes, width: int, n_hashes: int = 1) -> bytes:
-    """``n_hashes`` times 64 majority bits, big-endian; zeros for a text without words."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 of each run of ``width`` words, or of all words if there are fewer."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     cut = text.lower().split()  # bytes: A-Z only, and ASCII white space
     if not cut:
-        return bytes(8 * n_hashes)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(cut)
     if len(cut) <= width:
         hashes = [digest(joined, 42)]
     else:
         at = list(accumulate(map(len, cut), lambda a, n: a + n + 1, initial=0))
         hashes = [digest(joined[a : b - 1], 42) for a, b in zip(at, at[width:])]
-    held, out = np.array(hashes, np.uint64), b""
+    return np.array(hashes, np.uint64)
+
+
+def majority(held: np.ndarray, n_hashes: int = 1) -> bytes:
+    """``n_hashes`` times 64 majority bits of hashes, big-endian; zeros for none."""
+    out = b""
     for k in range(n_hashes):
         h = (held if not k else _more(held, k)).astype(">u8")
         ones = np.zeros(64, np.int64)
@@ -66,16 +71,21 @@ def fingerprint(text: bytes, width: int, n_hashes: int = 1) -> bytes:
     return out
 
 
-def fingerprints(docs: DataFrame, width: int = 4, n_hashes: int = 1) -> DataFrame:
-    """The columns of ``docs`` but text and clashing names, and each text's fingerprint:
-    all bits as bytes (w), and as a signed long the first 64 bits (f)."""
+def fingerprint(text: bytes, width: int) -> bytes:
+    """64 majority bits of a text's shingles."""
+    return majority(shingle_hashes(text, width))
+
+
+def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
+    """The columns of ``docs`` but text and clashing names, and each text's fingerprint, as
+    bytes (w) and as a signed long (f)."""
     rest = [c for c in docs.columns if c not in {"text", "f", "w"}]
     kinds = {x.name: x.dataType.simpleString() for x in docs.schema}
 
     def hash_texts(batches):
         for batch in parts(batches):
-            found = [fingerprint(t, width, n_hashes) for t in as_bytes(batch.column("text"))]
-            first = np.array([int.from_bytes(x[:8], "big", signed=True) for x in found], np.int64)
+            found = [fingerprint(t, width) for t in as_bytes(batch.column("text"))]
+            first = np.array([int.from_bytes(x, "big", signed=True) for x in found], np.int64)
             columns = [*(batch.column(c) for c in rest), pa.array(first), pa.array(found, pa.binary())]
             yield pa.record_batch(columns, names=[*rest, "f", "w"])
 
@@ -213,31 +223,54 @@ def fingerprint_links(distinct: DataFrame, budget: int = 4) -> DataFrame:
     return map_arrow(dealt.repartition("turn", "head").select("f", "turn"), join, "src long, dst long")
 
 
+#: Bands of least hashes, and hashes in a band. Sets at a similarity of 0.8 agree on no band
+#: with a chance of (1 - 0.8**4)**32, or 5e-8.
+BANDS, IN_BAND = 32, 4
+
+
+def bands(held: np.ndarray, seed: int = 3) -> np.ndarray:
+    """A long for each band: a hash of the set's IN_BAND least elements under as many orders."""
+    odd = np.random.default_rng(seed).integers(0, 1 << 63, (2, BANDS * IN_BAND), dtype=np.uint64) * np.uint64(2) + ONE
+    least = np.full(BANDS * IN_BAND, np.uint64((1 << 64) - 1))
+    for i in range(0, held.size, 512):
+        np.minimum(least, (held[i : i + 512, None] * odd[0]).min(0), out=least)
+    return _more((_more(least, 1) * odd[1]).reshape(BANDS, IN_BAND).sum(1, dtype=np.uint64), 2).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, width: int, n_hashes: int) -> DataFrame:
+    """doc_id and near_text, and of each text's set of shingles: its hash (node), size (n),
+    fingerprint (w) and ``bands``."""
+
+    def describe(batches):
+        import xxhash
+
+        for batch in parts(batches):
+            sets = [np.unique(shingle_hashes(t, width)) for t in as_bytes(batch.column("text"))]
+            node = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
+            flat = np.concatenate([np.zeros(0, np.int64), *(bands(x) for x in sets)])
+            columns = [
+                batch.column("doc_id"), batch.column("near_text"), pa.array(node), pa.array([x.size for x in sets], pa.int64()),
+                pa.array([majority(x, n_hashes) for x in sets], pa.binary()),
+                pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(flat)),
+            ]
+            yield pa.record_batch(columns, names=["doc_id", "near_text", "node", "n", "w", "bands"])
+
+    schema = "doc_id long, near_text long, node long, n long, w binary, bands array<long>"
+    return map_arrow(docs.select("doc_id", "near_text", "text"), describe, schema)
+
+
 def wide_budget(similarity: float, bits: int) -> int:
-    """Differing bits that shingle sets of this Jaccard similarity and of equal size have
-    on average."""
-    return int(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
-def wide_links(distinct: DataFrame, budget: int, n_hashes: int, tables: int = 32, head_bits: int = 12, seed: int = 3) -> DataFrame:
-    """Links (src, dst) between nodes (node long, w binary) for budgets that are too large
-    for blocks that agree wholly: each of ``tables`` deals takes ``head_bits`` random bits
-    as the first levels of its tries. A pair at 15% differing bits meets in one of 32 deals
-    of 12 bits with a chance of 99%."""
-    choice = np.random.default_rng(seed)
-    heads = [np.sort(choice.choice(64 * n_hashes, head_bits, replace=False)) for _ in range(tables)]
-    weights = 1 << np.arange(head_bits)
-
-    def deal(batches):
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            bits = np.unpackbits(np.frombuffer(b"".join(batch.column("w").to_pylist()), np.uint8).reshape(n, -1), axis=1)
-            for t, chosen in enumerate(heads):
-                head = (bits[:, chosen] @ weights).astype(np.int32)
-                columns = [batch.column("node"), batch.column("w"), pa.array(np.full(n, t, np.int32)), pa.array(head)]
-                yield pa.record_batch(columns, names=["node", "w", "turn", "head"])
+    """Differing bits that sets of at least this Jaccard similarity stay within: five standard
+    deviations above the mean of the worst case, which is large sets of equal size or, as
+    majorities of few shingles are rough, four shingles against five."""
+    p = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, 3 / 16)
+    return math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
+
+
+def wide_links(distinct: DataFrame, budget: int, n_hashes: int) -> DataFrame:
+    """Links (src, dst) between nodes (node long, w binary, bands array<long>) that agree on
+    a band and differ in at most ``budget`` bits: candidates, at most one for each node and
+    band, with the components of all such pairs."""
 
     def join(batches):
         held = [b for b in batches if b.num_rows]
@@ -245,19 +278,70 @@ def wide_links(distinct: DataFrame, budget: int, n_hashes: int, tables: int = 32
             return
         table = pa.Table.from_batches(held)
         node = table.column("node").to_numpy()
-        group = table.column("turn").to_numpy().astype(np.int64) << 32 | table.column("head").to_numpy()
+        turn, head = table.column("turn").to_numpy(), table.column("head").to_numpy()
         keys = np.frombuffer(b"".join(table.column("w").to_pylist()), ">u8").reshape(node.size, -1).astype(np.uint64)
-        order = np.lexsort((*(keys[:, k] for k in reversed(range(n_hashes))), group))
-        node, group, keys = node[order], group[order], keys[order]
-        parent = _Trie(keys, group, 0, budget).parent
+        order = np.lexsort((*(keys[:, k] for k in reversed(range(n_hashes))), head, turn))
+        node, turn, head, keys = node[order], turn[order], head[order], keys[order]
+        new = np.concatenate([[True], (turn[1:] != turn[:-1]) | (head[1:] != head[:-1])])
+        parent = _Trie(keys, np.cumsum(new), 0, budget).parent
         linked = np.flatnonzero(parent != np.arange(node.size))
         if linked.size:
             yield pa.record_batch([pa.array(node[linked]), pa.array(node[parent[linked]])], names=["src", "dst"])
 
-    dealt = map_arrow(distinct.select("node", "w"), deal, "node long, w binary, turn int, head int")
+    dealt = distinct.select("node", "w", F.posexplode("bands").alias("turn", "head"))
     return map_arrow(dealt.repartition("turn", "head"), join, "src long, dst long")
 
 
+def similar(sets: list[np.ndarray], similarity: float, most: int = 1 << 22) -> np.ndarray:
+    """The class of each set (arrays of distinct hashes): those of all pairs whose exact
+    Jaccard similarity is ``similarity`` or more."""
+    parent = np.arange(len(sets))
+    sizes = np.array([x.size for x in sets], np.int64)
+    tokens, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+    holder = np.repeat(parent, sizes)[np.argsort(code, kind="stable")]
+    n_of = np.bincount(code, minlength=tokens.size)
+    first = np.cumsum(n_of) - n_of
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    for i in range(len(sets)):
+        if not parent.any():
+            break
+        own = code[edges[i] : edges[i + 1]]
+        own = own[n_of[own] > 1]
+        shared = np.zeros(len(sets), np.int64)
+        block = np.cumsum(n_of[own]) // most
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), own.size]
+        for a, b in zip(cuts, cuts[1:]):
+            n = n_of[own[a:b]]
+            at = np.repeat(first[own[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            shared += np.bincount(holder[at], minlength=len(sets))
+        # Whole numbers against a product of floats: room for rounding at the limit.
+        near = np.flatnonzero((shared > 0) & (shared >= similarity * (sizes + sizes[i] - shared) - 1e-6))
+        unite(parent, near, np.full(near.size, i))
+    return parent
+
+
+def verified_links(members: DataFrame, width: int, similarity: float, most: int = 1 << 19) -> DataFrame:
+    """Links (src, dst) between nodes with the components of all pairs within a root whose
+    shingle sets have this Jaccard similarity or more, by the sets themselves.
+
+    ``members`` has root, total (shingles under the root), node and text. A root with more
+    than ``most`` shingles is cut into chunks, of which each meets each in a task of its own."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, at = np.unique(table.column("node").to_numpy(), return_index=True)
+        texts = as_bytes(table.column("text").combine_chunks().take(pa.array(at)))
+        parent = similar([np.unique(shingle_hashes(t, width)) for t in texts], similarity)
+        linked = np.flatnonzero(parent != np.arange(node.size))
+        return pa.table({"src": pa.array(node[linked]), "dst": pa.array(node[parent[linked]])})
+
+    chunks = F.ceil(F.col("total") / most).cast("int")
+    cut = members.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), chunks).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.greatest(chunks, F.lit(1)) - 1))
+    cut = cut.withColumn("own", F.coalesce("own", F.lit(0))).select("root", "own", "node", "text", other.alias("other"))
+    cut = cut.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "text")
+    return cut.groupBy("root", "low", "high").applyInArrow(compare, "src long, dst long")
+
+
 def _classes(hashed: DataFrame, key: str, least, links) -> DataFrame:
     """(key, component_id) from rows with a fingerprint's ``key`` (long)."""
     grouped = materialize(hashed.groupBy(key).agg(F.min(least).alias("least"), F.min("w").alias("w")), "distinct-fingerprints")
@@ -279,19 +363,32 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFra
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, n_hashes: int = 5) -> DataFrame:
     """``docs`` with one row of each group: the least id, then the least text.
 
-    Rows are linked if their fingerprints of ``n_hashes`` times 64 bits differ in no more
-    bits than sets of ``width``-word shingles of that Jaccard similarity do on average. Texts
-    without words are linked to each other. Columns named ``near_*`` are not kept."""
+    Rows are linked if their sets of ``width``-word shingles have a Jaccard similarity of
+    ``similarity`` or more. Candidates agree on a band of least hashes and have near
+    fingerprints of ``n_hashes`` times 64 bits; within the components of candidates all pairs
+    are compared by the sets. Texts without words are linked to each other. Columns named
+    ``near_*`` are not kept."""
     columns = docs.columns
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("near_text"), "text")
-    hashed = fingerprints(chosen, width, n_hashes).withColumn("node", F.xxhash64("w"))
-    hashed = materialize(hashed.select("doc_id", "near_text", "w", "node"), "fingerprints")
-    least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_text")
+    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("near_text"), "text")
+    hashed = materialize(shingle_sets(chosen, width, n_hashes), "shingle-sets")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "near_text")).alias("least")
+    # All but the ids are the same for a node.
+    grouped = materialize(hashed.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("n", "w", "bands"))), "distinct-sets")
     budget = wide_budget(similarity, 64 * n_hashes)
-    classes = _classes(hashed, "node", least, lambda d: wide_links(d, budget, n_hashes))
-    first = classes.select("component_id.doc_id", "component_id.near_text").distinct()
-    first = first.select(F.col("doc_id").alias("near_id"), F.col("near_text").alias("near_hash"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("near_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("near_hash"))
+    coarse = components(wide_links(grouped, budget, n_hashes)).withColumnRenamed("component", "root")
+    coarse = coarse.union(coarse.select(F.col("root").alias("node"), "root").distinct())
+    coarse = grouped.select("node", "n", "least.doc_id", "least.near_text").join(coarse, "node")
+    coarse = materialize(coarse, "candidates")
+    totals = coarse.groupBy("root").agg(F.sum("n").alias("total"))
+    named = coarse.join(totals, "root").select("root", "total", "node", F.col("doc_id").alias("near_id"), F.col("near_text").alias("near_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("near_text") == F.col("near_hash"))
+    members = chosen.join(named, same).select("root", "total", "node", "text")
+    roots = components(verified_links(members, width, similarity)).withColumnRenamed("node", "near_node")
+    rooted = grouped.select("node", "least").join(roots, F.col("node") == F.col("near_node"), "left")
+    first = rooted.groupBy(F.coalesce("component", "node")).agg(F.min("least").alias("least"))
+    first = first.select(F.col("least.doc_id").alias("near_id"), F.col("least.near_text").alias("near_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("near_id")) & (text_hash == F.col("near_hash"))
     kept = docs.join(first, same, "left_semi")
     # Rows that repeat an id and its text wholly are one document.
     return kept.select(*columns).dropDuplicates(["doc_id", "text"]) if _repeats(hashed) else kept.select(*columns)

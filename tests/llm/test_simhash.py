@@ -107,3 +107,30 @@ def test_dropping_near_copies(spark, messy, messy_rows, nothing):
     rare = {t: i for i, t in messy_rows if t and sum(x == t for _, x in messy_rows) == 1 and "changed" not in t and len(t.split()) > 20}
     assert sum((i, t) in base for t, i in rare.items()) >= 0.95 * len(rare)
     assert simhash.drop_near_duplicates(nothing).count() == 0
+
+
+def test_similarity_limit_is_exact(spark):
+    """Pairs just above 0.8 are all linked, pairs just below never, whatever the size."""
+    rng, rows, n = random.Random(11), [], 0
+    for k in range(300):
+        size = rng.choice([60, 100, 200, 400])
+        words = [f"t{k}w{i}" for i in range(size + 4)]  # ``size`` shingles, all distinct
+        # Cutting c words off the end leaves (size - c) of size shingles.
+        cut = size // 5 + (k % 2)
+        rows += [(n, " ".join(words)), (n + 1, " ".join(words[: size + 4 - cut]))]
+        n += 2
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # Even k: exactly 0.8, one document kept; odd k: just below, both kept.
+    assert kept == {i for i in range(n) if i % 2 == 0 or (i // 2) % 2 == 1}
+
+
+def test_verified_links_of_a_group_cut_into_chunks(spark):
+    base = [f"w{i}" for i in range(104)]
+    texts = [" ".join(base[: 104 - 4 * i]) for i in range(20)]
+    rows = [(7, 100_000, i, t) for i, t in enumerate(texts)]
+    members = spark.createDataFrame(rows, "root long, total long, node long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = brute_components(20, lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8)
+    for most in (1 << 19, 20_000):
+        pairs = {(r.src, r.dst) for r in simhash.verified_links(members, 5, 0.8, most).collect()}
+        assert brute_components(20, lambda i, j: (i, j) in pairs or (j, i) in pairs) == want

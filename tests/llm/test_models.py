@@ -41,6 +41,20 @@ def test_probabilities_of_a_token_are_a_distribution():
     assert p([b""])[0] + p(letters).sum() < 1
 
 
+def test_frequent_words_and_what_follows_them_are_exact_in_any_partitions(spark, messy, messy_rows):
+    cut = [(t or "").encode().lower().split() for _, t in messy_rows]
+    words = Counter(w for ws in cut for w in ws)
+    top = [w for w, _ in words.most_common(20)]
+    follow = Counter()
+    for ws in cut:
+        seen = [w for w in ws if w in top]
+        follow.update(zip(seen, seen[1:]))
+    for n in (1, 7):
+        docs = messy.select("text").repartition(n)
+        got = {bytes(r.a): r.n for r in lm_scoring._frequent(docs, most=50).where("kind = 'w'").collect()}
+        assert got == words and lm_scoring._follow(docs, top) == follow
+
+
 def test_scores_are_better_than_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     r = lm_scoring.score_documents(docs, id_remainder(F.col("doc_id")) == 1).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()

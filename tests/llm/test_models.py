@@ -55,6 +55,18 @@ def test_frequent_words_and_what_follows_them_are_exact_in_any_partitions(spark,
         assert got == words and lm_scoring._follow(docs, top) == follow
 
 
+def test_weights_are_fitted_on_all_pairs_by_their_counts(spark):
+    """More pairs in a shard than one fit once took, among them one of most tokens."""
+    words = [f"w{i}" for i in range(20_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "heavy " * 50_000)], "doc_id long, text string").withColumn("held_out", F.lit(False))
+    coder = lm_scoring.Coder(np.arange(256))
+    pairs = lm_scoring._merge(lm_scoring._lists(docs, {}, 1), 1).select("n_pairs", "n_bytes", "words", "code", "class", "n", "c")
+    empty = np.zeros(int(lm_scoring.OFFSETS[-1]), np.uint16)
+    load = lm_scoring._learn(pairs, coder, spark.sparkContext.broadcast((empty, empty)))[2]
+    size = lambda w: sum(coder.size[b] for b in w.encode() + b" ")
+    assert load.sum() == pytest.approx(sum(map(size, words)) + 50_000 * size("heavy") + 2 * size(""))
+
+
 def test_scores_are_better_than_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     r = lm_scoring.score_documents(docs, id_remainder(F.col("doc_id")) == 1).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()

@@ -24,31 +24,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, map_arrow, materialize, parts
-from .encoding import encoder, led_chunks, slices
+from ._shared import as_bytes, documents, map_arrow, materialize, parts
+from .encoding import encoder, slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, cache: int = 400_000) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, cache: int = 2_000_000) -> DataFrame:
     """The pieces of every document: whole if it fits, else cut from its end into pieces of
     ``capacity`` ids, so that only the first is shorter. ``cache`` bounds the encoder's
     memory and changes no result."""
 
     def cut(batches):
-        code = encoder(tokenizer, led_chunks, cache)
-        end = np.array([end_id], "<u4").tobytes()
+        code = encoder(tokenizer, limit=cache)
         for batch in parts(batches, 1200):
-            texts = [t or "" for t in batch.column("text").to_pylist()]
+            texts = as_bytes(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
             rows = []
             for a, b in slices(texts):
-                for doc, got in zip(ids[a:b], code.encode(texts[a:b])):
-                    got += end
-                    n = len(got) // 4
+                got, edges = code.encode(texts[a:b])
+                for doc, start, stop in zip(ids[a:b], edges[:-1].tolist(), edges[1:].tolist()):
+                    raw = np.append(got[start:stop], np.uint32(end_id)).astype("<u4").tobytes()
+                    n = len(raw) // 4
                     at, size, k = 0, (n - 1) % capacity + 1, 0
                     while at < n:
-                        rows.append((doc, k, at, size, zlib.crc32(got[4 * at : 4 * (at + size)])))
+                        rows.append((doc, k, at, size, zlib.crc32(raw[4 * at : 4 * (at + size)])))
                         at, size, k = at + size, capacity, k + 1
             if rows:
                 types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -143,7 +143,7 @@ def pack(
     return map_arrow(dealt, place, f"{PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, cache: int = 400_000, **limits) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, cache: int = 2_000_000, **limits) -> DataFrame:
     return pack(materialize(pieces(docs, tokenizer, end_id, capacity, cache), "pieces"), capacity, **limits)
 
 

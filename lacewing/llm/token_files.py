@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import documents, map_arrow, materialize, partitions, parts, shared_path
-from .encoding import bare_chunks, encoder, slices
+from ._shared import as_bytes, documents, map_arrow, materialize, partitions, parts, shared_path
+from .encoding import encoder, slices
 
 MANIFEST = "part int, file string, docs_file string, n_docs long, n_tokens long"
 
@@ -80,15 +80,17 @@ def write_token_files(
     sequence_length: int = 2048,
     sequences_per_batch: int = 256,
     id_bits: int = 16,
+    lower: bool = False,
     ranges: int | None = None,
 ) -> DataFrame:
     """Encode every text of ``docs`` (doc_id, text), append ``end_id``, and write the ids
-    under the folder ``out``. Returns the manifest, already written."""
-    kind = {16: pa.uint16(), 32: pa.uint32()}[id_bits]
+    under the folder ``out``. ``lower`` may be set for a vocabulary that lower-cases A-Z
+    itself: it changes no id. An id that ``id_bits`` can't hold raises. Returns the
+    manifest, already written."""
+    kind = {8: pa.uint8(), 16: pa.uint16(), 32: pa.uint32()}[id_bits]
 
     def write(batches):
-        code = encoder(tokenizer, bare_chunks)
-        end = np.array([end_id], "<u4").tobytes()
+        code = encoder(tokenizer, lower)
         system, folder = _filesystem(out)
         system.create_dir(folder, recursive=True)
         part = TaskContext.get().partitionId()
@@ -103,15 +105,16 @@ def write_token_files(
                 writer = SequenceWriter(sink, sequence_length, sequences_per_batch, kind)
                 doc_sink = system.open_output_stream(f"{name}.docs.arrow")
                 doc_writer = ipc.new_file(doc_sink, doc_schema)
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            lengths = []
+            texts = as_bytes(batch.column("text"))
+            lengths = [np.zeros(0, np.int64)]
             for a, b in slices(texts):
-                for got in code.encode(texts[a:b]):
-                    ids = np.frombuffer(got + end, "<u4")
-                    lengths.append(ids.size)
-                    writer.add(ids)
-            if lengths:
-                n = np.array(lengths, np.int64)
+                ids, edges = code.encode(texts[a:b])
+                if ids.size and int(ids.max()) >= 1 << id_bits:
+                    raise ValueError(f"an id of {int(ids.max())} doesn't fit in {id_bits} bits")
+                lengths.append(np.diff(edges) + 1)
+                writer.add(np.insert(ids, edges[1:], end_id))
+            n = np.concatenate(lengths)
+            if n.size:
                 ends = at + np.cumsum(n)
                 doc_writer.write_batch(
                     pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(ends - n), pa.array(n)], schema=doc_schema)
@@ -203,5 +206,5 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = shared_path(spark, "token-files")
     path = public_tokenizers.path("word_bpe_49k.json")
-    manifest = write_token_files(documents(spark, sf_dir), out, path, end_id=1)
+    manifest = write_token_files(documents(spark, sf_dir), out, path, end_id=1, lower=True)
     return read_token_files(spark, manifest, out).select("doc_id", "start", "n_tokens", "ids_crc32")

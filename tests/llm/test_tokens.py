@@ -123,20 +123,73 @@ def test_empty_tables(spark, nothing):
     assert token_files.read_token_files(spark, manifest, out).count() == 0
 
 
-def test_chunks_are_encoded_as_the_whole_text():
+def random_texts():
+    """Strings of awkward parts, and of all code points below U+0250 and marks."""
     import random
 
-    from lacewing.llm.encoding import Encoder, bare_chunks, led_chunks
-
     rng = random.Random(4)
     parts = ["don't", "co-op", "caf\u0065\u0301", "a\u0301b", "stra\u00dfe", "\u0416\u0436x", "x\u0416", "\u6f22\u5b57", "12a3", "'s", "'", "a's", "...", "a.b,c", "!!\x1c!",
-             " ", "  ", "\n", "\t\n ", "\xa0", "\u3000", "\u200b", "\U0001f642", "%%%", "I'LL", "\u0130\u03a3", "\u1e9e", "<|endoftext|>", "\u00aa1", "\u00b2", "\u0345"]
+             " ", "  ", "\n", "\t\n ", "\xa0", "\u3000", "\u2003", "\x85", "\u200b", "\U0001f642", "%%%", "I'LL", "\u0130\u03a3", "\u0130!", "\u0130.\u0130", "\u1e9e", "<|endoftext|>",
+             "\u00aa1", "\u00b2", "\u0345", "A sixteen-byte-or-longer word", "Donaudampfschiffahrt"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 30))) for _ in range(3000)]
-    for name, chunks in (("byte_bpe_50k.json", led_chunks), ("word_bpe_49k.json", bare_chunks)):
-        whole = library(name)
-        got = Encoder(P.path(name), chunks, limit=500).encode(texts)
-        again = Encoder(P.path(name), chunks, limit=500)
-        pieces_ = [x for i in range(0, 3000, 100) for x in again.encode(texts[i : i + 100])]
-        for t, b, c in zip(texts, got, pieces_):
-            assert np.frombuffer(b, "<u4").tolist() == whole(t), repr(t)
-            assert b == c
+    points = [chr(i) for i in range(0x250)] + [chr(i) for i in range(0x300, 0x370)]
+    letters = "abcXYZ .,!'19\u00e9\u0130"
+    texts += ["".join(rng.choice(points if rng.random() < 0.6 else letters) for _ in range(rng.randrange(1, 14))) for _ in range(20000)]
+    return texts
+
+
+@pytest.mark.parametrize("name, lower", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True), ("word_bpe_49k.json", False)])
+def test_chunks_are_encoded_as_the_whole_text(name, lower):
+    from lacewing.llm.encoding import Encoder
+
+    texts = random_texts()
+    t = Tokenizer.from_file(P.path(name))
+    t.encode_special_tokens = True
+    want = [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    raw = [x.encode() for x in texts]
+    for code, step in ((Encoder(P.path(name), lower), len(raw)), (Encoder(P.path(name), lower, 3000), 100)):
+        for i in range(0, len(raw), step):
+            ids, edges = code.encode(raw[i : i + step])
+            for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                assert ids[a:b].tolist() == want[i + k], repr(texts[i + k])
+    assert [x.size for x in Encoder(P.path(name)).encode([])] == [0, 1]
+
+
+def test_ids_that_do_not_fit_are_refused(spark):
+    docs = spark.createDataFrame([(1, "\u4e00")], "doc_id long, text string")
+    with pytest.raises(Exception, match="doesn't fit"):
+        token_files.write_token_files(docs, shared_path(spark, "test-wide"), P.path("byte_bpe_50k.json"), id_bits=8)
+
+
+def test_as_few_sequences_as_an_exhaustive_search():
+    """Small cases under tight document and attention limits, against all ways of packing."""
+
+    def least(items, caps):
+        best = len(items)
+
+        def place(i, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if i == len(items):
+                best = len(bins)
+                return
+            n = items[i]
+            need = (n, 1, n * n)
+            for b in range(len(bins)):
+                if all(x + y <= c for x, y, c in zip(bins[b], need, caps)):
+                    place(i + 1, [*bins[:b], tuple(x + y for x, y in zip(bins[b], need)), *bins[b + 1 :]])
+            place(i + 1, [*bins, need])
+
+        place(0, [])
+        return best
+
+    rng = np.random.default_rng(3)
+    for rule in ("norm", "dot"):
+        over = 0
+        for _ in range(60):
+            n = np.sort(rng.integers(1, 60, 9))[::-1]
+            caps = (100, int(rng.integers(2, 5)), int(rng.integers(3600, 6000)))
+            bins, _ = packing.best_fit(n, caps, (1.0, 1.0, 1.0), rule)
+            over += int(bins.max()) + 1 - least(n.tolist(), caps)
+        assert over <= 20  # a third of a sequence on average, of about four

@@ -1,8 +1,10 @@
 """Helpers shared by the training-data operators.
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir``, which every
-executor sees; only where that setting is absent (tests on one machine) is a folder made
-for it. A written table cuts lineage and survives the loss of executors.
+executor sees; only where that setting is absent and the master is local (tests on one
+machine) is a folder made for it. A written table cuts lineage and survives the loss of
+executors. Results may read such tables when they are themselves read, so the tables stay
+until :func:`release` or :func:`release_since`.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from lacewing.ship import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; made and set only where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="lacewing-"))
         named = _OWN[0]
@@ -45,6 +50,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lacewing_path = path
     return out
@@ -52,9 +58,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Delete the files of a table from :func:`materialize` that no later step reads."""
-    spark, path = df.sparkSession, df._lacewing_path
+    _delete(df.sparkSession, df._lacewing_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
+def written() -> int:
+    """A mark for :func:`release_since`."""
+    return len(_WRITTEN)
+
+
+def release_since(spark: SparkSession, mark: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete the tables of :func:`materialize` since the mark, but ``keep``: for callers that
+    have read or written what they need of the results."""
+    for path in _WRITTEN[mark:]:
+        if keep is None or path != keep._lacewing_path:
+            _delete(spark, path)
 
 
 def words(text):

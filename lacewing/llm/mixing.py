@@ -8,16 +8,16 @@ served faster, so the mix meets the targets that water-filling gives.
 
 Sums along a queue never run in one task: documents are dealt to slices of their source by
 the shuffle's hash, slices small enough to be summed alone, and the totals of the slices
-before are added. The order over all sources is dealt the same way, into ranges of finish
-time. The number of slices follows the number of documents; a document larger than a slice
+before are added, which are themselves summed in blocks. The order over all sources is dealt
+the same way, into ranges of finish time. The number of slices follows the number of documents; a document larger than a slice
 is one of its own.
 
 Collected to the driver: a row for each source, at most ``MOST_SOURCES``.
 
 Defined cases: null or wordless text has size 0 and is taken in epoch 0 if its turn comes
 before the cut-off; null is a source of its own, last; repeated rows count as documents each;
-sources of size 0 get target 0; an empty table gives no rows; other columns are kept by
-:func:`mix` unless their names clash.
+sources of size 0 get target 0; an empty table gives no rows; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -63,6 +63,23 @@ def targets(sizes: list[int], weights: list[float], budget: float, most_epochs:
     return out
 
 
+def sums_before(totals: DataFrame, by: list[str], at: str, value: str, out: str, per_block: int = 4096) -> DataFrame:
+    """(by, at, out): the sum of ``value`` over lesser ``at``, within ``by``. Blocks of
+    ``per_block`` are summed alone, so that no task orders more than a block or all blocks."""
+    blocks = totals.withColumn("block", F.floor(F.col(at) / per_block))
+    whole = W.partitionBy(*by).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = blocks.groupBy(*by, "block").agg(F.sum(value).alias("n_block"))
+    before = before.select(
+        *(F.col(c).alias(f"b_{c}") for c in by), F.col("block").alias("b_block"), F.coalesce(F.sum("n_block").over(whole), F.lit(0)).alias("b_before")
+    )
+    inner = W.partitionBy(*by, "block").orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    same = F.col("block") == F.col("b_block")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    placed = blocks.withColumn("inner", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(before, same)
+    return placed.select(*by, at, (F.col("b_before") + F.col("inner")).alias(out))
+
+
 def repeating_weights(sizes: list[int]) -> list[float]:
     return [float(1 + k % 3) for k in range(len(sizes))]
 
@@ -78,21 +95,17 @@ def mix(
     """The mix in order, and the sized documents.
 
     ``weights`` gives each source's weight from the sizes of all, in the order of
-    :func:`source_totals`. The first result has a row for each taken offer: the documents'
-    columns, size, epoch, finish (virtual finish time) and position (tokens of the mix before
-    it). The second has row_id, size and the source's source_size and target."""
+    :func:`source_totals`. The first result has a row for each taken offer: row_id, doc_id,
+    source, size, shuffle, epoch, finish (virtual finish time) and position (tokens of the mix
+    before it). The second has a row for each document: row_id, doc_id, source, size, shuffle,
+    and the source's source_size and target."""
     spark = docs.sparkSession
-    clash = {"size", "source_size", "target", "row_id", "shuffle", "weight", "slices", "epoch", "finish", "position"}
-    kept = [c for c in docs.columns if c not in clash]
     # Written, a row's id is the same wherever it is read, and tells copies apart.
     row_id = F.monotonically_increasing_id().alias("row_id")
     sized = materialize(
         docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key(seed).alias("shuffle"), row_id), "sizes"
     )
     rows = source_totals(sized)
-    if not rows:
-        empty = docs.select(*kept, F.lit(0).cast("long").alias("size"))
-        return empty, sized.withColumns({"source_size": F.lit(0).cast("long"), "target": F.lit(0.0), "taken": F.lit(0).cast("long")})
     sizes = [r[1] for r in rows]
     w = weights(sizes)
     total = float(sum(sizes)) if budget is None else float(budget)
@@ -105,10 +118,8 @@ def mix(
 
     unit = F.shiftright(F.col("shuffle"), 7) / F.lit(float(1 << 53))
     sliced = known.withColumn("slice", F.floor(unit * F.col("slices")).cast("int"))
-    before = sliced.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"), F.first("slices").alias("slices"))
-    queue = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    before = before.select("source", "slice", F.coalesce(F.sum("slice_size").over(queue), F.lit(0)).alias("before"))
-    before = before.withColumnsRenamed({"source": "s_source", "slice": "s_slice"})
+    before = sliced.groupBy(F.col("source").alias("s_source"), F.col("slice").alias("s_slice")).agg(F.sum("size").alias("n"))
+    before = sums_before(before, ["s_source"], "s_slice", "n", "before")
     within = W.partitionBy("source", "slice").orderBy("shuffle", "doc_id", "row_id").rowsBetween(W.unboundedPreceding, 0)
     summed = sliced.withColumn("within", F.sum("size").over(within))
     placed = summed.join(
@@ -122,7 +133,7 @@ def mix(
     # the document in service; a largest document later the budget is spent, so that no
     # later offer can be in the mix. The exact cut-off is by the summed order below.
     meet = max((g / x for g, x in zip(goal, w) if g > 0), default=0.0)
-    spent = meet + max(r[3] / x for r, x in zip(rows, w))
+    spent = meet + max((r[3] / x for r, x in zip(rows, w)), default=0.0)
     offers = offers.where(F.col("finish") <= spent * (1 + 1e-9))
     n_offers = most_epochs * sum(r[2] for r in rows)
     ranges = max(1, int(-(-n_offers // documents_per_slice)))
@@ -132,11 +143,7 @@ def mix(
     )
     offers = materialize(offers.withColumn("range", by_time.cast("long")), "offers")
     by_range = offers.groupBy("range").agg(F.sum("size").alias("n"))
-    so_far = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    # One row for each range, of some thousand documents.
-    by_range = by_range.select("range", F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("range_before")).where(
-        F.col("range_before") <= total
-    )
+    by_range = sums_before(by_range, [], "range", "n", "range_before").where(F.col("range_before") <= total)
     in_range = W.partitionBy("range").orderBy("finish", "source", "epoch", "shuffle", "doc_id", "row_id").rowsBetween(W.unboundedPreceding, 0)
     taken = offers.join(by_range, "range").withColumn("end", F.col("range_before") + F.sum("size").over(in_range))
     taken = materialize(taken.where(F.col("end") <= total).withColumn("position", F.col("end") - F.col("size")), "taken")

@@ -3,6 +3,12 @@
 Production parameters: quality threshold 0.3; near copies at 5-word shingles and a
 similarity of 0.8; repeated windows of 35 words; a source's weight is its size to the power
 0.7, the budget all words that came, at most 3 epochs; sequences of 2048 ids.
+
+Defined cases of every stage: an empty table gives an empty one, with the same columns; null
+or empty texts are documents like others (the classifier scores them, they are near copies
+of each other, have no words to cut or mix, and pack as an end id); null ids and sources keep
+their rows; repeated rows are one document for near-dedup and count each elsewhere; columns
+beyond those of documents are dropped.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lacewing.llm import pipeline_stages as stages
-from lacewing.llm._shared import documents, materialize
+from lacewing.llm._shared import documents, materialize, release_since, written
 
 STAGES = [
     ("quality_classifier", stages.keep_quality),
@@ -21,7 +21,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """The last stage's result. What a stage wrote is deleted once the next stage's
+    documents are written."""
+    docs, mark = documents(spark, sf_dir), written()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        release_since(spark, mark, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,7 @@ until :func:`release` or :func:`release_since`.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -81,6 +82,20 @@ def release_since(spark: SparkSession, mark: int = 0, keep: DataFrame | None = N
             _delete(spark, path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are written: it does so once
+    the driver's handles on them are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def filesystem(uri: str):
+    """The Arrow file system of a folder and the folder's path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
 def words(text):
     """Column: the words of a text, none for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -26,18 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, documents, map_arrow, materialize, partitions, parts, shared_path
+from ._shared import as_bytes, documents, filesystem, map_arrow, materialize, partitions, parts, shared_path
 from .encoding import encoder, slices
 
 MANIFEST = "part int, file string, docs_file string, n_docs long, n_tokens long"
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 class SequenceWriter:
     """Cuts a stream of ids into sequences and writes them a batch at a time."""
 
@@ -91,7 +85,7 @@ def write_token_files(
 
     def write(batches):
         code = encoder(tokenizer, lower)
-        system, folder = _filesystem(out)
+        system, folder = filesystem(out)
         system.create_dir(folder, recursive=True)
         part = TaskContext.get().partitionId()
         name = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}"
@@ -166,7 +160,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, out: str) -> Data
         at += r["n_tokens"]
 
     def read(batches):
-        system, _ = _filesystem(out)
+        system, _ = filesystem(out)
         for batch in batches:
             for row in batch.to_pylist():
                 reader = open_sequences(row["file"], system)

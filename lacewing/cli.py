@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from lacewing.operators import evaluate, multiply
+from lacewing.operators import evaluate, layout, multiply
 from lacewing.plans import planner
 from lacewing.sources import csr_binary, generate
 
@@ -16,7 +16,7 @@ PATTERNS = {
     "uniform": lambda s, m, k, p: generate.uniform(s, m, k, float(p)),
     "banded": lambda s, m, k, p: generate.banded(s, m, k, int(float(p))),
     "blockdiag": lambda s, m, k, p: generate.block_diagonal(s, m, k, int(float(p))),
-    "powerlaw": lambda s, m, k, p: generate.power_law(s, m, k, int(float(p))),
+    "powerlaw": lambda s, m, k, p: generate.power_law(s, m, k, float(p)),
 }
 
 
@@ -32,6 +32,11 @@ def _parser() -> argparse.ArgumentParser:
         c.add_argument("--param", default="0.01", help="density, bandwidth, block or mean degree")
         c.add_argument("--bin", help="a binary matrix instead of a pattern")
         c.add_argument("--threshold", type=float, default=planner.THRESHOLD)
+        if name == "run":
+            c.add_argument("--multi-gpu", action="store_true", help="rows in shards, one for each device")
+            c.add_argument("--gpus", type=int, help="shards; as many as there are, if not given")
+            c.add_argument("--unified", action="store_true", help="never broadcast the dense side")
+            c.add_argument("--no-verify", action="store_true")
         if name == "bench":
             c.add_argument("--kernel", choices=[*multiply.STRATEGIES, "all"], default="all")
             c.add_argument("--warmup", type=int, default=1)
@@ -46,13 +51,32 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
     a.entries = a.entries.withColumn("val", F.col("val").cast("long")) if not args.bin else a.entries
     b = generate.dense(spark, a.n_cols, args.n)
     nnz = a.entries.count()
-    shape = f"m={a.n_rows} k={a.n_cols} n={args.n} nnz={nnz}"
+    shape = f"m={a.n_rows} k={a.n_cols} n={args.n} nnz={nnz} density={nnz / max(a.n_rows * a.n_cols, 1):.6f}"
     if args.command == "run":
+        stats = planner.block_stats(a).first()
+        print(f"bsr_stats blocks={stats['n_blocks']} stored_elems={stats['stored_elements']} original_nnz={stats['original_nnz']} "
+              f"fill_in_ratio={stats['fill_in_ratio']:.4f} block_density={stats['block_density']:.6f}")
         plan = planner.choose(a, args.n, args.threshold)
-        print(f"plan backend={plan.backend.value} fill_in={plan.fill_in_ratio:.4f} block_density={plan.block_density:.4f} reason=\"{plan.reason}\"")
-        stats = evaluate.error_stats(multiply.hybrid(a, b, args.threshold), multiply.long(a, b))
-        row = stats.select("rel_l2", evaluate.verdict(F.col("rel_l2")).alias("verdict")).first()
-        print(f"run mode=hybrid {shape} rel_l2={row['rel_l2']:.3e} {row['verdict']}")
+        print(f"hybrid_plan backend={plan.backend.value} fill_in={plan.fill_in_ratio:.4f} block_density={plan.block_density:.6f} "
+              f"threshold={plan.threshold:.2f} n_aligned={int(plan.n_aligned)} reason=\"{plan.reason}\"")
+        mode, product = "hybrid", lambda: multiply.hybrid(a, b, args.threshold)
+        if args.multi_gpu or args.gpus:
+            shards = multiply.clamp_devices(spark, args.gpus if args.gpus is not None else multiply.device_count(spark))
+            mode, product = "multigpu", lambda: multiply.sharded(a, b, shards)
+            split = {r["shard"]: r for r in layout.shard_summary(a, shards).collect()}
+            parts = [f"gpu{g}:rows={split[g]['n_rows'] if g in split else 0},nnz={split[g]['nnz'] if g in split else 0}" for g in range(shards)]
+            print(f"multigpu_split gpus={shards} {' '.join(parts)}")
+        elif args.unified:
+            mode, product = "unified", lambda: multiply.shuffled(a, b)
+        seconds, _ = evaluate.benchmark(product, 1, 1)
+        rate = 2.0 * nnz * args.n / max(seconds * 1e9, 1e-9)
+        line = f"run mode={mode} {shape} time_ms={1000 * seconds:.4f} gflops={rate:.4f}"
+        if args.no_verify:
+            print(f"{line} rel_l2_err=nan [unverified]")
+            return 0
+        found = evaluate.error_stats(product(), multiply.long(a, b))
+        row = found.select("rel_l2", evaluate.verdict(F.col("rel_l2")).alias("verdict")).first()
+        print(f"{line} rel_l2_err={row['rel_l2']:.3e} {row['verdict']}")
         return 0 if row["verdict"] == "[PASS]" else 1
     names = list(multiply.STRATEGIES) if args.kernel == "all" else [args.kernel]
     for name in names:

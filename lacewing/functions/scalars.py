@@ -26,8 +26,8 @@ def to_half(x: Column) -> Column:
 
 
 def upper_median(x: str) -> Column:
-    """Element n // 2 of the sorted values, not a mean of two; null for none."""
-    return F.expr(f"CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC) AS DOUBLE)")
+    """Element n // 2 of the sorted values, not a mean of two; 0 for none."""
+    return F.expr(f"coalesce(CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC) AS DOUBLE), 0.0D)")
 
 
 def gflops(nnz, n, ms) -> Column:

@@ -17,18 +17,21 @@ def compulsory_bytes(m, k, n, nnz):
     return 8 * nnz.cast("long") + 4 * (m.cast("long") + 1) + 4 * k.cast("long") * n + 4 * m.cast("long") * n
 
 
-def roofline(rows: DataFrame, n: int = 256) -> DataFrame:
-    """Places each row (kernel, m, nnz, gflops; square) under the roof."""
-    m, nnz = F.col("m"), F.col("nnz").cast("long")
-    ai = 2.0 * nnz * n / compulsory_bytes(m, m, F.lit(n), nnz)
-    out = rows.withColumn("ai", ai).withColumn("ceiling", F.least(F.lit(PEAK), F.col("ai") * BANDWIDTH))
+def roofline(rows: DataFrame) -> DataFrame:
+    """Places each row (kernel, m, k, n, nnz, time_ms, gflops) under the roof. Bandwidth is that
+    of the compulsory bytes in the measured time."""
+    m, k, n, nnz = F.col("m"), F.col("k"), F.col("n"), F.col("nnz").cast("long")
+    out = rows.withColumn("flops", 2.0 * nnz * n).withColumn("dram_bytes", compulsory_bytes(m, k, n, nnz))
+    out = out.withColumn("ai", F.col("flops") / F.col("dram_bytes")).withColumn("eff_bw", F.col("dram_bytes") / (F.col("time_ms") * 1e6))
+    out = out.withColumn("ceiling", F.least(F.lit(PEAK), F.col("ai") * BANDWIDTH))
     return out.select(
-        "kernel", "m", "nnz", "gflops", "ai", "ceiling",
+        "kernel", "m", "k", "n", "nnz", "time_ms", "gflops", "flops", "dram_bytes", "ai", "ceiling",
         (100 * F.col("gflops") / PEAK).alias("pct_peak"),
         (100 * F.col("gflops") / F.col("ceiling")).alias("pct_roof"),
-        (F.col("gflops") / F.col("ai")).alias("eff_bw"),
-        F.when(F.col("ai") > PEAK / BANDWIDTH, F.lit("compute")).otherwise(F.lit("memory")).alias("bound"),
-        (4 * m.cast("long") * n <= CACHE).alias("b_fits"),
+        "eff_bw",
+        (100 * F.col("eff_bw") / BANDWIDTH).alias("pct_bw"),
+        F.when(F.col("ai") > PEAK / BANDWIDTH, F.lit("compute/L2")).otherwise(F.lit("memory")).alias("bound"),
+        (4 * k.cast("long") * n <= CACHE).alias("b_fits"),
     )
 
 
@@ -39,35 +42,38 @@ def best_per_cell(rows: DataFrame, cell: list[str], score: str, order: str, skip
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def keep_first(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+def keep_first(rows: DataFrame, keys: list[str], order: str | list[str]) -> DataFrame:
     """The first row of each key; nulls are equal to each other."""
-    w = W.partitionBy(*keys).orderBy(order)
+    w = W.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def speedups(rows: DataFrame, baseline: str) -> DataFrame:
-    """Median over sizes of baseline time over kernel time, by (pattern, m, kernel); rows are
-    (pattern, m, nnz, kernel, ms, seq). A kernel's last row counts; cells without a baseline,
-    or with one of zero, go."""
-    rows = rows.withColumn("kernel", strategy_label(F.col("kernel")))
+def speedups(rows: DataFrame, baseline: str = "baseline", kernels: list[str] | None = None) -> DataFrame:
+    """Median over nnz of a kernel's rate over the baseline's, by (pattern, m, kernel); rows are
+    (pattern, m, nnz, kernel, gflops, seq). The last row of a name in a cell counts; cells
+    without a baseline, or with one of zero, go. Names are put under one label only after
+    that, so that several variants of one label all count. ``kernels`` are labels to keep."""
     last = W.partitionBy("pattern", "m", "nnz", "kernel").orderBy(F.desc("seq"))
     rows = rows.withColumn("_k", F.row_number().over(last)).where("_k = 1")
-    base = F.max(F.when(F.col("kernel") == baseline, F.col("ms"))).over(W.partitionBy("pattern", "m", "nnz"))
-    rows = rows.withColumn("base", base).where("base > 0 AND ms > 0")
-    return rows.groupBy("pattern", "m", "kernel").agg(F.median(F.col("base") / F.col("ms")).alias("speedup"))
+    base = F.max(F.when(F.col("kernel") == baseline, F.col("gflops"))).over(W.partitionBy("pattern", "m", "nnz"))
+    rows = rows.withColumn("base", base).where("base <> 0").withColumn("kernel", strategy_label(F.col("kernel")))
+    if kernels is not None:
+        rows = rows.where(F.col("kernel").isin(kernels))
+    return rows.groupBy("pattern", "m", "kernel").agg(F.median(F.col("gflops") / F.col("base")).alias("speedup"))
 
 
 def size_label(m):
     return F.concat(F.expr(f"CAST({m} div 1024 AS STRING)"), F.lit("k"))
 
 
-def profile_metrics(rows: DataFrame) -> DataFrame:
-    """(id, dram_pct, duration, unit, flops, compulsory) -> measured MB, intensity and traffic
-    ratio, rounded half to even; durations may have commas and be in us."""
-    ms = F.regexp_replace("duration", ",", "").cast("double") / F.when(F.col("unit") == "us", 1000.0).otherwise(1.0)
-    mb = F.col("dram_pct") / 100 * BANDWIDTH * ms
-    return rows.select(
-        "id", ms.alias("ms"), F.bround(mb, 1).alias("dram_mb"),
-        F.when(mb > 0, F.bround(F.col("flops") / (mb * 1e6), 2)).alias("ai_measured"),
-        F.when(F.col("compulsory") > 0, F.bround(mb * 1e6 / F.col("compulsory"), 1)).alias("traffic_ratio"),
-    )
+def profile_numbers(rows: DataFrame) -> DataFrame:
+    """Adds to profiles (m, k, n, nnz, dram_pct, duration_ms) the measured MB, the compulsory and
+    the measured intensity and the traffic ratio, rounded half to even; null where a part is
+    missing, and measured ones also where no MB were."""
+    nnz, n = F.col("nnz").cast("long"), F.col("n")
+    flops = 2.0 * nnz * n
+    need = compulsory_bytes(F.col("m"), F.col("k"), n, nnz)
+    mb = F.bround(F.col("dram_pct") / 100 * BANDWIDTH * F.col("duration_ms"), 1)
+    some = F.when(F.col("measured_dram_mb") != 0, F.col("measured_dram_mb") * 1e6)
+    rows = rows.withColumn("measured_dram_mb", mb).withColumn("ai_compulsory", F.bround(flops / need, 2))
+    return rows.withColumn("ai_measured", F.bround(flops / some, 2)).withColumn("traffic_ratio", F.bround(some / need, 1))

@@ -41,15 +41,17 @@ def wide(a: SparseMatrix, b: DenseMatrix, tile: int = 64) -> DataFrame:
     for each tile: no element is ever a row before the sums are done."""
     if tile < 1:
         raise ValueError("tile must be positive")
+    if not b.n_cols:
+        return long(a, b)
     joined = a.entries.join(_small(b.rows.withColumnRenamed("k", "col"), b), "col")
-    out = None
-    for at in range(0, b.n_cols, tile):
-        columns = range(at, min(at + tile, b.n_cols))
-        sums = joined.groupBy("row").agg(*(F.sum(F.col("val") * F.get("b", F.lit(j))).alias(f"c{j}") for j in columns))
-        part = sums.select("row", F.posexplode(F.array(*(f"c{j}" for j in columns))).alias("p", "c"))
-        part = part.select("row", (F.col("p") + at).alias("j"), "c")
-        out = part if out is None else out.union(part)
-    return long(a, b) if out is None else out
+    starts = range(0, b.n_cols, tile)
+    # One scan and join for all tiles: an entry makes a row for each tile, with its part of b.
+    tiles = joined.select("row", "val", F.posexplode(F.array(*(F.slice("b", at + 1, tile) for at in starts))).alias("t", "b")) if len(starts) > 1 else joined.withColumn("t", F.lit(0))
+    columns = range(min(tile, b.n_cols))
+    sums = tiles.groupBy("row", "t").agg(*(F.sum(F.col("val") * F.get("b", F.lit(j))).alias(f"c{j}") for j in columns))
+    out = sums.select("row", "t", F.posexplode(F.array(*(f"c{j}" for j in columns))).alias("p", "c"))
+    out = out.select("row", (F.col("t") * tile + F.col("p")).alias("j"), "c")
+    return out.where(F.col("j") < b.n_cols) if b.n_cols % tile and len(starts) > 1 else out
 
 
 def aligned_wide(a: SparseMatrix, b: DenseMatrix, tile: int = 128) -> DataFrame:
@@ -74,10 +76,10 @@ def block(a: SparseMatrix, b: DenseMatrix, half: bool = False) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left = np.array(batch.column("block").to_pylist()).reshape(-1, BLOCK, BLOCK)
+            left = batch.column("block").flatten().to_numpy(zero_copy_only=False).reshape(-1, BLOCK, BLOCK)
             right = np.zeros((batch.num_rows, BLOCK, n), left.dtype)
-            for i, (at, rows) in enumerate(zip(batch.column("at").to_pylist(), batch.column("b").to_pylist())):
-                right[i, at] = rows
+            strip = np.repeat(np.arange(batch.num_rows), batch.column("at").value_lengths().to_numpy())
+            right[strip, batch.column("at").flatten().to_numpy()] = batch.column("b").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
             product = left @ right
             br, back = np.unique(batch.column("br").to_numpy(), return_inverse=True)
             total = np.zeros((br.size, BLOCK, n), product.dtype)
@@ -93,11 +95,23 @@ def block(a: SparseMatrix, b: DenseMatrix, half: bool = False) -> DataFrame:
     return parts.groupBy("row", "j").agg(F.sum("c").alias("c")).join(held, "row", "left_semi")
 
 
+def device_count(spark) -> int:
+    return spark.sparkContext.defaultParallelism
+
+
+def clamp_devices(spark, wanted: int) -> int:
+    """As many devices as wanted, within 1 and those there are."""
+    return max(1, min(wanted, device_count(spark)))
+
+
 def sharded(a: SparseMatrix, b: DenseMatrix, n_shards: int) -> DataFrame:
-    """Rows dealt to shards of about as many entries; no sum crosses a shard."""
+    """Rows dealt to shards of about as many entries; no sum crosses a shard: the shard stays
+    in the key, so that the deal serves the sums too."""
     shards = nnz_shards(a, n_shards).select("row", "shard")
     dealt = a.entries.join(shards, "row").repartition(n_shards, "shard")
-    return packed(SparseMatrix(dealt.select("row", "col", "val"), a.n_rows, a.n_cols), b)
+    joined = dealt.join(_small(b.rows.withColumnRenamed("k", "col"), b), "col")
+    parts = joined.select("shard", "row", "val", F.posexplode("b").alias("j", "x"))
+    return parts.groupBy("shard", "row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c")).select("row", "j", "c")
 
 
 def shuffled(a: SparseMatrix, b: DenseMatrix) -> DataFrame:
@@ -115,7 +129,7 @@ def hybrid(a: SparseMatrix, b: DenseMatrix, threshold: float = planner.THRESHOLD
 STRATEGIES = {
     "baseline": long, "memopt": packed, "memopt_v2": packed, "tiled": wide, "tiled_v2": aligned_wide,
     "tiled_v3": lambda a, b: wide(a, b, 128), "tiled_v4": lambda a, b: wide(a, b, 256), "wmma": block,
-    "hybrid": hybrid, "multigpu": lambda a, b: sharded(a, b, a.entries.sparkSession.sparkContext.defaultParallelism), "unified": shuffled,
+    "hybrid": hybrid, "multigpu": lambda a, b: sharded(a, b, device_count(a.entries.sparkSession)), "unified": shuffled,
 }
 
 

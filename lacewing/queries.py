@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacewing.functions.scalars import gflops, to_half, upper_median
-from lacewing.operators import analytics, evaluate, layout, multiply
+from lacewing.operators import analytics, evaluate, layout, multiply, sweep
 from lacewing.plans import planner
 from lacewing.plans.matrix import DenseMatrix, SparseMatrix
 from lacewing.sources import csr_binary, generate, logs
@@ -82,7 +82,8 @@ def _product(name, strategy):
     query(PRODUCT)(run)
 
 
-_product("spmm_supplier_embedding", lambda a, b: multiply.wide(a, b))
+_product("spmm_supplier_embedding", multiply.long)
+_product("spmm_tiled", lambda a, b: multiply.wide(a, b))
 _product("spmm_long", multiply.long)
 _product("spmm_packed", multiply.packed)
 _product("spmm_tiled_16", lambda a, b: multiply.wide(a, b, 16))
@@ -127,6 +128,21 @@ def spmm_fp16(spark, sf_dir):
     return multiply.block(supplier_matrix(spark, sf_dir), half).select("row", "j", "c")
 
 
+@query(
+    f"WITH {A}, {B}, x AS (SELECT k, j, b / 1000000.0::DOUBLE AS x FROM b), q AS (SELECT *, {HALF_STEP} AS q FROM x), "
+    f"h AS (SELECT k, j, CAST(round_even(({HALF}) * {HALF_SCALE}, 0) AS BIGINT) AS b FROM q), "
+    f"av AS (SELECT row, col, val * 17.0::DOUBLE AS x FROM a), aq AS (SELECT *, {HALF_STEP} AS q FROM av), ah AS (SELECT row, col, {HALF} AS val FROM aq) "
+    "SELECT ah.row, h.j, CAST(sum(ah.val * h.b) AS BIGINT) AS c FROM ah JOIN h ON ah.col = h.k GROUP BY 1, 2"
+)
+def spmm_fp16_both(spark, sf_dir):
+    """Both sides rounded; the sparse one is scaled so that rounding shows."""
+    a, b = supplier_matrix(spark, sf_dir), dense(spark, sf_dir)
+    near = F.transform("b", lambda x: F.rint(to_half(x / F.lit(1000000.0)) * HALF_SCALE).cast("double"))
+    half = DenseMatrix(b.rows.select("k", near.alias("b")), b.n_rows, b.n_cols)
+    scaled = SparseMatrix(a.entries.withColumn("val", F.col("val") * F.lit(17.0)), a.n_rows, a.n_cols)
+    return multiply.block(scaled, half, half=True).select("row", "j", F.col("c").cast("long").alias("c"))
+
+
 @query(
     f"WITH x AS (SELECT vec_id, unnest(range(len(embedding))) AS j, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), q AS (SELECT *, {HALF_STEP} AS q FROM x) "
     f"SELECT vec_id, CAST(j AS INTEGER) AS j, {HALF} AS h FROM q"
@@ -265,19 +281,23 @@ def gflops_density(spark, sf_dir):
     return rows.select("row", gflops(F.col("nnz"), 64, F.col("row") + 1).alias("gflops"), (F.col("nnz") / F.lit(float(a.n_cols))).alias("density"))
 
 
-# Made-up log rows in the log's format: (kernel, m, nnz, gflops).
-CELLS = [("k1", 1024, 10000, 200.0), ("k2", 1024, 10000, 230.0), ("k1", 4096, 840000, 240.0), ("hybrid[csr]", 4096, 840000, 380.0), ("k2", 16384, 13400000, 250.0)]
-_CELLS_SQL = "cells AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {m}, {z}, {g}::DOUBLE)" for k, m, z, g in CELLS) + ") t(kernel, m, nnz, gflops))"
+# Made-up log rows in the log's format: (kernel, m, k, n, nnz, time_ms, gflops).
+CELLS = [
+    ("k1", 1024, 1024, 256, 10000, 0.0256, 200.0), ("k2", 1024, 1024, 256, 10000, 0.0222, 230.0), ("k1", 4096, 2048, 256, 840000, 1.792, 240.0),
+    ("hybrid[csr]", 4096, 4096, 256, 840000, 1.1318, 380.0), ("k2", 16384, 16384, 256, 13400000, 27.4432, 250.0),
+]
+_CELLS_SQL = "cells AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {m}, {k}, {n}, {z}::BIGINT, {t}::DOUBLE, {g}::DOUBLE)" for c, m, k, n, z, t, g in CELLS)
+_CELLS_SQL += ") t(kernel, m, k, n, nnz, time_ms, gflops))"
 
 
 @query(
-    f"""WITH {_CELLS_SQL}, x AS (SELECT *, 2.0::DOUBLE * nnz * 256 / (8 * nnz::BIGINT + 4 * (m + 1) + 8 * m * 256) AS ai FROM cells),
-y AS (SELECT *, least(8140.0::DOUBLE, ai * 320) AS ceiling FROM x)
-SELECT kernel, m, CAST(nnz AS BIGINT) AS nnz, gflops, ai, ceiling, 100 * gflops / 8140 AS pct_peak, 100 * gflops / ceiling AS pct_roof, gflops / ai AS eff_bw,
-CASE WHEN ai > 25.4375 THEN 'compute' ELSE 'memory' END AS bound, 4 * m * 256 <= 4194304 AS b_fits FROM y"""
+    f"""WITH {_CELLS_SQL}, x AS (SELECT *, 2.0::DOUBLE * nnz * n AS flops, 8 * nnz + 4 * (m::BIGINT + 1) + 4 * k::BIGINT * n + 4 * m::BIGINT * n AS dram_bytes FROM cells),
+y AS (SELECT *, flops / dram_bytes AS ai, least(8140.0::DOUBLE, flops / dram_bytes * 320) AS ceiling, dram_bytes / (time_ms * 1e6) AS eff_bw FROM x)
+SELECT kernel, m, k, n, nnz, time_ms, gflops, flops, dram_bytes, ai, ceiling, 100 * gflops / 8140 AS pct_peak, 100 * gflops / ceiling AS pct_roof,
+eff_bw, 100 * eff_bw / 320 AS pct_bw, CASE WHEN ai > 25.4375 THEN 'compute/L2' ELSE 'memory' END AS bound, 4 * k::BIGINT * n <= 4194304 AS b_fits FROM y"""
 )
 def roofline(spark, sf_dir):
-    return analytics.roofline(spark.createDataFrame(CELLS, "kernel string, m int, nnz long, gflops double"))
+    return analytics.roofline(spark.createDataFrame(CELLS, "kernel string, m int, k int, n int, nnz long, time_ms double, gflops double"))
 
 
 _BEST = """WITH t AS (SELECT user_id, event_type, value, event_id FROM events WHERE event_type <> 'error')
@@ -290,20 +310,23 @@ def best_per_cell(spark, sf_dir):
     return analytics.best_per_cell(rows, ["user_id"], "value", "event_id", F.col("event_type") == "error")
 
 
-_SPEED = """WITH t AS (SELECT user_id % 3 AS pattern, event_id % 2 AS m, user_id % 50 AS nnz, CASE WHEN event_type = 'view' THEN 'hybrid' ELSE event_type END AS kernel, value AS ms, event_id AS seq FROM events),
-l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pattern, m, nnz, kernel ORDER BY seq DESC) AS k FROM t) WHERE k = 1),
-b AS (SELECT *, max(CASE WHEN kernel = 'click' THEN ms END) OVER (PARTITION BY pattern, m, nnz) AS base FROM l)
-SELECT pattern, m, kernel, median(base / ms) AS speedup FROM b WHERE base > 0 AND ms > 0 GROUP BY 1, 2, 3"""
+# Two variants of one label in many cells, a baseline that is missing or zero in others.
+_SPEED = """WITH t AS (SELECT user_id % 3 AS pattern, event_id % 2 AS m, user_id % 50 AS nnz, event_type AS name, round(value) AS rate, event_id AS seq FROM events),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pattern, m, nnz, name ORDER BY seq DESC) AS k FROM t) WHERE k = 1),
+b AS (SELECT l.*, c.rate AS base FROM l JOIN l c ON c.name = 'click' AND l.pattern = c.pattern AND l.m = c.m AND l.nnz = c.nnz WHERE c.rate <> 0)
+SELECT pattern, m, CASE WHEN name IN ('view', 'purchase') THEN 'hybrid' ELSE name END AS kernel, median(rate / base) AS speedup
+FROM b WHERE name IN ('view', 'purchase', 'click', 'login') GROUP BY 1, 2, 3"""
 
 
 @query(_SPEED)
 def speedup_median(spark, sf_dir):
-    kernel = F.when(F.col("event_type") == "view", F.lit("hybrid[csr]")).otherwise(F.col("event_type"))
+    kind = F.col("event_type")
+    kernel = F.when(kind == "view", F.lit("hybrid[csr]")).when(kind == "purchase", F.lit("hybrid[wmma]")).otherwise(kind)
     rows = _table(spark, sf_dir, "events").select(
         (F.col("user_id") % 3).alias("pattern"), (F.col("event_id") % 2).alias("m"), (F.col("user_id") % 50).alias("nnz"),
-        kernel.alias("kernel"), F.col("value").alias("ms"), F.col("event_id").alias("seq"),
+        kernel.alias("kernel"), F.round("value").alias("gflops"), F.col("event_id").alias("seq"),
     )
-    return analytics.speedups(rows, "click")
+    return analytics.speedups(rows, "click", ["hybrid", "click", "login"])
 
 
 @query(
@@ -320,31 +343,82 @@ def distinct_sizes(spark, sf_dir):
     return sizes.select("m", analytics.size_label("m").alias("label"))
 
 
-PROFILE = [(1, 50.0, "1,250.0", "us", 4.0e8, 2.0e7), (2, 75.0, "2.0", "ms", 8.0e8, 1.0e7), (3, 25.0, "0.5", "ms", 1.0e8, 0.0)]
+_LINE = "kernel=k1 m=1024 k=1024 n=256 nnz=10000 density=0.01 time_ms=0.03 gflops=177.3"
+_BODY = "GPU Speed Of Light\nMemory Throughput   %   61.5\nDRAM Throughput % {}\nL1/TEX Cache Throughput % 30.5\nL2 Cache Throughput % 20\nCompute (SM) Throughput % 70.25\nDuration {}\n"
+# Cells of a notebook: (cell, source, text). A bundle of two, a repeat of the first, a cell without the marker.
+PROFILE = [
+    (0, "# first profile\nrun()", _LINE + "\n" + _BODY.format("50.0", "us 1,250.0")),
+    (2, "bundle", "pre\n========== a.txt ==========\n" + _BODY.format("75", "ms 2.0") + "========== b.txt ==========\n" + _LINE + "\n" + _BODY.format("0.0", "ms 0.5")),
+    (3, "again", _LINE + "\n" + _BODY.format("50.0", "us 1,250.0")),
+    (4, "nothing", "DRAM Throughput % 50"),
+]
 
 
 @query(
-    "SELECT * FROM (VALUES (1, 1.25::DOUBLE, 200.0::DOUBLE, 2.0::DOUBLE, 10.0::DOUBLE), (2, 2.0, 480.0, 1.67, 48.0), (3, 0.5, 40.0, 2.5, NULL)) t(id, ms, dram_mb, ai_measured, traffic_ratio)"
+    """SELECT * FROM (VALUES
+(0, 'first profile', 'k1', 1024, 1024, 256, 10000::BIGINT, 61.5::DOUBLE, 50.0::DOUBLE, 30.5::DOUBLE, 20.0::DOUBLE, 70.25::DOUBLE, 1.25::DOUBLE, 200.0::DOUBLE, 2.34::DOUBLE, 0.03::DOUBLE, 91.6::DOUBLE),
+(2, 'a.txt', NULL, NULL, NULL, NULL, NULL, 61.5, 75.0, 30.5, 20.0, 70.25, 2.0, 480.0, NULL, NULL, NULL),
+(2, 'b.txt', 'k1', 1024, 1024, 256, 10000, 61.5, 0.0, 30.5, 20.0, 70.25, 0.5, 0.0, 2.34, NULL, NULL))
+t(cell, source, kernel, m, k, n, nnz, mem_pct, dram_pct, l1tex_pct, l2_pct, sm_pct, duration_ms, measured_dram_mb, ai_compulsory, ai_measured, traffic_ratio)"""
 )
-def profile_metrics(spark, sf_dir):
-    return analytics.profile_metrics(spark.createDataFrame(PROFILE, "id int, dram_pct double, duration string, unit string, flops double, compulsory double"))
+def profile_extract(spark, sf_dir):
+    return logs.profiles(spark.createDataFrame(PROFILE, "cell int, source string, text string"))
+
 
+@query("SELECT * FROM (VALUES ('A1', 'DRAM 5' || chr(10) || 'x' || chr(10)), ('C 3', 'more DRAM')) t(name, body)")
+def sections(spark, sf_dir):
+    text = "intro\n====== A1 ======\nDRAM 5\nx\n====== B2 ======\nnothing\n====== C 3 ======\nmore DRAM"
+    return logs.sections(spark.createDataFrame([(text,)], "value string"), "DRAM")
 
+
+# Blanks around a line, two blanks between fields, a field that comes twice, a note after one.
 LOG = [
     "kernel=k1 m=1024 k=1024 n=256 nnz=10388 density=0.01 time_ms=0.03 gflops=177.3",
-    "kernel=hybrid[csr] m=4096 k=4096 n=256 nnz=167686 time_ms=1.5e-1 gflops=572.4",
+    "  kernel=hybrid[csr] m=4096  k=4096 n=256 nnz=167686 time_ms=1.5e-1 gflops=572.4 \t",
+    "kernel=k3 m=7 k=8 n=9 nnz=1 m=10 (again) time_ms=2 gflops=3 gflops=4.5",
     "bsr_stats blocks=12 stored_elems=3072 original_nnz=99 fill_in_ratio=31.0 block_density=0.5",
     "kernel=k2 m=1024 k=1024 n=256 time_ms=0.03 gflops=177.3",
 ]
 
 
 @query(
-    "SELECT * FROM (VALUES ('k1', 1024, 1024, 256, 10388::BIGINT, 0.01::DOUBLE, 0.03::DOUBLE, 177.3::DOUBLE), ('hybrid[csr]', 4096, 4096, 256, 167686, NULL, 0.15, 572.4)) t(kernel, m, k, n, nnz, density, time_ms, gflops)"
+    "SELECT * FROM (VALUES ('k1', 1024, 1024, 256, 10388::BIGINT, 0.01::DOUBLE, 0.03::DOUBLE, 177.3::DOUBLE), ('hybrid[csr]', 4096, 4096, 256, 167686, NULL, 0.15, 572.4), "
+    "('k3', 10, 8, 9, 1, NULL, 2.0, 4.5)) t(kernel, m, k, n, nnz, density, time_ms, gflops)"
 )
 def log_parse(spark, sf_dir):
     return logs.parse_lines(spark.createDataFrame([(x,) for x in LOG], "value string"))
 
 
+def _scratch(spark, name: str) -> str:
+    """A new path in the shared folder; a folder of this machine only if the master is local."""
+    import tempfile
+    import uuid
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        folder = "file://" + tempfile.mkdtemp(prefix="lacewing-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "SELECT * FROM (VALUES ('table', 'banded', 'k1', 64, 3104::BIGINT, 2.5::DOUBLE), ('table', 'uniform', 'k2', 64, 7, 1.5), "
+    "('log', 'uniform', 'k1', 1024, 10388, 177.3), ('log', 'uniform', 'hybrid[csr]', 4096, 167686, 572.4), ('log', 'uniform', 'k3', 10, 1, 4.5)) t(origin, pattern, kernel, m, nnz, gflops)"
+)
+def csv_or_log(spark, sf_dir):
+    """The same loader on a table with columns in an order of its own and on a log."""
+    table, log = _scratch(spark, "table") + ".csv", _scratch(spark, "log") + ".txt"
+    lines = ["nnz,pattern,gflops,kernel,time_ms,m", "3104,banded,2.5,k1,1,64", "7,,1.5,k2,1,64", "x,banded,2.5,k1,1,64"]
+    for path, text in ((table, lines), (log, LOG)):
+        spark.createDataFrame([(x,) for x in text], "value string").coalesce(1).write.text(path)
+    out = None
+    for name, path in (("table", table), ("log", log)):
+        part = logs.read_rows(spark, path).select(F.lit(name).alias("origin"), "pattern", "kernel", "m", "nnz", "gflops")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def _hash_sql(*keys: str, salt: int = 42) -> str:
     h = str(salt) + "::BIGINT"
     for k in keys:
@@ -371,13 +445,21 @@ def gen_blockdiag(spark, sf_dir):
     return generate.block_diagonal(spark, 200, 300, 16).entries
 
 
-@query(
-    f"WITH r AS (SELECT row, {_hash_sql('row', salt=11)} % 400 AS rank, {_hash_sql('row', salt=13)} % 300 AS s FROM (SELECT unnest(range(400)) AS row)), "
-    "d AS (SELECT row, s, least(300, greatest(1, 8 * 400 // (4 * (rank + 1)))) AS d FROM r), c AS (SELECT row, (s + unnest(range(d))) % 300 AS col FROM d) "
-    f"SELECT row, col, {_VALUE} FROM c"
-)
+def _power_law_sql(rows: int, cols: int, mean: float, alpha: float) -> str:
+    """(row, col) of the power-law generator."""
+    return f"""WITH u AS (SELECT row, pow(({_hash_sql('row', salt=11)} + 0.5::DOUBLE) / {generate.SCALE}, {-1.0 / alpha}::DOUBLE) AS raw FROM (SELECT unnest(range({rows})) AS row)),
+d AS (SELECT row, least({cols}, greatest(1, round_even(raw * ({float(mean)}::DOUBLE / (SELECT sum(raw) / count(*) FROM u)), 0)))::INT AS d FROM u),
+i AS (SELECT row, d, unnest(range(3 * d + 21)) AS i FROM d),
+f AS (SELECT row, d, {_hash_sql('row', 'i', salt=13)} % {cols} AS col, min(i) AS i FROM i GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY i) AS k, count(*) OVER (PARTITION BY row) AS n FROM f),
+x AS (SELECT row, d, unnest(range({cols})) AS c FROM (SELECT DISTINCT row, d FROM r WHERE n < d)),
+y AS (SELECT row, d, c, row_number() OVER (PARTITION BY row ORDER BY {_hash_sql('row', 'c', salt=17)}, c) AS k FROM x)
+SELECT row, col FROM r WHERE n >= d AND k <= d UNION ALL SELECT row, c AS col FROM y WHERE k <= d"""
+
+
+@query(f"SELECT row, col, {_VALUE} FROM ({_power_law_sql(400, 300, 8, 1.1)})")
 def gen_powerlaw_hash(spark, sf_dir):
-    return generate.power_law(spark, 400, 300, 8).entries
+    return generate.power_law(spark, 400, 300, 8, 1.1).entries
 
 
 @query(f"SELECT k, CAST(j AS INTEGER) AS j, CAST({_hash_sql('k', 'j', salt=43)} % 2000 - 1000 AS BIGINT) AS b FROM (SELECT unnest(range(100)) AS k) CROSS JOIN (SELECT unnest(range(24)) AS j)")
@@ -400,12 +482,31 @@ def pattern_stats(spark, sf_dir):
     return out
 
 
+def _sweep_sql(sizes, n: int) -> str:
+    cells = {
+        "uniform": lambda m: f"SELECT row, col FROM (SELECT unnest(range({m})) AS row) CROSS JOIN (SELECT unnest(range({m})) AS col) WHERE {_hash_sql('row', 'col')} < {int(0.01 * generate.SCALE)}",
+        "banded": lambda m: f"SELECT row, col FROM (SELECT unnest(range({m})) AS row) CROSS JOIN (SELECT unnest(range({m})) AS col) WHERE abs(row - col) <= 32",
+        "block-diagonal": lambda m: f"SELECT row, col FROM (SELECT unnest(range({m})) AS row) CROSS JOIN (SELECT unnest(range({m})) AS col) WHERE row // 16 = col // 16",
+        "power-law": lambda m: _power_law_sql(m, m, 32, 2.5),
+    }
+    parts = []
+    for name, sql in cells.items():
+        for m in sizes:
+            b = f"SELECT k, j, {_hash_sql('k', 'j', salt=43)} % 2000 - 1000 AS b FROM (SELECT unnest(range({m})) AS k) CROSS JOIN (SELECT unnest(range({n})) AS j)"
+            parts.append(
+                f"SELECT '{name}' AS pattern, {m} AS m, (SELECT count(*) FROM ({sql(m)})) AS nnz, count(*) AS cells, CAST(sum(c) AS BIGINT) AS total FROM "
+                f"(SELECT row, j, sum(val * b) AS c FROM (SELECT row, col, {_VALUE} FROM ({sql(m)})) JOIN ({b}) ON col = k GROUP BY 1, 2)"
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query(_sweep_sql((64, 256), 16))
+def pattern_sweep(spark, sf_dir):
+    return sweep.pattern_sweep(spark, (64, 256), 16)
+
+
 @query(f"WITH {A} SELECT row, col, CAST(val AS BIGINT) AS val FROM a")
 def csr_binary_roundtrip(spark, sf_dir):
-    import tempfile
-    import uuid
-
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lacewing-")).rstrip("/")
-    path = f"{folder}/matrix-{uuid.uuid4().hex}.bin"
+    path = _scratch(spark, "matrix") + ".bin"
     csr_binary.write(supplier_matrix(spark, sf_dir), path)
     return csr_binary.read(spark, path, 64).entries.withColumn("val", F.col("val").cast("long"))

@@ -42,14 +42,22 @@ def block_diagonal(spark: SparkSession, n_rows: int, n_cols: int, block: int) ->
     return _matrix(cells, n_rows, n_cols)
 
 
-def power_law(spark: SparkSession, n_rows: int, n_cols: int, mean_degree: int) -> SparseMatrix:
-    """Degrees fall with the rank of a hash, as mean * n_rows / (4 * (rank + 1)) and at least 1;
-    a row's columns are spread from a hashed start, hence distinct."""
-    rank = uniform_hash(F.col("id"), salt=11) % n_rows
-    degree = F.least(F.lit(n_cols), F.greatest(F.lit(1), F.expr(f"({mean_degree} * {n_rows})") / (4 * (rank + 1)))).cast("long")
-    rows = spark.range(n_rows).select(F.col("id").alias("row"), degree.alias("d"), (uniform_hash(F.col("id"), salt=13) % n_cols).alias("s"))
-    cells = rows.select("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("d") - 1)).alias("i"), "s")
-    return _matrix(cells.select("row", ((F.col("s") + F.col("i")) % n_cols).alias("col")), n_rows, n_cols)
+def power_law(spark: SparkSession, n_rows: int, n_cols: int, mean_degree: float, alpha: float = 2.5) -> SparseMatrix:
+    """Degrees are 1 plus a Pareto number of shape ``alpha``, by a hash of the row, scaled to the
+    mean over all rows, rounded half to even and kept in [1, n_cols]. A row's columns are the
+    first distinct ones of a hashed sequence; where that is too short for a dense row, the
+    columns of least hash. Work is in proportion to the entries."""
+    u = (uniform_hash(F.col("id"), salt=11) + F.lit(0.5)) / SCALE
+    raw = spark.range(n_rows).select(F.col("id").alias("row"), F.pow(u, F.lit(-1.0 / alpha)).alias("raw"))
+    mean = F.broadcast(raw.agg((F.sum("raw") / F.count("*")).alias("mean")))  # one row
+    degree = F.least(F.lit(n_cols), F.greatest(F.lit(1), F.rint(F.col("raw") * (F.lit(float(mean_degree)) / F.col("mean"))))).cast("int")
+    rows = raw.crossJoin(mean).select("row", degree.alias("d"))
+    tries = F.transform(F.sequence(F.lit(0), 3 * F.col("d") + 20), lambda i: uniform_hash(F.col("row"), i.cast("long"), salt=13) % n_cols)
+    rows = rows.withColumn("cols", F.array_distinct(tries))
+    ranked = F.transform(F.sequence(F.lit(0), F.lit(max(n_cols, 1) - 1)), lambda c: F.struct(uniform_hash(F.col("row"), c.cast("long"), salt=17).alias("h"), c.cast("long").alias("c")))
+    dense = F.transform(F.array_sort(ranked), lambda x: x["c"])
+    chosen = F.slice(F.when(F.size("cols") >= F.col("d"), F.col("cols")).otherwise(dense), F.lit(1), F.col("d"))
+    return _matrix(rows.select("row", F.explode(chosen).alias("col")), n_rows, n_cols)
 
 
 def dense(spark: SparkSession, n_rows: int, n_cols: int, salt: int = 43) -> DenseMatrix:

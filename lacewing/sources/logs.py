@@ -1,24 +1,43 @@
-"""Benchmark logs and tables as DataFrames."""
+"""Benchmark logs, tables and profiler notebooks as DataFrames."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SWEEP = "kernel STRING, m INT, k INT, n INT, nnz BIGINT, time_ms DOUBLE, gflops DOUBLE"
+PROFILES = "kernel STRING, m INT, nnz BIGINT, dram_pct DOUBLE, l1tex_pct DOUBLE, sm_pct DOUBLE"
+
+# The log's fields, the header of a bundled profile, and a profile's lines.
+FIELD = r"(\w+)=([\-\d.eE+]+|\w+\[?\w*\]?)"
+BUNDLE = r"={10}\s+(\S+\.txt)\s+={10}"
+MARKER = "GPU Speed Of Light"
+PERCENTS = {
+    "mem_pct": "Memory Throughput",
+    "dram_pct": "DRAM Throughput",
+    "l1tex_pct": "L1/TEX Cache Throughput",
+    "l2_pct": "L2 Cache Throughput",
+    "sm_pct": "Compute (SM) Throughput",
+}
+DURATION = r"Duration\s+(us|ms)\s+([\d.,]+)"
+RESULT = r"kernel=(\w+) m=(\d+) k=(\d+) n=(\d+) nnz=(\d+) density=([\d.]+) time_ms=([\d.]+) gflops=([\d.]+)"
+
+
+def _typed(schema: str) -> list[tuple[str, str]]:
+    return [tuple(f.split()) for f in schema.split(", ")]
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """key=value result lines of a column ``value``; density may be absent, other lines and
-    lines that lack a number are left out."""
-    get = lambda k: F.get(F.col("m"), F.lit(k))
-    number = lambda k, kind: F.expr(f"try_cast(try_element_at(m, '{k}') AS {kind})").alias(k)
-    del get
-    parsed = lines.where(F.col("value").startswith("kernel=")).withColumn("m", F.expr("str_to_map(value, ' ', '=')"))
-    rows = parsed.select(
-        F.expr("try_element_at(m, 'kernel')").alias("kernel"),
-        *(number(k, kind) for k, kind in (("m", "INT"), ("k", "INT"), ("n", "INT"), ("nnz", "BIGINT"), ("density", "DOUBLE"), ("time_ms", "DOUBLE"), ("gflops", "DOUBLE"))),
-    )
+    """Result lines of a column ``value``, trimmed: fields in any order, the last of a name
+    counts, density may be absent. Other lines and lines that lack a number are left out."""
+    line = lines.select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("value")).where(F.col("value").startswith("kernel="))
+    named = F.arrays_zip(F.regexp_extract_all("value", F.lit(FIELD), F.lit(1)).alias("k"), F.regexp_extract_all("value", F.lit(FIELD), F.lit(2)).alias("v"))
+    held = line.select(named.alias("f"))
+    last = lambda k: F.try_element_at(F.filter("f", lambda x: x["k"] == k), F.lit(-1))["v"]
+    kinds = [*_typed(SWEEP)[:5], ("density", "DOUBLE"), *_typed(SWEEP)[5:]]
+    rows = held.select(*(last(k).try_cast(kind).alias(k) for k, kind in kinds))
     return rows.dropna(subset=["kernel", "m", "k", "n", "nnz", "time_ms", "gflops"])
 
 
@@ -26,10 +45,39 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.read.text(path))
 
 
-def read_table(spark: SparkSession, path: str, schema: str = SWEEP) -> DataFrame:
+def _by_name(spark: SparkSession, path: str, kinds) -> DataFrame:
+    """Columns of a CSV table by the names in its header, in any order; null where the table
+    lacks them or the text is no such number."""
+    raw = spark.read.csv(path, header=True, inferSchema=False)
+    missing = F.lit(None).cast("string")
+    return raw.select(*((F.col(f"`{k}`") if k in raw.columns else missing).try_cast(kind).alias(k) for k, kind in kinds))
+
+
+def read_table(spark: SparkSession, path: str, schema: str = SWEEP, required=("m", "nnz", "time_ms", "gflops")) -> DataFrame:
     """A CSV table with a header; rows without every required number are left out."""
-    rows = spark.read.csv(path, header=True, schema=schema, mode="PERMISSIVE")
-    return rows.dropna(subset=[c for c in ("m", "nnz", "time_ms", "gflops") if c in rows.columns])
+    return _by_name(spark, path, _typed(schema)).dropna(subset=[c for c, _ in _typed(schema) if c in required])
+
+
+def read_profiles(spark: SparkSession, path: str) -> DataFrame:
+    """A profile table: rows with kernel and all numbers, the first of each (kernel, m, nnz)."""
+    from lacewing.operators.analytics import keep_first
+
+    rows = _by_name(spark, path, _typed(PROFILES)).where("kernel <> ''").dropna().withColumn("_at", F.monotonically_increasing_id())
+    return keep_first(rows, ["kernel", "m", "nnz"], "_at").drop("_at")
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(pattern, kernel, m, nnz, gflops, seq) of a CSV table or of a log: a name that ends in
+    .csv is a table unless its first 200 characters hold a result line. Rows that lack a
+    number are left out; a missing pattern is uniform; seq tells the order of rows."""
+    head = "\n".join(r["value"] for r in spark.read.text(path).head(200))[:200]
+    if path.endswith(".csv") and "kernel=" not in head:
+        kinds = [("pattern", "STRING"), ("kernel", "STRING"), ("m", "INT"), ("nnz", "BIGINT"), ("gflops", "DOUBLE")]
+        rows = with_pattern(_by_name(spark, path, kinds).dropna(subset=["kernel", "m", "nnz", "gflops"]))
+    else:
+        text = spark.read.text(path)
+        rows = with_pattern(parse_lines(text).select("kernel", "m", "nnz", "gflops")).select("pattern", "kernel", "m", "nnz", "gflops")
+    return rows.withColumn("seq", F.monotonically_increasing_id())
 
 
 def with_pattern(rows: DataFrame) -> DataFrame:
@@ -38,8 +86,15 @@ def with_pattern(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pattern", pattern)
 
 
-def result_line(kernel: str = "kernel") -> Column:
-    return F.format_string("kernel=%s m=%d k=%d n=%d nnz=%d time_ms=%.4f gflops=%.2f", kernel, "m", "k", "n", "nnz", "time_ms", "gflops")
+def result_line(kernel: str = "kernel", errors: bool = False) -> Column:
+    """A line as the log has them; density of square and other matrices from nnz, m and k."""
+    text = "kernel=%s m=%d k=%d n=%d nnz=%d density=%.6f time_ms=%.4f gflops=%.2f"
+    density = F.col("nnz") / (F.col("m").cast("double") * F.col("k"))
+    columns = [kernel, "m", "k", "n", "nnz", density, "time_ms", "gflops"]
+    if errors:
+        text += " max_abs_err=%.6e max_rel_err=%.6e rel_l2_err=%.6e"
+        columns += ["max_abs", "max_rel", "rel_l2"]
+    return F.format_string(text, *columns)
 
 
 def sections(text: DataFrame, marker: str) -> DataFrame:
@@ -52,11 +107,39 @@ def sections(text: DataFrame, marker: str) -> DataFrame:
 
 
 def read_notebook(spark: SparkSession, path: str) -> DataFrame:
-    """(cell, text) of a notebook's cells and their outputs."""
-    rows = spark.read.json(path, multiLine=True, schema="cells ARRAY<STRUCT<source: ARRAY<STRING>, outputs: ARRAY<STRUCT<text: ARRAY<STRING>>>>>")
-    cells = rows.select(F.posexplode("cells").alias("cell", "c"))
-    outputs = F.transform(F.coalesce("c.outputs", F.array().cast("array<struct<text: array<string>>>")), lambda o: F.concat_ws("", o["text"]))
-    return cells.select("cell", F.concat(F.concat_ws("", "c.source"), F.lit("\n"), F.concat_ws("", outputs)).alias("text"))
+    """(cell, source, text) of a notebook's code cells: source, and output as text or, where an
+    output has none, as plain-text data."""
+    output = "STRUCT<text: STRING, data: STRUCT<`text/plain`: STRING>>"
+    rows = spark.read.json(path, multiLine=True, schema=f"cells ARRAY<STRUCT<cell_type: STRING, source: STRING, outputs: ARRAY<{output}>>>")
+    cells = rows.select(F.posexplode("cells").alias("cell", "c")).where("c.cell_type = 'code'")
+    as_list = lambda x: F.when(x.startswith("["), F.concat_ws("", F.from_json(x, "array<string>"))).otherwise(x)
+    one = lambda o: F.coalesce(as_list(o["text"]), as_list(o["data"]["text/plain"]), F.lit(""))
+    outputs = F.transform(F.coalesce("c.outputs", F.array().cast(f"array<{output}>")), one)
+    return cells.select("cell", F.coalesce(as_list(F.col("c.source")), F.lit("")).alias("source"), F.concat_ws("", outputs).alias("text"))
+
+
+def profiles(cells: DataFrame) -> DataFrame:
+    """Metrics of the profiles in cells (cell, source, text): a row for each text, or each
+    bundled part of one, that holds the profiler's marker. Percentages, duration in ms, and
+    the numbers of the first result line; the first of rows with equal metrics stays."""
+    from lacewing.operators.analytics import keep_first, profile_numbers
+
+    names, bodies = F.regexp_extract_all("text", F.lit(BUNDLE), F.lit(1)), F.split("text", BUNDLE)
+    bundled = F.arrays_zip(names.alias("name"), F.slice(bodies, 2, F.greatest(F.size(names), F.lit(1))).alias("body"))
+    alone = F.array(F.struct(F.lit(None).cast("string").alias("name"), F.col("text").alias("body")))
+    parts = cells.select("cell", "source", F.posexplode(F.when(F.size(names) > 0, bundled).otherwise(alone)).alias("at", "p"))
+    parts = parts.where(F.col("p.body").contains(MARKER))
+    found = lambda pattern, k, kind: F.nullif(F.regexp_extract("p.body", pattern, k), F.lit("")).try_cast(kind)
+    label = F.substring(F.trim(F.regexp_replace(F.regexp_extract(F.trim("source"), r"^([^\n]*)", 1), r"^[# ]+", "")), 1, 70)
+    ms = F.regexp_replace(found(DURATION, 2, "string"), ",", "").try_cast("double")
+    rows = parts.select(
+        "cell", "at", F.coalesce("p.name", label).alias("source"), found(RESULT, 1, "string").alias("kernel"),
+        *(found(RESULT, i, kind).alias(k) for i, k, kind in ((2, "m", "int"), (3, "k", "int"), (4, "n", "int"), (5, "nnz", "bigint"))),
+        *(found(re.sub(r"([()/])", r"\\\1", text) + r"\s+%\s+([\d.]+)", 1, "double").alias(k) for k, text in PERCENTS.items()),
+        (ms / F.when(found(DURATION, 1, "string") == "us", 1000.0).otherwise(1.0)).alias("duration_ms"),
+    )
+    rows = keep_first(rows, ["dram_pct", "l1tex_pct", "l2_pct", "duration_ms"], ["cell", "at"]).drop("at")
+    return profile_numbers(rows)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

@@ -97,7 +97,7 @@ def test_errors_and_verdicts(spark):
     v = spark.createDataFrame([(0.001,), (0.01,), (math.nan,)], "x double").select(evaluate.verdict(F.col("x")))
     assert [r[0] for r in v.collect()] == ["[PASS]", "[FAIL]", "[FAIL]"]
     m = spark.createDataFrame([(float(i),) for i in (4, 2, 1, 3)], "x double")
-    assert m.agg(upper_median("x")).first()[0] == 3 and m.limit(0).agg(upper_median("x")).first()[0] is None
+    assert m.agg(upper_median("x")).first()[0] == 3 and m.limit(0).agg(upper_median("x")).first()[0] == 0
     assert [r[0] for r in spark.range(5).select(ceil_div("id", "2")).collect()] == [0, 1, 1, 2, 2]
 
 
@@ -140,12 +140,46 @@ def test_logs(spark, tmp_path):
     logs.write_csv(rows, f"{tmp_path}/t")
     assert logs.read_table(spark, f"{tmp_path}/t").count() == 1
     assert logs.with_pattern(rows).first()["pattern"] == "uniform"
-    (tmp_path / "n.ipynb").write_text('{"cells": [{"source": ["a", "b"], "outputs": [{"text": ["c"]}]}, {"source": ["d"]}]}')
-    assert [r["text"] for r in logs.read_notebook(spark, f"{tmp_path}/n.ipynb").collect()] == ["ab\nc", "d\n"]
+    (tmp_path / "n.ipynb").write_text(
+        '{"cells": [{"cell_type": "code", "source": ["a", "b"], "outputs": [{"text": ["c", "d"]}, {"text": "e"}, {"data": {"text/plain": ["f"]}}, {"data": {"image/png": "x"}}]},'
+        ' {"cell_type": "markdown", "source": ["no"]}, {"cell_type": "code", "source": "d"}]}'
+    )
+    assert [tuple(r) for r in logs.read_notebook(spark, f"{tmp_path}/n.ipynb").collect()] == [(0, "ab", "cdef"), (2, "d", "")]
+    (tmp_path / "p.csv").write_text("m,kernel,nnz,sm_pct,l1tex_pct,dram_pct\n1,k,2,3,4,5\n1,k,2,9,9,9\n,k,2,3,4,5\n1,,2,3,4,5\n1,j,x,3,4,5\n")
+    assert [tuple(r) for r in logs.read_profiles(spark, f"{tmp_path}/p.csv").collect()] == [("k", 1, 2, 5.0, 4.0, 3.0)]
+    (tmp_path / "odd.csv").write_text("kernel=a m=1 k=1 n=1 nnz=1 time_ms=1 gflops=2\n")
+    assert [r["gflops"] for r in logs.read_rows(spark, f"{tmp_path}/odd.csv").collect()] == [2.0]
     assert analytics.size_label("m") is not None
 
 
+def test_devices(spark):
+    there = multiply.device_count(spark)
+    assert [multiply.clamp_devices(spark, n) for n in (-1, 0, 1, there, there + 5)] == [1, 1, 1, there, there]
+
+
+def test_speedups_keep_variants_of_a_label(spark):
+    rows = [("p", 1, 1, "baseline", 10.0, 0), ("p", 1, 1, "hybrid[csr]", 20.0, 1), ("p", 1, 1, "hybrid[wmma]", 50.0, 2), ("p", 2, 1, "baseline", 0.0, 3), ("p", 2, 1, "k", 1.0, 4)]
+    df = spark.createDataFrame(rows, "pattern string, m int, nnz long, kernel string, gflops double, seq int")
+    got = {(r["m"], r["kernel"]): r["speedup"] for r in analytics.speedups(df).collect()}
+    assert got == {(1, "baseline"): 1.0, (1, "hybrid"): 3.5}
+    assert [r["kernel"] for r in analytics.speedups(df, kernels=["hybrid"]).collect()] == ["hybrid"]
+
+
+def test_power_law_keeps_mean_and_range(spark):
+    p = generate.power_law(spark, 3000, 500, 16, 2.5).entries
+    d = [r["count"] for r in p.groupBy("row").count().collect()]
+    assert len(d) == 3000 and abs(np.mean(d) - 16) < 1 and min(d) >= 1 and max(d) <= 500
+    assert p.count() == p.distinct().count()
+    full = generate.power_law(spark, 20, 8, 30, 1.2).entries
+    assert full.groupBy("row").count().agg(F.max("count")).first()[0] == 8
+
+
 def test_command_line(spark, capsys):
+    assert main(["run", "--m", "64", "--k", "64", "--n", "16", "--pattern", "blockdiag", "--param", "16", "--multi-gpu", "--gpus", "3"], spark) == 0
+    out = capsys.readouterr().out
+    assert "multigpu_split gpus=3 gpu0:rows=" in out and "bsr_stats blocks=4 " in out and "mode=multigpu" in out and "density=0.25" in out
+    assert main(["run", "--m", "32", "--k", "32", "--n", "16", "--pattern", "banded", "--param", "2", "--unified", "--no-verify"], spark) == 0
+    assert "mode=unified" in capsys.readouterr().out
     assert main(["run", "--m", "64", "--k", "64", "--n", "16", "--pattern", "blockdiag", "--param", "16"], spark) == 0
     assert "[PASS]" in capsys.readouterr().out
     assert main(["bench", "--m", "32", "--k", "32", "--n", "16", "--pattern", "uniform", "--param", "0.1", "--kernel", "baseline", "--runs", "1"], spark) == 0

@@ -356,9 +356,10 @@ PROFILE = [
 
 @query(
     """SELECT * FROM (VALUES
-(0, 'first profile', 'k1', 1024, 1024, 256, 10000::BIGINT, 61.5::DOUBLE, 50.0::DOUBLE, 30.5::DOUBLE, 20.0::DOUBLE, 70.25::DOUBLE, 1.25::DOUBLE, 200.0::DOUBLE, 2.34::DOUBLE, 0.03::DOUBLE, 91.6::DOUBLE),
+(0, 'first profile', 'k1', 1024, 1024, 256, 10000::BIGINT, 61.5::DOUBLE, 50.0::DOUBLE, 30.5::DOUBLE, 20.0::DOUBLE, 70.25::DOUBLE, 1.25::DOUBLE, 200.0::DOUBLE,
+ round(2.0::DOUBLE * 10000 * 256 / (8 * 10000 + 4 * (1024 + 1) + 4 * 1024 * 256 + 4 * 1024 * 256), 2), round(2.0::DOUBLE * 10000 * 256 / 200e6, 2), round(200e6 / (8 * 10000 + 4 * (1024 + 1) + 4 * 1024 * 256 + 4 * 1024 * 256), 1)),
 (2, 'a.txt', NULL, NULL, NULL, NULL, NULL, 61.5, 75.0, 30.5, 20.0, 70.25, 2.0, 480.0, NULL, NULL, NULL),
-(2, 'b.txt', 'k1', 1024, 1024, 256, 10000, 61.5, 0.0, 30.5, 20.0, 70.25, 0.5, 0.0, 2.34, NULL, NULL))
+(2, 'b.txt', 'k1', 1024, 1024, 256, 10000, 61.5, 0.0, 30.5, 20.0, 70.25, 0.5, 0.0, round(2.0::DOUBLE * 10000 * 256 / (8 * 10000 + 4 * (1024 + 1) + 4 * 1024 * 256 + 4 * 1024 * 256), 2), NULL, NULL))
 t(cell, source, kernel, m, k, n, nnz, mem_pct, dram_pct, l1tex_pct, l2_pct, sm_pct, duration_ms, measured_dram_mb, ai_compulsory, ai_measured, traffic_ratio)"""
 )
 def profile_extract(spark, sf_dir):

@@ -223,6 +223,9 @@ def fingerprint_links(distinct: DataFrame, budget: int = 4) -> DataFrame:
     return map_arrow(dealt.repartition("turn", "head").select("f", "turn"), join, "src long, dst long")
 
 
+#: Most rows of a few longs each that are broadcast, so that texts needn't be shuffled.
+SMALL_ROWS = 1_000_000
+
 #: Bands of least hashes, and hashes in a band. Sets at a similarity of 0.8 agree on no band
 #: with a chance of (1 - 0.8**4)**32, or 5e-8.
 BANDS, IN_BAND = 32, 4
@@ -367,7 +370,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     ``similarity`` or more. Candidates agree on a band of least hashes and have near
     fingerprints of ``n_hashes`` times 64 bits; within the components of candidates all pairs
     are compared by the sets. Texts without words are linked to each other. Columns named
-    ``near_*`` are not kept."""
+    ``near_*`` are not kept. Keys are broadcast up to ``SMALL_ROWS``; beyond it the texts are
+    shuffled to them."""
     columns = docs.columns
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash.alias("near_text"), "text")
@@ -383,13 +387,19 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     totals = coarse.groupBy("root").agg(F.sum("n").alias("total"))
     named = coarse.join(totals, "root").select("root", "total", "node", F.col("doc_id").alias("near_id"), F.col("near_text").alias("near_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("near_text") == F.col("near_hash"))
-    members = chosen.join(named, same).select("root", "total", "node", "text")
+    named = materialize(named, "candidates-named")
+    members = chosen.join(F.broadcast(named) if named.count() <= SMALL_ROWS else named.hint("merge"), same).select("root", "total", "node", "text")
     roots = components(verified_links(members, width, similarity)).withColumnRenamed("node", "near_node")
     rooted = grouped.select("node", "least").join(roots, F.col("node") == F.col("near_node"), "left")
     first = rooted.groupBy(F.coalesce("component", "node")).agg(F.min("least").alias("least"))
     first = first.select(F.col("least.doc_id").alias("near_id"), F.col("least.near_text").alias("near_hash"))
+    first = materialize(first, "kept-keys")
+    same = F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("near_text") == F.col("near_hash"))
+    lost = materialize(hashed.select("doc_id", "near_text").distinct().join(first, same, "left_anti"), "lost-keys")
+    lost = lost.toDF("near_id", "near_hash")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("near_id")) & (text_hash == F.col("near_hash"))
-    kept = docs.join(first, same, "left_semi")
+    # Without the keys that go if these are few, else with those that stay.
+    kept = docs.join(F.broadcast(lost), same, "left_anti") if lost.count() <= SMALL_ROWS else docs.join(first, same, "left_semi")
     # Rows that repeat an id and its text wholly are one document.
     return kept.select(*columns).dropDuplicates(["doc_id", "text"]) if _repeats(hashed) else kept.select(*columns)
 

@@ -9,6 +9,7 @@ until :func:`release` or :func:`release_since`.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -128,7 +129,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Hand this worker's free memory back: workers are kept from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if give_back is not None:
+        give_back(0)
+
+
 def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     """``mapInArrow`` with this package importable in the workers."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(run, schema)

@@ -116,7 +116,7 @@ class _Trie:
     neighbours); pairs are sought within groups, among bits from ``depth`` on. After a run
     ``parent`` holds each key's class."""
 
-    def __init__(self, keys: np.ndarray, groups: np.ndarray, depth: int, budget: int, most: int = 1 << 20):
+    def __init__(self, keys: np.ndarray, groups: np.ndarray, depth: int, budget: int, most: int = 1 << 17):
         self.keys, self.budget, self.most = keys, budget, most
         n, self.bits = keys.shape[0], 64 * keys.shape[1]
         self.parent = np.arange(n)
@@ -323,7 +323,7 @@ def similar(sets: list[np.ndarray], similarity: float, most: int = 1 << 22) -> n
     return parent
 
 
-def verified_links(members: DataFrame, width: int, similarity: float, most: int = 1 << 19) -> DataFrame:
+def verified_links(members: DataFrame, width: int, similarity: float, most: int = 1 << 17) -> DataFrame:
     """Links (src, dst) between nodes with the components of all pairs within a root whose
     shingle sets have this Jaccard similarity or more, by the sets themselves.
 

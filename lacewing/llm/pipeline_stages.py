@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import mixing, packing, quality_classifier, simhash, substring_dedup
+from ._shared import drop_shuffles
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,11 +32,13 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    drop_shuffles(spark)
     return simhash.drop_near_duplicates(docs.select(*COLUMNS), width=5, similarity=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated windows; a document of which no word is left goes."""
+    drop_shuffles(spark)
     found = substring_dedup.remove_repeats(docs.select(*COLUMNS), 35).where("n_removed < n_words OR n_words = 0")
     cut = F.col("n_removed") > 0
     return found.select(
@@ -50,6 +53,7 @@ def powers(sizes: list[int]) -> list[float]:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix; one that is taken in several epochs comes as often."""
+    drop_shuffles(spark)
     docs = docs.select(*COLUMNS)
     taken, known = mixing.mix(docs, weights=powers, most_epochs=3)
     times, uneven = mixing.repeats(taken, known)
@@ -69,6 +73,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences."""
+    drop_shuffles(spark)
     import public_tokenizers
 
     return packing.pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), cache=1_000_000)

@@ -47,6 +47,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lacewing/{name}-{uuid.uuid4().hex}"
 
 
+def shared_files(spark: SparkSession, name: str) -> str:
+    """A path for a folder of files that tasks write themselves, deleted as the tables of
+    :func:`materialize` are."""
+    _WRITTEN.append(shared_path(spark, name))
+    return _WRITTEN[-1]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return it reread."""
     spark = df.sparkSession

@@ -1,41 +1,52 @@
 """Exact removal of repeated word windows behind a count-min prefilter.
 
-First pass: each task hashes its windows into the cells of ``ROWS`` count-min rows and hands
-on, for each slice of cells, the cells that it saw and those that it saw twice. The slices
-are merged by tasks of their own; a cell is hot if its merged count is two or more. The hot
-cells, one bit each, are broadcast; their number is set by the size of the corpus up to
-``most_bits``, a proven bound. Estimates of a count-min sketch are never too low, so a window
-with a cell that isn't hot occurs once.
-
-Second pass: windows all of whose cells are hot are grouped exactly, by 96 hash bits. Within
-a task, repeats are settled at once and each distinct window is handed on once, so a common
-passage costs one entry for each task, not one for each occurrence.
-
-The marks that result are joined to the texts, which are read again rather than carried. A
-bound below the corpus's needs makes more windows go to the second pass; none is lost.
+Texts are first written in chunks, to files of which a small table is kept, so that all passes
+see the same chunks and no text is ever shuffled.
+
+First pass: each chunk hashes its windows into the cells of ``ROWS`` count-min rows and hands
+on, for each slice of cells, the cells that it saw and which of them it saw twice. A task
+merges a slice and answers each chunk with one bit for each of its cells: whether the merged
+count is two or more. The number of cells grows with the corpus and that of slices with the
+cells, so a task holds one slice's entries at any size, and nothing is collected or broadcast.
+Estimates of a count-min sketch are never too low, so a window with a cell that isn't hot
+occurs once. About a fifth of the other windows that occur once pass too.
+
+Second pass: windows all of whose cells are hot are grouped by 128 hash bits, half of them from
+other word hashes than the rest. Within a chunk, repeats are settled at once and each distinct
+window is handed on once, so a common passage costs one entry for each chunk, not one for
+each occurrence. The marks go back to their chunks, whose texts are then cut.
 
 Defined cases: null text has no words; windows never cross documents; repeated rows count as
 occurrences of each other's windows; null ids are kept; an empty table gives no rows; other
-columns are ignored.
+columns are kept, but for those named like a result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, documents, map_arrow, partitions, parts
+from ._shared import as_bytes, documents, filesystem, map_arrow, materialize, partitions, shared_files
 
 ROWS = 2
-SLICES = 64
+#: Cells for each window, at 6.2 bytes a word, and most cells of a slice.
+LOAD, SPAN = 1.6, 1 << 23
+LEAST_SLICES, LEAST_SHARDS = 64, 64
+#: Bytes of text to a shard of the second pass.
+SHARD = 32_000_000
+CHUNKS_EACH = 4  # chunks to a task
 #: Odd, so that powers have inverses modulo 2**64.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-WORD_BASE = 0xD6E8FEB86659FD93
-CHARS = 2_000_000  # bytes of text that a task holds at once, or one text if longer
+WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+CHARS = 2_000_000  # bytes of text to a chunk, or one text if longer
 BLOCK = 1 << 18  # bytes whose words are hashed at once
 
 
@@ -80,23 +91,25 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Block by block, or word by word if longer: bytes take much room while they are hashed."""
-    h = np.empty(starts.size, np.uint64)
+def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Two hashes of each word. Block by block, or word by word if longer: bytes take much room
+    while they are hashed."""
+    h = tuple(np.empty(starts.size, np.uint64) for _ in WORD_BASES)
     i = 0
     while i < starts.size:
         at = starts[i]
         j = max(i + 1, int(np.searchsorted(ends, at + BLOCK, side="right")))
         values = raw[at : ends[j - 1]].astype(np.uint64)
         values += np.uint64(1)
-        h[i:j] = _spans(values, starts[i:j] - at, ends[i:j] - at, WORD_BASE)
+        for out, base in zip(h, WORD_BASES):
+            out[i:j] = _spans(values, starts[i:j] - at, ends[i:j] - at, base)
         i = j
     return h
 
 
 def window_hashes(texts: list[bytes], width: int):
-    """For the windows of all texts in order: two 64-bit hashes, the text's index, and the
-    window's first word; and the number of words of each text."""
+    """For the windows of all texts in order: two independent 64-bit hashes and the window's
+    first word, counted through all texts; and the number of words of each text."""
     raw = np.frombuffer(b"\n".join([b"", *texts, b""]), np.uint8)
     inside = ~_SPACE[raw]
     turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
@@ -106,263 +119,328 @@ def window_hashes(texts: list[bytes], width: int):
     n = np.diff(np.searchsorted(starts, edges))
     firsts = np.cumsum(n) - n
     many = np.maximum(n - width + 1, 0)
-    text = np.repeat(np.arange(n.size), many)
-    word = np.arange(text.size) - np.repeat(np.cumsum(many) - many, many)
-    at = firsts[text] + word
-    h1, h2 = (_spans(h, at, at + width, base) for base in BASES)
-    return h1, h2, text, word, n
-
-
-def _chunks(batches, width: int):
-    """Lists of rows of about CHARS bytes of text."""
-    keys, texts, held = [], [], 0
-    for part in parts(batches):
-        key = [part.column(i).to_pylist() for i in range(part.num_columns - 1)]
-        for *k, t in zip(*key, as_bytes(part.column(part.num_columns - 1))):
-            keys.append(k)
-            texts.append(t)
-            held += len(t)
-            if held >= CHARS:
-                yield keys, texts
-                keys, texts, held = [], [], 0
-    if texts:
-        yield keys, texts
-
-
-def _pack(x: np.ndarray) -> bytes:
+    at = np.repeat(firsts - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    h1, h2 = (_spans(x, at, at + width, base) for x, base in zip(h, BASES))
+    return h1, h2, at, n
+
+
+def _zip(x: np.ndarray) -> bytes:
     return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
 
 
-def _unpack(blob: bytes, kind, n: int) -> np.ndarray:
+def _unzip(blob: bytes, kind, n: int) -> np.ndarray:
     size = n * np.dtype(kind).itemsize
     return np.frombuffer(pa.decompress(blob, size, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind)
 
 
-def _cells(h1, h2, row: int, bits: int) -> np.ndarray:
-    return ((h1, h2)[row] >> np.uint64(64 - bits)).astype(np.uint32)
+def _zip_bits(x: np.ndarray) -> bytes:
+    return _zip(np.packbits(x))
+
+
+def _unzip_bits(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(_unzip(blob, np.uint8, -(-n // 8)), count=n).view(bool)
+
+
+def _zip_cells(x: np.ndarray) -> bytes:
+    """Ascending numbers under 2**32 as planes of bytes of their gaps."""
+    gaps = np.diff(x, prepend=0).astype("<u4")
+    return _zip(gaps.view(np.uint8).reshape(-1, 4).T)
+
+
+def _unzip_cells(blob: bytes, n: int) -> np.ndarray:
+    planes = _unzip(blob, np.uint8, 4 * n).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.int64)
+
+
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+
+
+def _records(schema: str, rows: list[tuple], size: int = 2000):
+    fields = [f.split() for f in schema.split(", ")]
+    for i in range(0, len(rows), size):
+        columns = zip(*rows[i : i + size])
+        yield pa.record_batch([pa.array(c, _TYPES[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
+
+
+def _rows(batches, schema: str):
+    names = [f.split()[0] for f in schema.split(", ")]
+    for batch in batches:
+        yield from zip(*(batch.column(n).to_pylist() for n in names))
+
+
+# ---------------------------------------------------------------- chunks
+
+CHUNKS = "g long, file string, place int, n_bytes long"
+
+
+def write_chunks(docs: DataFrame, chars: int = CHARS) -> DataFrame:
+    """Writes rows (the text is the last column) in chunks of about ``chars`` bytes of text, and
+    gives a row for each. A retried task writes a file of its own; only files in the table
+    count."""
+    out = shared_files(docs.sparkSession, "substring-chunks")
+
+    def gather(batches):
+        task, place, held, size = TaskContext.get().partitionId(), 0, [], 0
+        system, folder = filesystem(out)
+        system.create_dir(folder, recursive=True)
+        name = f"{task}-{uuid.uuid4().hex}.arrow"
+        sink = writer = None
+        rows = []
+
+        def write():
+            nonlocal sink, writer
+            # Columns may share a name, so they are known by place.
+            table = pa.Table.from_batches(held).combine_chunks()
+            batch = pa.record_batch([c.chunk(0) for c in table.columns], names=[str(i) for i in range(table.num_columns)])
+            if writer is None:
+                sink = system.open_output_stream(f"{folder}/{name}")
+                writer = pa.ipc.new_file(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            writer.write_batch(batch)
+            rows.append(((task << 24) + place, f"{out}/{name}", place, size))
+
+        for batch in batches:
+            batch = batch.rename_columns([str(i) for i in range(batch.num_columns)])
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
+            start = 0
+            for i, n in enumerate(sizes, 1):
+                size += n
+                if size >= chars:
+                    held.append(batch.slice(start, i - start))
+                    write()
+                    start, place, held, size = i, place + 1, [], 0
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+        if held:
+            write()
+        if writer is not None:
+            writer.close()
+            sink.close()
+        yield from _records(CHUNKS, rows)
+
+    return materialize(map_arrow(docs, gather, CHUNKS), "substring-chunks")
+
+
+def _chunk(file: str, place: int) -> pa.RecordBatch:
+    system, path = filesystem(file)
+    with system.open_input_file(path) as source:
+        return pa.ipc.open_file(source).get_batch(place)
+
 
+def _texts(batch: pa.RecordBatch) -> list[bytes]:
+    return as_bytes(batch.column(batch.num_columns - 1))
 
-def hot_cells(docs: DataFrame, width: int, bits: int) -> list[np.ndarray]:
-    """For each row of the sketch, 2**bits flags as packed bits: merged count of two or
-    more. What comes to the driver is those bits."""
-    slices = min(SLICES, 1 << bits)
-    span = (1 << bits) // slices
-    step = np.uint16 if span >= 256 else np.uint32
 
-    def sketch(batches):
-        for _, texts in _chunks(batches, width):
-            h1, h2, *_ = window_hashes(texts, width)
+# ---------------------------------------------------------------- first pass
+
+
+class Sketch(NamedTuple):
+    """A row of the sketch has ``slices`` of ``span`` cells."""
+
+    slices: int
+    span: int
+
+    def cells(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(16)) % np.uint64(self.slices * self.span)
+
+
+def sketch_for(n_bytes: int, load: float = LOAD, span: int = SPAN) -> Sketch:
+    """As many cells as ``load`` asks for, whatever the size."""
+    cells = max(512, int(load * n_bytes / 6.2))
+    slices = min(cells, max(LEAST_SLICES, -(-cells // span)))
+    return Sketch(slices, -(-cells // slices))
+
+
+SEEN = "slice int, g long, n int, cells binary, twice binary"
+ANSWERS = "g long, slice int, n int, hot binary, file string, place int"
+
+
+def answers(chunks: DataFrame, width: int, sketch: Sketch) -> DataFrame:
+    """For each chunk and each slice of each sketch row that it has cells in (numbered through
+    the rows), a bit for each of its distinct cells in ascending order: merged count of two or
+    more."""
+    spark, span = chunks.sparkSession, sketch.span
+
+    def see(batches):
+        for g, file, place, _ in _rows(batches, CHUNKS):
+            h1, h2, *_ = window_hashes(_texts(_chunk(file, place)), width)
             rows = []
-            for r in range(ROWS):
-                cells = np.sort(_cells(h1, h2, r, bits))
-                if not cells.size:
-                    continue
-                new = np.concatenate([[True], cells[1:] != cells[:-1]])
-                once = cells[new]
-                twice = np.unique(cells[~new])
-                for part, (cell, add) in enumerate(((once, 1), (twice, 1))):
-                    edges = np.searchsorted(cell, np.arange(slices + 1, dtype=np.uint64) * np.uint64(span))
-                    for s in range(slices):
-                        c = cell[edges[s] : edges[s + 1]]
-                        if c.size:
-                            gaps = np.diff(c.astype(np.int64) - s * span, prepend=0)
-                            wide = gaps.max() >= 65536
-                            rows.append((r * slices + s, c.size, int(wide), _pack(gaps.astype(np.uint32 if wide else np.uint16))))
-            if rows:
-                types = [pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["slice", "n", "wide", "gaps"])
+            for r, h in enumerate((h1, h2)):
+                cells = np.sort(sketch.cells(h)).astype(np.int64)
+                starts = np.flatnonzero(np.diff(cells, prepend=-1))
+                twice = np.diff(np.append(starts, cells.size)) > 1
+                cells = cells[starts]
+                in_slice = cells // span
+                edges = np.append(np.flatnonzero(np.diff(in_slice, prepend=-1)), cells.size).tolist()
+                for a, b in zip(edges[:-1], edges[1:]):
+                    s = int(in_slice[a])
+                    rows.append((r * sketch.slices + s, g, b - a, _zip_cells(cells[a:b] - s * span), _zip_bits(twice[a:b])))
+            yield from _records(SEEN, rows)
 
     def merge(batches):
-        counts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, n, wide, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if s not in counts:
-                    counts[s] = np.zeros(span, np.uint8)
-                cells = np.cumsum(_unpack(blob, np.uint32 if wide else np.uint16, n), dtype=np.int64)
-                counts[s][cells] = np.minimum(counts[s][cells] + 1, 2)
-        for s, c in counts.items():
-            hot = np.packbits(c >= 2)
-            yield pa.record_batch([pa.array([s], pa.int32()), pa.array([_pack(hot)], pa.binary())], names=["slice", "hot"])
-
-    seen = map_arrow(docs.select("text"), sketch, "slice int, n int, wide int, gaps binary")
-    merged = map_arrow(seen.repartition(ROWS * slices, "slice"), merge, "slice int, hot binary")
-    per = -(-span // 8)
-    out = [np.zeros(per * slices, np.uint8) for _ in range(ROWS)]
-    for row in merged.collect():
-        r, s = divmod(row["slice"], slices)
-        out[r][s * per : (s + 1) * per] = _unpack(bytes(row["hot"]), np.uint8, per)
-    return out
-
-
-def _sketch_bits(docs: DataFrame, most_bits: int) -> int:
-    """About 1.6 cells or more for each window at 6.2 bytes a word."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return int(min(most_bits, max(9, np.ceil(np.log2(max(1, 1.6 * size / 6.2))))))
-
-
-MARKS = "shard long, kind int, key1 long, key2 long, n int, a binary, b binary, c binary, d binary"
-
-
-def repeated_windows(docs: DataFrame, width: int = 35, most_bits: int = 29) -> DataFrame:
-    """(key1, key2, n, at): first words, as packed 32-bit numbers, of windows of a document
-    whose words also start elsewhere. The key is the id (0 for null) and the text's hash."""
-    spark = docs.sparkSession
-    bits = _sketch_bits(docs, most_bits)
-    hot = spark.sparkContext.broadcast(hot_cells(docs, width, bits))
-    slices = min(SLICES, 1 << bits)
-    span = (1 << bits) // slices
-    per = -(-span // 8)
-    shards = max(64, 4 * partitions(spark))
-
-    def is_hot(flags, cells):
-        inside = cells % np.uint32(span)
-        byte = flags[(cells // np.uint32(span)).astype(np.int64) * per + (inside >> np.uint32(3))]
-        return (byte >> (np.uint8(7) - (inside & np.uint32(7)).astype(np.uint8))) & 1 != 0
+        held: dict[int, list] = {}
+        for s, *row in _rows(batches, SEEN):
+            held.setdefault(s, []).append(row)
+        for s in list(held):
+            rows = held.pop(s)
+            counts = np.zeros(span, np.uint8)
+            for _, n, blob, twice in rows:
+                cells = _unzip_cells(blob, n)
+                counts[cells] = np.minimum(counts[cells] + 1 + _unzip_bits(twice, n), 2)
+            out = []
+            for g, n, blob, _ in rows:
+                out.append((g, s, n, _zip_bits(counts[_unzip_cells(blob, n)] >= 2), None, None))
+                if len(out) == 2000:
+                    yield from _records(ANSWERS, out)
+                    out = []
+            yield from _records(ANSWERS, out)
+
+    dealt = chunks.repartition(_tasks(spark, chunks))
+    return map_arrow(map_arrow(dealt, see, SEEN).repartition(ROWS * sketch.slices, "slice"), merge, ANSWERS)
+
+
+def _tasks(spark: SparkSession, chunks: DataFrame) -> int:
+    return max(1, partitions(spark), -(-chunks.count() // CHUNKS_EACH))
+
+
+def _hot(sketch: Sketch, h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Of each window of a chunk, the bit of its cell, from the bits of the distinct cells."""
+    cells = sketch.cells(h)
+    return bits[np.searchsorted(np.unique(cells), cells)]
+
+
+# ---------------------------------------------------------------- second pass
+
+MARKS = "shard long, kind int, g long, n int, a binary, b binary, at binary"
+MARKED = "g long, n int, at binary, file string, place int"
+SEVERAL = np.uint32(0xFFFFFFFF)
+
+
+def repeated_windows(chunks: DataFrame, width: int, load: float = LOAD, span: int = SPAN) -> DataFrame:
+    """(g, n, at): first words, as packed 32-bit numbers, of windows of a chunk whose words also
+    start elsewhere."""
+    spark = chunks.sparkSession
+    size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
+    sketch = sketch_for(size, load, span)
+    shards = max(LEAST_SHARDS, partitions(spark), size // SHARD)
 
     def find(batches):
-        flags = hot.value
-        for keys, texts in _chunks(batches, width):
-            h1, h2, text, word, _ = window_hashes(texts, width)
-            keep = np.flatnonzero(is_hot(flags[0], _cells(h1, h2, 0, bits)))
-            keep = keep[is_hot(flags[1], _cells(h1[keep], h2[keep], 1, bits))]
+        held: dict[int, list] = {}
+        where = {}
+        for g, s, n, hot, file, place in _rows(batches, ANSWERS):
+            if file is None:
+                held.setdefault(g, []).append((s, n, hot))
+            else:
+                where[g] = (file, place)
+        for g in sorted(held):
+            got = sorted(held.pop(g))
+            h1, h2, at, _ = window_hashes(_texts(_chunk(*where[g])), width)
+            bits = [np.concatenate([_unzip_bits(hot, n) for s, n, hot in got if s // sketch.slices == r]) for r in range(ROWS)]
+            keep = np.flatnonzero(_hot(sketch, h1, bits[0]) & _hot(sketch, h2, bits[1]))
             if not keep.size:
                 continue
-            key = np.array([(k[0], k[1]) for k in keys], np.int64)
-            h1, h2, text, word = h1[keep], (h2[keep] >> np.uint64(32)).astype(np.uint32), text[keep], word[keep].astype(np.uint32)
+            h1, h2, at = h1[keep], h2[keep], at[keep].astype(np.uint32)
             order = np.lexsort((h2, h1))
             a, b = h1[order], h2[order]
             new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            size = np.diff(np.append(np.flatnonzero(new), a.size))
-            again = np.repeat(size > 1, size)
-            local = np.sort(order[again])  # in order of text and word
+            many = np.diff(np.append(np.flatnonzero(new), a.size))
+            again = np.sort(order[np.repeat(many > 1, many)])
             rows = []
-            starts = np.flatnonzero(np.concatenate([[True], text[local][1:] != text[local][:-1]])) if local.size else []
-            for s, e in zip(starts, [*starts[1:], local.size]):
-                k1, k2 = key[text[local[s]]]
-                rows.append(((int(k1) + int(k2)) % shards, 0, int(k1), int(k2), int(e - s), _pack(word[local[s:e]]), b"", b"", b""))
+            if again.size:
+                rows.append((g % shards, 0, g, again.size, b"", b"", _zip(at[again])))
             one = order[new]
-            many = size > 1
-            shard = (h1[one] % np.uint64(shards)).astype(np.int64)
-            by = np.lexsort((one, shard))
-            one, many, shard = one[by], many[by], shard[by]
-            edges = np.searchsorted(shard, np.arange(shards + 1))
-            for s in range(shards):
-                x = one[edges[s] : edges[s + 1]]
-                if x.size:
-                    m = many[edges[s] : edges[s + 1]]
-                    where = np.where(m, np.uint32(0xFFFFFFFF), word[x])
-                    rows.append((s, 1, 0, 0, x.size, _pack(h1[x]), _pack(h2[x]), _pack(key[text[x]].T), _pack(where)))
-            for i in range(0, len(rows), 2000):
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-                part = [pa.array(c, t) for c, t in zip(zip(*rows[i : i + 2000]), types)]
-                yield pa.record_batch(part, names=["shard", "kind", "key1", "key2", "n", "a", "b", "c", "d"])
+            first = np.where(many > 1, SEVERAL, at[one])
+            h1, h2 = h1[one], h2[one]
+            shard = (h1 % np.uint64(shards)).astype(np.int64)
+            by = np.argsort(shard, kind="stable")
+            h1, h2, first = h1[by], h2[by], first[by]
+            edges = np.searchsorted(shard[by], np.arange(shards + 1)).tolist()
+            for s, (i, j) in enumerate(zip(edges[:-1], edges[1:])):
+                if i < j:
+                    rows.append((s, 1, g, j - i, _zip(h1[i:j]), _zip(h2[i:j]), _zip(first[i:j])))
+            yield from _records(MARKS, rows)
 
     def settle(batches):
-        blobs: dict[int, list] = {}
-        for batch in batches:
-            columns = batch.select(["shard", "kind", "key1", "key2", "n", "a", "b", "c", "d"]).to_pydict()
-            rows = list(zip(*columns.values()))
-            plain = [(r[2], r[3], r[4], r[5]) for r in rows if r[1] == 0]
-            if plain:
-                yield _marks(plain)
-            for r in rows:
-                if r[1] == 1:
-                    blobs.setdefault(r[0], []).append(r[4:])
-        for shard in list(blobs):
-            held = blobs.pop(shard)
-            h1 = np.concatenate([_unpack(a, np.uint64, n) for n, a, *_ in held])
-            h2 = np.concatenate([_unpack(b, np.uint32, n) for n, _, b, *_ in held])
-            key = np.concatenate([_unpack(c, np.int64, 2 * n).reshape(2, n) for n, _, _, c, _ in held], axis=1)
-            where = np.concatenate([_unpack(d, np.uint32, n) for n, *_, d in held])
-            del held
+        held: dict[int, list] = {}
+        for shard, kind, *row in _rows(batches, MARKS):
+            if kind == 0:
+                yield from _records(MARKED, [(row[0], row[1], row[4], None, None)])
+            else:
+                held.setdefault(shard, []).append(row)
+        for shard in list(held):
+            rows = held.pop(shard)
+            chunk = np.repeat(np.arange(len(rows), dtype=np.int32), [r[1] for r in rows])
+            h1 = np.concatenate([_unzip(r[2], np.uint64, r[1]) for r in rows])
+            h2 = np.concatenate([_unzip(r[3], np.uint64, r[1]) for r in rows])
+            at = np.concatenate([_unzip(r[4], np.uint32, r[1]) for r in rows])
+            of = [r[0] for r in rows]
+            del rows
             order = np.lexsort((h2, h1))
             a, b = h1[order], h2[order]
             new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
-            size = np.diff(np.append(new, a.size))
-            several = where[order] == np.uint32(0xFFFFFFFF)
-            hit = np.repeat((size > 1) | np.logical_or.reduceat(several, new), size) & ~several
-            x = order[hit]
-            x = x[np.lexsort((where[x], key[1][x], key[0][x]))]
-            if x.size:
-                k1, k2 = key[0][x], key[1][x]
-                starts = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
-                ends = np.append(starts[1:], x.size)
-                rows = [(int(k1[s]), int(k2[s]), int(e - s), where[x[s:e]].tobytes()) for s, e in zip(starts, ends)]
-                for i in range(0, len(rows), 20_000):
-                    yield _marks([(*r[:3], _pack(np.frombuffer(r[3], np.uint32)) if r[2] > 16 else r[3]) for r in rows[i : i + 20_000]])
-
-    candidates = map_arrow(_keyed(docs).select("key1", "key2", "text"), find, MARKS)
-    return map_arrow(candidates.repartition(shards, "shard"), settle, "key1 long, key2 long, n int, at binary")
-
-
-def _marks(rows) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["key1", "key2", "n", "at"])
+            many = np.diff(np.append(new, a.size))
+            # A window that a chunk has several times is marked there by now.
+            hit = np.sort(order[np.repeat(many > 1, many) & (at[order] != SEVERAL)])
+            edges = np.append(np.flatnonzero(np.diff(chunk[hit], prepend=-1)), hit.size).tolist()
+            out = [(of[chunk[hit[i]]], j - i, _zip(np.sort(at[hit[i:j]])), None, None) for i, j in zip(edges[:-1], edges[1:])]
+            yield from _records(MARKED, out)
 
+    candidates = map_arrow(_beside(answers(chunks, width, sketch), chunks), find, MARKS)
+    return map_arrow(candidates.repartition(shards, "shard"), settle, MARKED)
 
-def _positions(n: int, blob: bytes) -> np.ndarray:
-    """Short lists are stored bare."""
-    return np.frombuffer(blob, np.uint32) if len(blob) == 4 * n and n <= 16 else _unpack(blob, np.uint32, n)
 
+def _beside(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Rows of chunks dealt to tasks by chunk, with a row that names each chunk's file."""
+    own = chunks.select(*(F.col(c) if c in chunks.columns else F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in rows.columns))
+    return rows.union(own).repartition(_tasks(chunks.sparkSession, chunks), "g")
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("key1"), F.xxhash64(text).alias("key2"),
-        *(c for c in docs.columns if c not in ("key1", "key2")),
-    )
 
-
-def remove_repeats(docs: DataFrame, width: int = 35, most_bits: int = 29, digest: bool = False) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, width: int = 35, digest: bool = False, load: float = LOAD, span: int = SPAN, chars: int = CHARS
+) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the kept words joined by one space; the text
     itself, null included, where no word goes) of every document, and its other columns
     that have other names. With ``digest``, kept_sha256 instead of kept: of the kept words
     joined by one space, whether or not any word goes."""
     added = {"n_words": "long", "n_removed": "long", "kept_sha256" if digest else "kept": "string"}
-    rest = [c for c in docs.columns if c not in {*added, "text", "key1", "key2", "marks", "n_bytes"}]
-    marks = repeated_windows(docs, width, most_bits).groupBy("key1", "key2").agg(F.collect_list(F.struct("n", "at")).alias("marks"))
+    rest = [c for c in docs.columns if c not in {*added, "text"}]
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    kinds = f"{kinds}, " if rest else ""
-    schema = kinds + ", ".join(f"{k} {v}" for k, v in added.items())
-
-    def fold(batches):
-        """Texts compressed for the shuffle."""
-        for batch in parts(batches):
-            names = ["key1", "key2", *rest]
-            raw = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
-            sizes = [None if t is None else len(t) for t in raw]
-            new = [pa.array(sizes, pa.int64()), pa.array([t and _pack(np.frombuffer(t, np.uint8)) for t in raw], pa.binary())]
-            yield pa.record_batch([*(batch.column(c) for c in names), *new], names=[*names, "n_bytes", "text"])
-
-    folded = map_arrow(_keyed(docs).select("key1", "key2", *rest, "text"), fold, f"key1 long, key2 long, {kinds}n_bytes long, text binary")
-    joined = folded.join(marks, ["key1", "key2"], "left").select(*rest, "n_bytes", "text", "marks")
+    schema = f"{kinds}, " if rest else ""
+    schema += ", ".join(f"{k} {v}" for k, v in added.items())
+    chunks = write_chunks(docs.select(*rest, "text"), chars)
 
     def cover(batches):
-        for batch in parts(batches):
-            sizes, marked = batch.column("n_bytes").to_pylist(), batch.column("marks").to_pylist()
+        held: dict[int, list] = {}
+        where = {}
+        for g, n, at, file, place in _rows(batches, MARKED):
+            if file is None:
+                held.setdefault(g, []).append((n, at))
+            else:
+                where[g] = (file, place)
+        for g in sorted(where):
+            batch = _chunk(*where[g])
+            cut = [t.split() for t in _texts(batch)]
+            edges = np.cumsum([0, *map(len, cut)]).tolist()
+            edge = np.zeros(edges[-1] + 1, np.int64)
+            for n, blob in held.pop(g, []):
+                at = _unzip(blob, np.uint32, n).astype(np.int64)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + width, -1)
+            stay = np.cumsum(edge[:-1]) == 0
             n_words, n_removed, kept = [], [], []
-            for blob, size, marks in zip(batch.column("text").to_pylist(), sizes, marked):
-                raw = _unpack(blob, np.uint8, size).tobytes() if size else b""
-                text = None if size is None or digest else raw.decode()
-                cut = raw.split()
-                n_words.append(len(cut))
-                left = cut
-                if marks:
-                    at = np.concatenate([_positions(m["n"], m["at"]) for m in marks]).astype(np.int64)
-                    edge = np.zeros(len(cut) + 1, np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + width, -1)
-                    stay = np.cumsum(edge[:-1]) == 0
-                    left = [w for w, s in zip(cut, stay.tolist()) if s]
-                    text = None if digest else b" ".join(left).decode()
-                    n_removed.append(int(stay.size - stay.sum()))
+            for i, (words, a, b) in enumerate(zip(cut, edges[:-1], edges[1:])):
+                own = stay[a:b]
+                gone = b - a - int(own.sum())
+                n_words.append(b - a)
+                n_removed.append(gone)
+                left = [w for w, s in zip(words, own.tolist()) if s] if gone else words
+                if digest:
+                    kept.append(hashlib.sha256(b" ".join(left)).hexdigest())
                 else:
-                    n_removed.append(0)
-                kept.append(hashlib.sha256(b" ".join(left)).hexdigest() if digest else text)
+                    kept.append(b" ".join(left).decode() if gone else batch.column(batch.num_columns - 1)[i].as_py())
             new = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())]
-            yield pa.record_batch([*(batch.column(c) for c in rest), *new], names=[*rest, *added])
+            yield pa.record_batch([*(batch.column(i) for i in range(len(rest))), *new], names=[*rest, *added])
 
-    return map_arrow(joined, cover, schema)
+    return map_arrow(_beside(repeated_windows(chunks, width, load, span), chunks), cover, schema)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

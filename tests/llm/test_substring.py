@@ -16,10 +16,11 @@ def brute(rows, width):
     return out
 
 
-@pytest.mark.parametrize("width,bits", [(35, 29), (3, 29), (35, 9), (1, 12)])
-def test_against_brute_force(messy, messy_rows, rows_of, in_order, width, bits):
-    """Also with a sketch so small that nearly every window goes to the exact pass."""
-    found = s.remove_repeats(messy, width, bits)
+@pytest.mark.parametrize("width,load,span", [(35, 1.6, 1 << 23), (3, 1.6, 256), (35, 0.01, 1 << 23), (1, 0.1, 1000)])
+def test_against_brute_force(messy, messy_rows, rows_of, in_order, width, load, span):
+    """Also with many small slices and chunks, and with a sketch so small that nearly every
+    window goes to the exact pass."""
+    found = s.remove_repeats(messy, width, load=load, span=span, chars=s.CHARS if width == 35 else 5000)
     assert rows_of(found, "doc_id", "n_words", "n_removed", "kept") == in_order(brute(messy_rows, width))
 
 
@@ -46,3 +47,30 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch, messy_rows):
     monkeypatch.setattr(s, "BLOCK", 50)
     for a, b in zip(want, s.window_hashes(texts, 3)):
         assert np.array_equal(a, b)
+
+
+@pytest.mark.parametrize("n,span", [(2000, 1 << 23), (2000, 500), (16000, 500)])
+def test_share_of_single_windows_that_pass(spark, n, span):
+    """The prefilter works alike whatever the number of slices and of windows."""
+    rows = [(i, " ".join(f"{i}w{k}" for k in range(12))) for i in range(n // 10)]
+    chunks = s.write_chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    size = sum(r["n_bytes"] for r in chunks.collect())
+    sketch = s.sketch_for(size, 1.6 * 6.2 * n / size, span)
+    shares = []
+    for r in s.answers(chunks, 3, sketch).collect():
+        shares.append((r["slice"] // sketch.slices, int(s._unzip_bits(bytes(r["hot"]), r["n"]).sum())))
+    hot = [sum(k for row, k in shares if row == r) / n for r in range(s.ROWS)]
+    assert all(0.2 < h < 0.45 for h in hot)  # of distinct cells; of windows 0.46
+
+
+def test_files_go_with_the_tables(spark, messy):
+    from lacewing.llm import _shared
+
+    mark = _shared.written()
+    s.remove_repeats(messy, 35).count()
+    folders = [p.removeprefix("file://") for p in _shared._WRITTEN[mark:]]
+    assert len(folders) == 2
+    _shared.release_since(spark, mark)
+    import os
+
+    assert not any(os.path.exists(f) for f in folders)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroid_clustering import OP13_SQL, op13_centroid_clustering
 from .embedding_dedup import OP5_SQL, op5_embedding_dedup
 from .lm_scoring import op4_lm_scoring
 from .mixing import OP2_SQL, op2_mixing
@@ -12,12 +13,13 @@ from .simhash import op7_simhash
 from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .token_counts import op1_token_counts
 from .token_files import op10_token_files
+from .vector_codes import OP12_SQL, op12_vector_codes
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_mixing, op3_quality_classifier, op4_lm_scoring, op5_embedding_dedup, op6_substring_dedup,
-        op7_simhash, op8_quality_rules, op9_best_fit_packing, op10_token_files,
+        op7_simhash, op8_quality_rules, op9_best_fit_packing, op10_token_files, op12_vector_codes, op13_centroid_clustering,
     )
 }
 
@@ -28,4 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_embedding_dedup": OP5_SQL,
     "op6_substring_dedup": OP6_SQL,
     "op8_quality_rules": OP8_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_centroid_clustering": OP13_SQL,
 }

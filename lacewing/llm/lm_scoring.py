@@ -52,7 +52,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import as_bytes, documents, drop_shuffles, filesystem, id_remainder, map_arrow, materialize, parts, shared_path
+from ._shared import as_bytes, documents, drop_shuffles, filesystem, id_remainder, map_arrow, materialize, parts, shared_files
 
 END = b""
 FREQUENT, GROUPS = 256, 8
@@ -136,7 +136,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
     """Writes texts, lower-cased and with a line feed after each, in chunks, and gives a row for
     each chunk: its file, its place there, and its most frequent training words. A retried
     task writes a file of its own; only files in the table count."""
-    out = shared_path(docs.sparkSession, "text-chunks")
+    out = shared_files(docs.sparkSession, "text-chunks")
 
     def gather(batches):
         import pyarrow.ipc as ipc

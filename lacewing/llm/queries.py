@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .centroid_clustering import OP13_SQL, op13_centroid_clustering
 from .embedding_dedup import OP5_SQL, op5_embedding_dedup
+from .language_id import op11_language_id
 from .lm_scoring import op4_lm_scoring
 from .mixing import OP2_SQL, op2_mixing
 from .packing import op9_best_fit_packing
@@ -19,7 +20,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_mixing, op3_quality_classifier, op4_lm_scoring, op5_embedding_dedup, op6_substring_dedup,
-        op7_simhash, op8_quality_rules, op9_best_fit_packing, op10_token_files, op12_vector_codes, op13_centroid_clustering,
+        op7_simhash, op8_quality_rules, op9_best_fit_packing, op10_token_files, op11_language_id, op12_vector_codes, op13_centroid_clustering,
     )
 }
 

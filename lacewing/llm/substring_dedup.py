@@ -11,8 +11,9 @@ cells, so a task holds one slice's entries at any size, and nothing is collected
 Estimates of a count-min sketch are never too low, so a window with a cell that isn't hot
 occurs once. About a fifth of the other windows that occur once pass too.
 
-Second pass: windows all of whose cells are hot are grouped by 128 hash bits, half of them from
-other word hashes than the rest. Within a chunk, repeats are settled at once and each distinct
+Second pass: windows all of whose cells are hot are grouped by 128 hash bits, made from two
+independent hashes of each word that are joined pairwise; bits are stirred after every eight
+bytes and at every joint, so that no pattern of bytes or words cancels out. Within a chunk, repeats are settled at once and each distinct
 window is handed on once, so a common passage costs one entry for each chunk, not one for
 each occurrence. The marks go back to their chunks, whose texts are then cut.
 
@@ -43,68 +44,69 @@ LEAST_SLICES, LEAST_SHARDS = 64, 64
 #: Bytes of text to a shard of the second pass.
 SHARD = 32_000_000
 CHUNKS_EACH = 4  # chunks to a task
-#: Odd, so that powers have inverses modulo 2**64.
-BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Odd multipliers of the left and the right half of a window, for each of the two hashes.
+HALVES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
 CHARS = 2_000_000  # bytes of text to a chunk, or one text if longer
-BLOCK = 1 << 18  # bytes whose words are hashed at once
+BLOCK = 1 << 14  # words hashed at once
 
 
-def _mix(x: np.ndarray, by: int) -> np.ndarray:
-    x = (x ^ np.uint64(by)) * np.uint64(0xFF51AFD7ED558CCD)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, np.uint64(base), np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_KEPT: dict[int, np.ndarray] = {}
-
-
-def _kept_powers(base: int, n: int) -> np.ndarray:
-    """Kept from chunk to chunk, up to a chunk's usual size."""
-    if base not in _KEPT or _KEPT[base].size < n:
-        if n > 2 * CHARS:
-            return _powers(base, n)
-        _KEPT[base] = _powers(base, n + n // 4)
-    return _KEPT[base][:n]
+def _join(left: np.ndarray, right: np.ndarray, by: tuple[int, int], size: int) -> np.ndarray:
+    """Hashes of runs of ``size`` words from those of their halves. The bits are stirred at each
+    step, so that no pattern of words cancels out."""
+    out = left * np.uint64(by[0])
+    out += _mix(right * np.uint64(by[1]) + np.uint64(size))
+    return _mix(out)
 
 
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash, modulo 2**64, of values[start:end] for each span, the same wherever
-    the span lies."""
-    up = _kept_powers(base, values.size + 1)
-    down = _kept_powers(pow(base, -1, 1 << 64), values.size + 1)
-    sums = np.zeros(values.size + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    return _mix((sums[ends] - sums[starts]) * down[starts], base)
+def _windows(h: np.ndarray, width: int, by: tuple[int, int]) -> np.ndarray:
+    """The hash of the ``width`` words from each word on, from runs of 1, 2, 4, ... words."""
+    out, done, size = None, 0, 1
+    n = max(h.size - width + 1, 0)
+    while True:
+        if width & size:
+            part = h[done : done + n]
+            out = part.copy() if out is None else _join(out, part, by, done + size)
+            done += size
+        if 2 * size > width or not n:
+            return h[:0] if out is None else out
+        h = _join(h[:-size], h[size:], by, 2 * size)
+        size *= 2
 
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def _word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Two hashes of each word. Block by block, or word by word if longer: bytes take much room
-    while they are hashed."""
-    h = tuple(np.empty(starts.size, np.uint64) for _ in WORD_BASES)
-    i = 0
-    while i < starts.size:
-        at = starts[i]
-        j = max(i + 1, int(np.searchsorted(ends, at + BLOCK, side="right")))
-        values = raw[at : ends[j - 1]].astype(np.uint64)
-        values += np.uint64(1)
-        for out, base in zip(h, WORD_BASES):
-            out[i:j] = _spans(values, starts[i:j] - at, ends[i:j] - at, base)
-        i = j
-    return h
+    """Two hashes of each word, eight bytes at a time; a block of words at once."""
+    out = tuple(np.empty(starts.size, np.uint64) for _ in HALVES)
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    eights = np.ndarray(raw.size + 1, "<u8", padded, strides=(1,))  # the eight bytes from each byte on
+    for i in range(0, starts.size, BLOCK):
+        at, left = starts[i : i + BLOCK], ends[i : i + BLOCK] - starts[i : i + BLOCK]
+        h = [left.astype(np.uint64) * np.uint64(by[0]) for by in HALVES]
+        some = slice(None)
+        while at.size:
+            value = eights[at]
+            value &= _MASKS[np.minimum(left, 8)]
+            for x, by in zip(h, HALVES):
+                x[some] = _mix((x[some] ^ value) * np.uint64(by[1]) + np.uint64(by[0]))
+            on = left > 8
+            some = np.flatnonzero(on) if isinstance(some, slice) else some[on]
+            at, left = at[on] + 8, left[on] - 8
+        for o, x in zip(out, h):
+            o[i : i + BLOCK] = x
+    return out
 
 
 def window_hashes(texts: list[bytes], width: int):
@@ -120,7 +122,7 @@ def window_hashes(texts: list[bytes], width: int):
     firsts = np.cumsum(n) - n
     many = np.maximum(n - width + 1, 0)
     at = np.repeat(firsts - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-    h1, h2 = (_spans(x, at, at + width, base) for x, base in zip(h, BASES))
+    h1, h2 = (_windows(x, width, by)[at] for x, by in zip(h, HALVES))
     return h1, h2, at, n
 
 

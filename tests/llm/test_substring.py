@@ -49,6 +49,34 @@ def test_word_hashes_do_not_depend_on_blocks(monkeypatch, messy_rows):
         assert np.array_equal(a, b)
 
 
+def thue_morse(n, one, other):
+    return [one if bin(i).count("1") % 2 == 0 else other for i in range(n)]
+
+
+def test_words_and_windows_of_one_pattern_are_told_apart(spark, rows_of):
+    """Sequences whose polynomial hashes are equal for every odd base modulo 2**64."""
+    x, y = "".join(thue_morse(2048, "a", "b")), "".join(thue_morse(2048, "b", "a"))
+    tail = " ".join(f"w{k}" for k in range(34))
+    docs = spark.createDataFrame([(1, f"{x} {tail}"), (2, f"{y} {tail}")], "doc_id long, text string")
+    assert rows_of(s.remove_repeats(docs, 35), "doc_id", "n_words", "n_removed") == [(1, 35, 0), (2, 35, 0)]
+    long = [(1, " ".join(thue_morse(4096, "p", "q"))), (2, " ".join(thue_morse(4096, "q", "p")))]
+    found = s.remove_repeats(spark.createDataFrame(long, "doc_id long, text string"), 4096)
+    assert rows_of(found, "doc_id", "n_removed") == [(1, 0), (2, 0)]
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 7, 35, 64])
+def test_window_hashes_follow_the_words(width):
+    import numpy as np
+
+    rng = np.random.default_rng(width)
+    words = [f"{rng.integers(3)}" for _ in range(400)]
+    h1, h2, at, n = s.window_hashes([" ".join(words[:200]).encode(), b"", " ".join(words[200:]).encode()], width)
+    assert n.tolist() == [200, 0, 200] and len(h1) == len(h2) == 2 * (201 - width)
+    spans = [tuple(words[i : i + width]) for i in at.tolist()]
+    for h in (h1, h2):
+        assert len(set(zip(spans, h.tolist()))) == len(set(spans)) == len(set(h.tolist()))
+
+
 @pytest.mark.parametrize("n,span", [(2000, 1 << 23), (2000, 500), (16000, 500)])
 def test_share_of_single_windows_that_pass(spark, n, span):
     """The prefilter works alike whatever the number of slices and of windows."""

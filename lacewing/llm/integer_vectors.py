@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Largest magnitude of an integer component: squared distances then fit 64 bits, with room
-#: for the number of an entry beside those of parts of up to 16 components.
+#: Largest magnitude of an integer component: four times a squared distance then fits 64 bits,
+#: for vectors of up to 256 components.
 LIMIT = 1 << 25
 
 

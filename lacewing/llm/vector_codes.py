@@ -50,7 +50,7 @@ class Neighbours:
         k = len(self.entries)
         d = x - self.entries[start]
         d = np.einsum("ij,ij->i", d, d)
-        radius, best, work = 4 * d, d * k + start, len(x)
+        radius, best, least, work = 4 * d, start.copy(), d.copy(), len(x)
         alive = np.arange(len(x))
         for rank in range(1, k):
             alive = alive[self.apart[start[alive], rank] <= radius[alive]]
@@ -58,9 +58,11 @@ class Neighbours:
                 break
             other = self.order[start[alive], rank]
             d = x[alive] - self.entries[other]
-            best[alive] = np.minimum(best[alive], np.einsum("ij,ij->i", d, d) * k + other)
+            d = np.einsum("ij,ij->i", d, d)
+            wins = (d < least[alive]) | (d == least[alive]) & (other < best[alive])
+            best[alive[wins]], least[alive[wins]] = other[wins], d[wins]
             work += alive.size
-        return best % k, best // k, work
+        return best, least, work
 
 
 def first_codebooks(vectors: DataFrame, id_column: str, column: str, parts: int, entries: int, scale: int) -> np.ndarray:

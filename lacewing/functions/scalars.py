@@ -25,6 +25,20 @@ def to_half(x: Column) -> Column:
     )
 
 
+def ordered_bits(x: Column) -> Column:
+    """A double as a whole number in the same order: the bits of its size (biased exponent and
+    fraction), negative for negative numbers. Both zeros are 0; NaN is above infinity."""
+    size = F.abs(x)
+    near = F.floor(F.log2(size)).cast("int")  # may be one off beside a power of two
+    power = lambda e: F.pow(F.lit(2.0), e)
+    e = F.when(size < power(near), near - 1).when(size >= power(near + 1), near + 1).otherwise(near)
+    unit = 1 << 52
+    normal = (e + 1023).cast("long") * unit + ((size / power(e) - 1.0) * float(unit)).cast("long")
+    tiny = (size * 2.0**537 * 2.0**537).cast("long")
+    bits = F.when(F.isnan(x), F.lit(2047 * unit + 1)).when(size == float("inf"), F.lit(2047 * unit)).when(size < 2.0**-1022, tiny).otherwise(normal)
+    return F.when(x < 0, -bits).otherwise(bits)
+
+
 def upper_median(x: str) -> Column:
     """Element n // 2 of the sorted values, not a mean of two; 0 for none."""
     return F.expr(f"coalesce(CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY {x} DESC) AS DOUBLE), 0.0D)")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NumericType
 
 from lacewing.functions.scalars import strategy_label
+from lacewing.operators.selection import exact_medians
 
 # The studied device's FP32 peak in GFLOP/s, memory bandwidth in GB/s, and
 # second-level cache in bytes.
@@ -35,31 +36,49 @@ def roofline(rows: DataFrame) -> DataFrame:
     )
 
 
+def _first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """The row of the least ``order`` of each key. It is an aggregate, so each task hands on one row
+    for a key that it holds, and no key's rows are sorted in one task."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
+
+
+def _descending(rows: DataFrame, name: str) -> list:
+    """Keys that ascend as a number descends; NaN comes first and null last."""
+    kind, x = rows.schema[name].dataType, F.col(name)
+    if not isinstance(kind, NumericType):
+        raise ValueError(f"{name} must be a number")
+    if isinstance(kind, IntegralType):
+        return [x.isNull().alias("o0"), F.bitwise_not(x).alias("o1")]
+    order = [x.isNull().alias("o0"), (-x).alias("o2")]
+    return order if kind.typeName().startswith("decimal") else [order[0], (~F.isnan(x)).alias("o1"), order[1]]
+
+
 def best_per_cell(rows: DataFrame, cell: list[str], score: str, order: str, skip=None) -> DataFrame:
     """The row of the best score in each cell; the first wins ties."""
     rows = rows if skip is None else rows.where(~skip)
-    w = W.partitionBy(*cell).orderBy(F.col(score).desc(), order)
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    return _first(rows, cell, [*_descending(rows, score), F.col(order).alias("o3")])
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: str | list[str]) -> DataFrame:
     """The first row of each key; nulls are equal to each other."""
-    w = W.partitionBy(*keys).orderBy(*([order] if isinstance(order, str) else order))
-    return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    return _first(rows, keys, [F.col(o).alias(f"o{i}") for i, o in enumerate([order] if isinstance(order, str) else order)])
 
 
 def speedups(rows: DataFrame, baseline: str = "baseline", kernels: list[str] | None = None) -> DataFrame:
     """Median over nnz of a kernel's rate over the baseline's, by (pattern, m, kernel); rows are
     (pattern, m, nnz, kernel, gflops, seq). The last row of a name in a cell counts; cells
     without a baseline, or with one of zero, go. Names are put under one label only after
-    that, so that several variants of one label all count. ``kernels`` are labels to keep."""
-    last = W.partitionBy("pattern", "m", "nnz", "kernel").orderBy(F.desc("seq"))
-    rows = rows.withColumn("_k", F.row_number().over(last)).where("_k = 1")
-    base = F.max(F.when(F.col("kernel") == baseline, F.col("gflops"))).over(W.partitionBy("pattern", "m", "nnz"))
-    rows = rows.withColumn("base", base).where("base <> 0").withColumn("kernel", strategy_label(F.col("kernel")))
+    that, so that several variants of one label all count. ``kernels`` are labels to keep. Of a
+    cell only its last rows by name are gathered, so as many as there are names."""
+    last = rows.groupBy("pattern", "m", "nnz", "kernel").agg(F.max_by("gflops", "seq").alias("gflops"))
+    cells = last.groupBy("pattern", "m", "nnz").agg(
+        F.max(F.when(F.col("kernel") == baseline, F.col("gflops"))).alias("base"), F.collect_list(F.struct("kernel", "gflops")).alias("each")
+    )
+    rates = cells.where("base <> 0").select("pattern", "m", "base", F.inline("each"))
+    rates = rates.select("pattern", "m", strategy_label(F.col("kernel")).alias("kernel"), (F.col("gflops") / F.col("base")).alias("rate"))
     if kernels is not None:
-        rows = rows.where(F.col("kernel").isin(kernels))
-    return rows.groupBy("pattern", "m", "kernel").agg(F.median(F.col("gflops") / F.col("base")).alias("speedup"))
+        rates = rates.where(F.col("kernel").isin(kernels))
+    return exact_medians(rates, ["pattern", "m", "kernel"], "rate", "speedup")
 
 
 def size_label(m):

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lacewing.functions.scalars import upper_median
+from lacewing.operators.selection import exact_medians
+from lacewing.plans.matrix import DenseMatrix, SparseMatrix
+from lacewing.plans.stored import hold
 
 
 def error_stats(ours: DataFrame, reference: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def verdict(l2, verified=None):
 
 def makespan(times: DataFrame, group: str, device: str, ms: str) -> DataFrame:
     """The largest of the devices' upper medians."""
-    return times.groupBy(group, device).agg(upper_median(ms).alias("m")).groupBy(group).agg(F.max("m").alias("makespan"))
+    return exact_medians(times, [group, device], ms, "m", upper=True).groupBy(group).agg(F.max("m").alias("makespan"))
 
 
 def benchmark(make, warmup: int = 1, runs: int = 5) -> tuple[float, list[float]]:
@@ -45,3 +47,23 @@ def benchmark(make, warmup: int = 1, runs: int = 5) -> tuple[float, list[float]]
         if k >= warmup:
             taken.append(time.perf_counter() - began)
     return (sorted(taken)[len(taken) // 2] if taken else 0.0), taken
+
+
+def benchmark_product(strategy, a: SparseMatrix, b: DenseMatrix, warmup: int = 1, runs: int = 5) -> tuple[float, list[float]]:
+    """As ``benchmark``, of the product alone: both sides are stored first and freed after."""
+    with hold(a) as left, hold(b) as right:
+        return benchmark(lambda: strategy(left, right), warmup, runs)
+
+
+def observed(c: DataFrame, reference: DataFrame | None = None, name: str = "product") -> tuple[DataFrame, Observation]:
+    """The result, unchanged, and an observation that holds, once the result has been run, its
+    cells, sum and largest magnitude. Against a reference, joined to it by cell, also the
+    largest difference: one pass for the result and its numbers."""
+    seen = Observation(name)
+    value = F.col("c").cast("double")
+    numbers = [F.count("*").alias("cells"), F.coalesce(F.sum(value), F.lit(0.0)).alias("total"), F.coalesce(F.max(F.abs(value)), F.lit(0.0)).alias("peak")]
+    if reference is None:
+        return c.observe(seen, *numbers), seen
+    both = c.join(reference.select("row", "j", F.col("c").cast("double").alias("_r")), ["row", "j"], "left")
+    apart = F.abs(value - F.coalesce("_r", F.lit(0.0)))
+    return both.observe(seen, *numbers, F.coalesce(F.max(apart), F.lit(0.0)).alias("max_abs")).drop("_r"), seen

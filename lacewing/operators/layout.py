@@ -78,3 +78,28 @@ def nnz_shards(m: SparseMatrix, n_shards: int) -> DataFrame:
 
 def shard_summary(m: SparseMatrix, n_shards: int) -> DataFrame:
     return nnz_shards(m, n_shards).groupBy("shard").agg(F.count("*").alias("n_rows"), F.sum("n").cast("long").alias("nnz"))
+
+
+def entry_positions(m: SparseMatrix, columns: int = 65_536, rows_per_slice: int = 4096) -> DataFrame:
+    """(row, col, val, pos): the entries' places in (row, column) order, from 0. Places are counted
+    within cells of one row and a range of columns, cells within slices of rows, and slices in all:
+    a row of any length is spread over its cells, and only the slices' totals meet in one task."""
+    placed = m.entries.withColumn("chunk", F.expr(f"col div {columns}"))
+    cells = placed.groupBy("row", "chunk").agg(F.count("*").alias("n")).withColumn("slice", F.expr(f"row div {rows_per_slice}"))
+    totals = cells.groupBy("slice").agg(F.sum("n").alias("t"))
+    totals = totals.select("slice", F.coalesce(F.sum("t").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    within = W.partitionBy("slice").orderBy("row", "chunk").rowsBetween(W.unboundedPreceding, -1)
+    inside = cells.withColumn("inside", F.coalesce(F.sum("n").over(within), F.lit(0))).join(totals, "slice")
+    start = inside.select("row", "chunk", (F.col("base") + F.col("inside")).alias("start"))
+    rank = F.row_number().over(W.partitionBy("row", "chunk").orderBy("col")) - 1
+    return placed.withColumn("rank", rank).join(start, ["row", "chunk"]).select("row", "col", "val", (F.col("start") + F.col("rank")).alias("pos"))
+
+
+def entry_shards(m: SparseMatrix, n_shards: int, columns: int = 65_536) -> DataFrame:
+    """(row, col, val, pos, shard): entries in (row, column) order cut into shards whose sizes differ
+    by one entry at most. A row longer than a shard lies in several."""
+    if n_shards < 1:
+        raise ValueError("n_shards must be positive")
+    total = m.entries.agg(F.count("*").alias("total"))
+    shard = F.expr(f"CAST((pos * {n_shards}) div total AS INT)")
+    return entry_positions(m, columns).crossJoin(F.broadcast(total)).select("row", "col", "val", "pos", shard.alias("shard"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lacewing.plans import planner
 from lacewing.plans.matrix import BLOCK, DenseMatrix, SparseMatrix
 
-from .layout import all_rows, bsr_blocks, nnz_shards, unpack_blocks
+from .layout import all_rows, bsr_blocks, entry_shards, nnz_shards, unpack_blocks
 
 BROADCAST_BYTES = 64 << 20
 
@@ -114,12 +114,60 @@ def sharded(a: SparseMatrix, b: DenseMatrix, n_shards: int) -> DataFrame:
     return parts.groupBy("shard", "row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c")).select("row", "j", "c")
 
 
+def entry_sharded(a: SparseMatrix, b: DenseMatrix, n_shards: int) -> DataFrame:
+    """Entries dealt to shards of equal size, whatever the rows' lengths: shard g is task g. A row
+    that is cut has a partial sum in each of its shards, added up after; there are at most
+    n_shards - 1 cuts, so hardly more is shuffled than the result. Store ``a`` first (``hold``),
+    so that it is built once for the counts and the deal."""
+    dealt = entry_shards(a, n_shards).repartitionById(n_shards, "shard")
+    joined = dealt.join(_small(b.rows.withColumnRenamed("k", "col"), b), "col")
+    return joined.select("row", "val", F.posexplode("b").alias("j", "x")).groupBy("row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
+
+
+def heavy_columns(a: SparseMatrix, share: int) -> DataFrame:
+    """(col): the columns that hold more than a ``share``-th of the entries, at most ``share`` of
+    them. One pass with a sketch of frequent items, which tasks merge; its size depends on
+    ``share`` alone. The sketch may rate a column too high, so one near the limit may come or
+    stay away; products are right with any columns."""
+    sketch = a.entries.agg(F.expr(f"approx_top_k(col, {share}, {16 * share})").alias("top"), F.count("*").alias("n"))
+    return sketch.select("n", F.inline("top")).where(F.col("count") * share > F.col("n")).select(F.col("item").alias("col"))
+
+
+def skewed(a: SparseMatrix, b: DenseMatrix, limit: int = BROADCAST_BYTES, share: int | None = None) -> DataFrame:
+    """For a dense side over the broadcast limit and columns that hold much of the entries: the
+    dense rows of heavy columns are broadcast to where the entries are, and only the others'
+    entries are shuffled to their rows. A column counts as heavy above a quarter of a mean
+    shuffle partition; there are as many at most as fit the limit."""
+    spark = a.entries.sparkSession
+    row_bytes = 8 * max(1, b.n_cols)
+    share = min(share or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), limit // row_bytes, 60_000)
+    if share < 1:
+        return shuffled(a, b)
+    heavy = heavy_columns(a, share)
+    rows = b.rows.withColumnRenamed("k", "col")
+    there = rows.join(F.broadcast(heavy), "col", "left_semi").withColumnRenamed("b", "near")
+    # A heavy column without a dense row stays near too: it adds nothing.
+    near = heavy.join(F.broadcast(there), "col", "left").withColumn("heavy", F.lit(True))
+    split = a.entries.join(F.broadcast(near), "col", "left")
+    far = split.where("heavy IS NULL").select("row", "col", "val").join(rows.hint("merge"), "col").select("row", "val", "b")
+    both = split.where("heavy").select("row", "val", F.col("near").alias("b")).union(far)
+    return both.select("row", "val", F.posexplode("b").alias("j", "x")).groupBy("row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
+
+
 def shuffled(a: SparseMatrix, b: DenseMatrix) -> DataFrame:
     """Never broadcasts: for dense sides larger than memory."""
     joined = a.entries.join(b.rows.withColumnRenamed("k", "col").hint("merge"), "col")
     return joined.select("row", "val", F.posexplode("b").alias("j", "x")).groupBy("row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
 
 
+def batched(entries: DataFrame, b: DenseMatrix, keys: list[str]) -> DataFrame:
+    """Products of many sparse matrices, told apart by ``keys``, with one dense matrix: (keys, row,
+    j, c). All are one join and one sum, whatever their number and sizes."""
+    summed = entries.groupBy(*keys, "row", "col").agg(F.sum("val").alias("val"))
+    joined = summed.join(_small(b.rows.withColumnRenamed("k", "col"), b), "col")
+    return joined.select(*keys, "row", "val", F.posexplode("b").alias("j", "x")).groupBy(*keys, "row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
+
+
 def hybrid(a: SparseMatrix, b: DenseMatrix, threshold: float = planner.THRESHOLD) -> DataFrame:
     """The plan that the planner chooses from the entries' clustering."""
     chosen = planner.choose(a, b.n_cols, threshold)
@@ -130,6 +178,7 @@ STRATEGIES = {
     "baseline": long, "memopt": packed, "memopt_v2": packed, "tiled": wide, "tiled_v2": aligned_wide,
     "tiled_v3": lambda a, b: wide(a, b, 128), "tiled_v4": lambda a, b: wide(a, b, 256), "wmma": block,
     "hybrid": hybrid, "multigpu": lambda a, b: sharded(a, b, device_count(a.entries.sparkSession)), "unified": shuffled,
+    "skewed": skewed, "balanced": lambda a, b: entry_sharded(a, b, device_count(a.entries.sparkSession)),
 }
 
 

@@ -10,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacewing.functions.scalars import gflops, to_half, upper_median
-from lacewing.operators import analytics, evaluate, layout, multiply, sweep
+from lacewing.functions.scalars import gflops, to_half
+from lacewing.operators import analytics, evaluate, layout, multiply, selection, sweep
 from lacewing.plans import planner
 from lacewing.plans.matrix import DenseMatrix, SparseMatrix
+from lacewing.plans.stored import hold
 from lacewing.sources import csr_binary, generate, logs
 
 SHARDS = 4
@@ -95,6 +96,58 @@ _product("spmm_sharded", lambda a, b: multiply.sharded(a, b, SHARDS))
 _product("spmm_shuffled", multiply.shuffled)
 
 
+#: Every second line of an order meets in column 0, so it holds an entry of nearly every row.
+HEAVY = """h AS (SELECT l_orderkey AS row, CASE WHEN l_linenumber % 2 = 1 THEN 0 ELSE l_partkey % (SELECT count(*) FROM embeddings) END AS col,
+  CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS val FROM lineitem GROUP BY 1, 2)"""
+
+
+def heavy_matrix(spark, sf_dir) -> SparseMatrix:
+    n_cols = _table(spark, sf_dir, "embeddings").count()
+    lines = _table(spark, sf_dir, "lineitem")
+    col = F.when(F.col("l_linenumber") % 2 == 1, F.lit(0)).otherwise(F.col("l_partkey") % n_cols).cast("long")
+    entries = lines.select(F.col("l_orderkey").cast("long").alias("row"), col.alias("col"), F.col("l_quantity").cast("long").alias("val"))
+    return SparseMatrix.from_entries(entries, (lines.agg(F.max("l_orderkey")).first()[0] or -1) + 1, n_cols)
+
+
+@query(f"WITH {HEAVY}, {B} SELECT h.row, b.j, CAST(sum(h.val * b.b) AS BIGINT) AS c FROM h JOIN b ON h.col = b.k WHERE b.j < 4 GROUP BY 1, 2")
+def spmm_heavy_columns(spark, sf_dir):
+    """A column that nearly every row has; the dense side is over the limit that is set."""
+    b = dense(spark, sf_dir)
+    thin = DenseMatrix(b.rows.select("k", F.slice("b", 1, 4).alias("b")), b.n_rows, min(4, b.n_cols))
+    return multiply.skewed(heavy_matrix(spark, sf_dir), thin, limit=1024).select("row", "j", "c")
+
+
+_product("spmm_entry_sharded", lambda a, b: multiply.entry_sharded(hold(a).matrix, b, SHARDS))
+
+
+@query(
+    f"WITH {A}, o AS (SELECT row, col, val, row_number() OVER (ORDER BY row, col) - 1 AS pos, count(*) OVER () AS n FROM a) SELECT row, col, val, pos, (pos * 7 // n)::INTEGER AS shard FROM o"
+)
+def entry_shards(spark, sf_dir):
+    return layout.entry_shards(supplier_matrix(spark, sf_dir), 7, columns=64)
+
+
+@query(PRODUCT)
+def spmm_hybrid_stored(spark, sf_dir):
+    """The matrix is built and stored once for the choice and the product."""
+    return multiply.hybrid(hold(supplier_matrix(spark, sf_dir)).matrix, dense(spark, sf_dir)).select("row", "j", "c")
+
+
+@query(
+    f"""WITH {B}, a AS (SELECT l_returnflag, l_linestatus, l_suppkey AS row, l_partkey % (SELECT count(*) FROM embeddings) AS col, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS val
+FROM lineitem GROUP BY 1, 2, 3, 4) SELECT l_returnflag, l_linestatus, a.row, b.j, CAST(sum(a.val * b.b) AS BIGINT) AS c FROM a JOIN b ON a.col = b.k WHERE b.j < 8 GROUP BY 1, 2, 3, 4"""
+)
+def spmm_batched(spark, sf_dir):
+    """A matrix for each return flag and line status, all in one plan."""
+    b = dense(spark, sf_dir)
+    thin = DenseMatrix(b.rows.select("k", F.slice("b", 1, 8).alias("b")), b.n_rows, min(8, b.n_cols))
+    keys = ["l_returnflag", "l_linestatus"]
+    entries = _table(spark, sf_dir, "lineitem").select(
+        *keys, F.col("l_suppkey").alias("row"), (F.col("l_partkey") % b.n_rows).alias("col"), F.col("l_quantity").cast("long").alias("val")
+    )
+    return multiply.batched(entries, thin, keys)
+
+
 @query(
     f"WITH {A}, {B}, {C} SELECT CAST(r.row AS BIGINT) AS row, CAST(g.j AS INTEGER) AS j, coalesce(c.c, 0) AS c FROM (SELECT unnest(range((SELECT n + 3 FROM nr))) AS row) r "
     "CROSS JOIN (SELECT DISTINCT j FROM b) g LEFT JOIN c ON c.row = r.row AND c.j = g.j"
@@ -255,12 +308,24 @@ def verdict(spark, sf_dir):
 
 @query("SELECT event_type, CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY value DESC) AS DOUBLE) AS median FROM events GROUP BY 1")
 def upper_median_by_type(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy("event_type").agg(upper_median("value").alias("median"))
+    return selection.exact_medians(_table(spark, sf_dir, "events"), ["event_type"], "value", upper=True)
 
 
 @query("SELECT event_type, median(value) AS median FROM events GROUP BY 1")
 def interpolated_median(spark, sf_dir):
-    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.median("value").alias("median"))
+    return selection.exact_medians(_table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+@query(
+    """WITH x AS (SELECT l_returnflag AS flag, l_extendedprice::DOUBLE AS v FROM lineitem),
+o AS (SELECT flag, v, row_number() OVER (PARTITION BY flag ORDER BY v) - 1 AS k, count(*) OVER (PARTITION BY flag) AS n FROM x)
+SELECT flag, max(CASE WHEN k = n // 2 THEN v END) AS upper, (max(CASE WHEN k = (n - 1) // 2 THEN v END) * 0.5::DOUBLE + max(CASE WHEN k = n // 2 THEN v END) * 0.5::DOUBLE) AS middle FROM o GROUP BY 1"""
+)
+def median_by_digits(spark, sf_dir):
+    """Every group selected digit by digit, as large ones are."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("v"))
+    upper = selection.exact_medians(rows, ["flag"], "v", "upper", upper=True, limit=0)
+    return upper.join(selection.exact_medians(rows, ["flag"], "v", "middle", limit=0), "flag")
 
 
 @query(
@@ -509,5 +574,14 @@ def pattern_sweep(spark, sf_dir):
 @query(f"WITH {A} SELECT row, col, CAST(val AS BIGINT) AS val FROM a")
 def csr_binary_roundtrip(spark, sf_dir):
     path = _scratch(spark, "matrix") + ".bin"
-    csr_binary.write(supplier_matrix(spark, sf_dir), path)
+    csr_binary.write(hold(supplier_matrix(spark, sf_dir)).matrix, path)
     return csr_binary.read(spark, path, 64).entries.withColumn("val", F.col("val").cast("long"))
+
+
+@query(f"WITH {A} SELECT row, col, CAST(val AS BIGINT) AS val FROM a WHERE row BETWEEN 11 AND 37 AND col % 3 = 1")
+def csr_binary_rows(spark, sf_dir):
+    """A range of rows of a file, of which no other row is read."""
+    path = _scratch(spark, "matrix") + ".bin"
+    csr_binary.write(supplier_matrix(spark, sf_dir), path)
+    found = csr_binary.read(spark, path, 8, begin=11, end=38).entries.where("col % 3 = 1")
+    return found.withColumn("val", F.col("val").cast("long"))

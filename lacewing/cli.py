@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lacewing.operators import evaluate, layout, multiply
 from lacewing.plans import planner
+from lacewing.plans.stored import hold, hold_frame
 from lacewing.sources import csr_binary, generate
 
 PATTERNS = {
@@ -38,7 +39,7 @@ def _parser() -> argparse.ArgumentParser:
             c.add_argument("--unified", action="store_true", help="never broadcast the dense side")
             c.add_argument("--no-verify", action="store_true")
         if name == "bench":
-            c.add_argument("--kernel", choices=[*multiply.STRATEGIES, "all"], default="all")
+            c.add_argument("--kernel", choices=[*multiply.STRATEGIES, "reference", "both", "all"], default="all", help="both: baseline and memopt")
             c.add_argument("--warmup", type=int, default=1)
             c.add_argument("--runs", type=int, default=3)
     return parser
@@ -78,13 +79,22 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         row = found.select("rel_l2", evaluate.verdict(F.col("rel_l2")).alias("verdict")).first()
         print(f"{line} rel_l2_err={row['rel_l2']:.3e} {row['verdict']}")
         return 0 if row["verdict"] == "[PASS]" else 1
-    names = list(multiply.STRATEGIES) if args.kernel == "all" else [args.kernel]
-    for name in names:
-        if name == "tiled_v2" and args.n % 128:
-            continue
-        seconds, _ = evaluate.benchmark(lambda: multiply.STRATEGIES[name](a, b), args.warmup, args.runs)  # noqa: B023
-        rate = 2.0 * nnz * args.n / max(seconds * 1e9, 1e-9)
-        print(f"kernel={name} {shape} time_ms={1000 * seconds:.4f} gflops={rate:.4f}")
+    names = {"all": ["reference", *multiply.STRATEGIES], "both": ["baseline", "memopt"]}.get(args.kernel, [args.kernel])
+    with hold(a) as left, hold(b) as right, hold_frame(multiply.packed(left, right)) as reference:
+        for name in names:
+            if name == "tiled_v2" and args.n % 128:
+                continue
+            strategy, label = multiply.STRATEGIES.get(name, multiply.packed), name
+            if name == "hybrid":
+                plan = planner.choose(left, args.n, args.threshold)
+                print(f"hybrid_plan backend={plan.backend.value} fill_in={plan.fill_in_ratio:.2f} block_density={plan.block_density:.4f} "
+                      f"threshold={plan.threshold:.2f} n_aligned={int(plan.n_aligned)} reason=\"{plan.reason}\"")
+                strategy, label = multiply.BACKENDS[plan.backend], f"hybrid[{plan.backend.value}]"
+            seconds, _ = evaluate.benchmark(lambda: strategy(left, right), args.warmup, args.runs)  # noqa: B023
+            rate = 2.0 * nnz * args.n / max(seconds * 1e9, 1e-9)
+            err = evaluate.error_stats(strategy(left, right), reference).first()
+            print(f"kernel={label} {shape} time_ms={1000 * seconds:.4f} gflops={rate:.2f} "
+                  f"max_abs_err={err['max_abs']:.3e} max_rel_err={err['max_rel']:.3e} rel_l2_err={err['rel_l2']:.3e}")
     return 0
 
 

@@ -12,10 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacewing.functions.scalars import to_half
 from lacewing.plans import planner
 from lacewing.plans.matrix import BLOCK, DenseMatrix, SparseMatrix
 
-from .layout import all_rows, bsr_blocks, entry_shards, nnz_shards, unpack_blocks
+from .layout import all_rows, entry_shards, nnz_shards, unpack_blocks
 
 BROADCAST_BYTES = 64 << 20
 
@@ -63,36 +64,47 @@ def aligned_wide(a: SparseMatrix, b: DenseMatrix, tile: int = 128) -> DataFrame:
 
 def block(a: SparseMatrix, b: DenseMatrix, half: bool = False) -> DataFrame:
     """16 by 16 blocks times 16 dense rows in NumPy, an Arrow batch at a time; partial sums
-    of block rows are added in Spark. Dense rows beyond K count as zeros."""
-    blocks = bsr_blocks(a, half)
+    of block rows are added in Spark. A block travels as its stored cells and is filled in
+    NumPy, which also knows its rows with entries: no other row makes a cell. Dense rows
+    beyond K count as zeros."""
     value = "double" if half else a.entries.schema["val"].dataType.simpleString()
     n = b.n_cols
+    number = to_half(F.col("val")) if half else F.col("val")
+    cells = F.struct(F.expr(f"CAST((row % {BLOCK}) * {BLOCK} + col % {BLOCK} AS INT)").alias("at"), number.alias("v"))
+    blocks = a.entries.groupBy(F.expr(f"row div {BLOCK}").alias("br"), F.expr(f"col div {BLOCK}").alias("bc")).agg(F.collect_list(cells).alias("cells"))
     strips = b.rows.groupBy(F.expr(f"k div {BLOCK}").alias("bc")).agg(
-        F.array_sort(F.collect_list(F.struct(F.expr(f"CAST(k % {BLOCK} AS INT)").alias("at"), "b"))).alias("strip")
+        F.collect_list(F.struct(F.expr(f"CAST(k % {BLOCK} AS INT)").alias("at"), "b")).alias("strip")
     )
-    joined = blocks.join(_small(strips, b), "bc").select("br", "block", F.col("strip.at").alias("at"), F.col("strip.b").alias("b"))
+    joined = blocks.join(_small(strips, b), "bc").select("br", F.col("cells.at").alias("place"), F.col("cells.v").alias("v"), F.col("strip.at").alias("at"), F.col("strip.b").alias("b"))
+
+    def spread(batch, name):
+        """Which row of the batch each element of a list column is in."""
+        return np.repeat(np.arange(batch.num_rows), batch.column(name).value_lengths().to_numpy())
 
     def multiply(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left = batch.column("block").flatten().to_numpy(zero_copy_only=False).reshape(-1, BLOCK, BLOCK)
-            right = np.zeros((batch.num_rows, BLOCK, n), left.dtype)
-            strip = np.repeat(np.arange(batch.num_rows), batch.column("at").value_lengths().to_numpy())
-            right[strip, batch.column("at").flatten().to_numpy()] = batch.column("b").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-            product = left @ right
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False)
+            left, stored = np.zeros((batch.num_rows, BLOCK * BLOCK), v.dtype), np.zeros((batch.num_rows, BLOCK * BLOCK), bool)
+            place = batch.column("place").flatten().to_numpy()
+            left[spread(batch, "place"), place] = v
+            stored[spread(batch, "place"), place] = True
+            right = np.zeros((batch.num_rows, BLOCK, n), v.dtype)
+            right[spread(batch, "at"), batch.column("at").flatten().to_numpy()] = batch.column("b").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            product = left.reshape(-1, BLOCK, BLOCK) @ right
             br, back = np.unique(batch.column("br").to_numpy(), return_inverse=True)
-            total = np.zeros((br.size, BLOCK, n), product.dtype)
+            total, held = np.zeros((br.size, BLOCK, n), product.dtype), np.zeros((br.size, BLOCK), bool)
             np.add.at(total, back, product)
-            row = np.repeat(br[:, None] * BLOCK + np.arange(BLOCK), n)
-            yield pa.record_batch([pa.array(row), pa.array(np.tile(np.arange(n, dtype=np.int32), br.size * BLOCK)), pa.array(total.ravel())], names=["row", "j", "c"])
+            np.logical_or.at(held, back, stored.reshape(-1, BLOCK, BLOCK).any(2))
+            row = np.repeat((br[:, None] * BLOCK + np.arange(BLOCK))[held], n)
+            yield pa.record_batch([pa.array(row), pa.array(np.tile(np.arange(n, dtype=np.int32), int(held.sum()))), pa.array(total[held].ravel())], names=["row", "j", "c"])
 
     from lacewing.ship import ship
 
     ship(blocks.sparkSession)
     parts = joined.mapInArrow(multiply, f"row long, j int, c {value}")
-    held = a.entries.select("row").distinct()
-    return parts.groupBy("row", "j").agg(F.sum("c").alias("c")).join(held, "row", "left_semi")
+    return parts.groupBy("row", "j").agg(F.sum("c").alias("c"))
 
 
 def device_count(spark) -> int:
@@ -170,8 +182,10 @@ def batched(entries: DataFrame, b: DenseMatrix, keys: list[str]) -> DataFrame:
 
 def hybrid(a: SparseMatrix, b: DenseMatrix, threshold: float = planner.THRESHOLD) -> DataFrame:
     """The plan that the planner chooses from the entries' clustering."""
-    chosen = planner.choose(a, b.n_cols, threshold)
-    return block(a, b) if chosen.backend is planner.Backend.BLOCK else wide(a, b)
+    return BACKENDS[planner.choose(a, b.n_cols, threshold).backend](a, b)
+
+
+BACKENDS = {planner.Backend.BLOCK: block, planner.Backend.CSR: wide}
 
 
 STRATEGIES = {

@@ -20,7 +20,7 @@ _HELD: list[Held] = []
 class Held:
     """What is held: ``matrix`` for the strategies, ``frames`` as they are stored."""
 
-    def __init__(self, matrix: SparseMatrix | DenseMatrix, frames: list[DataFrame], n: int):
+    def __init__(self, matrix: SparseMatrix | DenseMatrix | DataFrame, frames: list[DataFrame], n: int):
         self.matrix, self.frames, self.n = matrix, frames, n
         _HELD.append(self)
 
@@ -30,7 +30,7 @@ class Held:
         if self in _HELD:
             _HELD.remove(self)
 
-    def __enter__(self) -> SparseMatrix | DenseMatrix:
+    def __enter__(self) -> SparseMatrix | DenseMatrix | DataFrame:
         return self.matrix
 
     def __exit__(self, *error) -> None:
@@ -49,6 +49,12 @@ def hold(m: SparseMatrix | DenseMatrix, level: StorageLevel = StorageLevel.MEMOR
     return Held(SparseMatrix(entries, m.n_rows, m.n_cols), [entries], entries.count())
 
 
+def hold_frame(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Held:
+    """Stores any result."""
+    df = df.persist(level)
+    return Held(df, [df], df.count())
+
+
 def held() -> int:
     """How many matrices are held."""
     return len(_HELD)

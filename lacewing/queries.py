@@ -346,23 +346,26 @@ def gflops_density(spark, sf_dir):
     return rows.select("row", gflops(F.col("nnz"), 64, F.col("row") + 1).alias("gflops"), (F.col("nnz") / F.lit(float(a.n_cols))).alias("density"))
 
 
-# Made-up log rows in the log's format: (kernel, m, k, n, nnz, time_ms, gflops).
-CELLS = [
-    ("k1", 1024, 1024, 256, 10000, 0.0256, 200.0), ("k2", 1024, 1024, 256, 10000, 0.0222, 230.0), ("k1", 4096, 2048, 256, 840000, 1.792, 240.0),
-    ("hybrid[csr]", 4096, 4096, 256, 840000, 1.1318, 380.0), ("k2", 16384, 16384, 256, 13400000, 27.4432, 250.0),
-]
-_CELLS_SQL = "cells AS (SELECT * FROM (VALUES " + ", ".join(f"('{c}', {m}, {k}, {n}, {z}::BIGINT, {t}::DOUBLE, {g}::DOUBLE)" for c, m, k, n, z, t, g in CELLS)
-_CELLS_SQL += ") t(kernel, m, k, n, nnz, time_ms, gflops))"
+# A result row for each line of an order: sizes, time and rate from its numbers.
+_CELLS = """cells AS (SELECT 'k' || l_linenumber AS kernel, (l_suppkey + 1)::INTEGER AS m, (l_partkey + 1)::INTEGER AS k, 256 AS n, (l_orderkey * 64 + 1)::BIGINT AS nnz,
+  l_quantity::DOUBLE AS time_ms, l_extendedprice::DOUBLE AS gflops FROM lineitem)"""
+
+
+def _cells(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("k"), F.col("l_linenumber").cast("string")).alias("kernel"), (F.col("l_suppkey") + 1).cast("int").alias("m"), (F.col("l_partkey") + 1).cast("int").alias("k"),
+        F.lit(256).alias("n"), (F.col("l_orderkey") * 64 + 1).cast("long").alias("nnz"), F.col("l_quantity").cast("double").alias("time_ms"), F.col("l_extendedprice").cast("double").alias("gflops"),
+    )
 
 
 @query(
-    f"""WITH {_CELLS_SQL}, x AS (SELECT *, 2.0::DOUBLE * nnz * n AS flops, 8 * nnz + 4 * (m::BIGINT + 1) + 4 * k::BIGINT * n + 4 * m::BIGINT * n AS dram_bytes FROM cells),
+    f"""WITH {_CELLS}, x AS (SELECT *, 2.0::DOUBLE * nnz * n AS flops, 8 * nnz + 4 * (m::BIGINT + 1) + 4 * k::BIGINT * n + 4 * m::BIGINT * n AS dram_bytes FROM cells),
 y AS (SELECT *, flops / dram_bytes AS ai, least(8140.0::DOUBLE, flops / dram_bytes * 320) AS ceiling, dram_bytes / (time_ms * 1e6) AS eff_bw FROM x)
 SELECT kernel, m, k, n, nnz, time_ms, gflops, flops, dram_bytes, ai, ceiling, 100 * gflops / 8140 AS pct_peak, 100 * gflops / ceiling AS pct_roof,
 eff_bw, 100 * eff_bw / 320 AS pct_bw, CASE WHEN ai > 25.4375 THEN 'compute/L2' ELSE 'memory' END AS bound, 4 * k::BIGINT * n <= 4194304 AS b_fits FROM y"""
 )
 def roofline(spark, sf_dir):
-    return analytics.roofline(spark.createDataFrame(CELLS, "kernel string, m int, k int, n int, nnz long, time_ms double, gflops double"))
+    return analytics.roofline(_cells(spark, sf_dir))
 
 
 _BEST = """WITH t AS (SELECT user_id, event_type, value, event_id FROM events WHERE event_type <> 'error')
@@ -408,51 +411,77 @@ def distinct_sizes(spark, sf_dir):
     return sizes.select("m", analytics.size_label("m").alias("label"))
 
 
-_LINE = "kernel=k1 m=1024 k=1024 n=256 nnz=10000 density=0.01 time_ms=0.03 gflops=177.3"
-_BODY = "GPU Speed Of Light\nMemory Throughput   %   61.5\nDRAM Throughput % {}\nL1/TEX Cache Throughput % 30.5\nL2 Cache Throughput % 20\nCompute (SM) Throughput % 70.25\nDuration {}\n"
-# Cells of a notebook: (cell, source, text). A bundle of two, a repeat of the first, a cell without the marker.
-PROFILE = [
-    (0, "# first profile\nrun()", _LINE + "\n" + _BODY.format("50.0", "us 1,250.0")),
-    (2, "bundle", "pre\n========== a.txt ==========\n" + _BODY.format("75", "ms 2.0") + "========== b.txt ==========\n" + _LINE + "\n" + _BODY.format("0.0", "ms 0.5")),
-    (3, "again", _LINE + "\n" + _BODY.format("50.0", "us 1,250.0")),
-    (4, "nothing", "DRAM Throughput % 50"),
-]
+# Cells of a notebook, one or two for each supplier: a profile alone (again in the next cell), a bundle of two, or no profile.
+_BODY = "GPU Speed Of Light\nMemory Throughput   %   61.5\nDRAM Throughput % {}\nL1/TEX Cache Throughput % {}\nL2 Cache Throughput % 20\nCompute (SM) Throughput % 70.25\nDuration {}\n"
 
 
 @query(
-    """SELECT * FROM (VALUES
-(0, 'first profile', 'k1', 1024, 1024, 256, 10000::BIGINT, 61.5::DOUBLE, 50.0::DOUBLE, 30.5::DOUBLE, 20.0::DOUBLE, 70.25::DOUBLE, 1.25::DOUBLE, 200.0::DOUBLE,
- round(2.0::DOUBLE * 10000 * 256 / (8 * 10000 + 4 * (1024 + 1) + 4 * 1024 * 256 + 4 * 1024 * 256), 2), round(2.0::DOUBLE * 10000 * 256 / 200e6, 2), round(200e6 / (8 * 10000 + 4 * (1024 + 1) + 4 * 1024 * 256 + 4 * 1024 * 256), 1)),
-(2, 'a.txt', NULL, NULL, NULL, NULL, NULL, 61.5, 75.0, 30.5, 20.0, 70.25, 2.0, 480.0, NULL, NULL, NULL),
-(2, 'b.txt', 'k1', 1024, 1024, 256, 10000, 61.5, 0.0, 30.5, 20.0, 70.25, 0.5, 0.0, round(2.0::DOUBLE * 10000 * 256 / (8 * 10000 + 4 * (1024 + 1) + 4 * 1024 * 256 + 4 * 1024 * 256), 2), NULL, NULL))
-t(cell, source, kernel, m, k, n, nnz, mem_pct, dram_pct, l1tex_pct, l2_pct, sm_pct, duration_ms, measured_dram_mb, ai_compulsory, ai_measured, traffic_ratio)"""
+    """WITH s AS (SELECT s_suppkey::INTEGER AS c, s_suppkey % 10 * 10.0::DOUBLE AS pct, (s_suppkey + 1)::DOUBLE AS ms, s_suppkey::BIGINT * 1000 + 1 AS nnz FROM supplier),
+p AS (SELECT 2 * c AS cell, concat('profile ', c) AS source, 'k1' AS kernel, 1024 AS m, 1024 AS k, 256 AS n, nnz, pct, c::DOUBLE AS l1, ms FROM s WHERE c % 3 = 0
+UNION ALL SELECT 2 * c, 'a.txt', NULL, NULL, NULL, NULL, NULL, pct, c + 0.5::DOUBLE, ms FROM s WHERE c % 3 = 1
+UNION ALL SELECT 2 * c, 'b.txt', 'k2', 2048, 1024, 256, nnz, 50.0, c::DOUBLE, 0.5 FROM s WHERE c % 3 = 1),
+q AS (SELECT *, 8 * nnz + 4 * (m + 1) + 4 * k * n + 4 * m * n AS need, round_even(pct / 100 * 320 * ms, 1) AS mb FROM p)
+SELECT cell, source, kernel, m, k, n, nnz, 61.5::DOUBLE AS mem_pct, pct AS dram_pct, l1 AS l1tex_pct, 20.0::DOUBLE AS l2_pct, 70.25::DOUBLE AS sm_pct, ms AS duration_ms, mb AS measured_dram_mb,
+  round_even(2.0::DOUBLE * nnz * n / need, 2) AS ai_compulsory, CASE WHEN mb <> 0 THEN round_even(2.0::DOUBLE * nnz * n / (mb * 1e6), 2) END AS ai_measured,
+  CASE WHEN mb <> 0 THEN round_even(mb * 1e6 / need, 1) END AS traffic_ratio FROM q"""
 )
 def profile_extract(spark, sf_dir):
-    return logs.profiles(spark.createDataFrame(PROFILE, "cell int, source string, text string"))
+    c = F.col("s_suppkey").cast("int")
+    line = lambda kernel, m: F.concat(F.lit(f"kernel={kernel} m={m} k=1024 n=256 nnz="), (F.col("s_suppkey") * 1000 + 1).cast("string"), F.lit(" density=0.01 time_ms=0.03 gflops=177.3\n"))
+    head, mid, tail, _ = _BODY.replace("Duration {}", "{}Duration ").split("{}")
+
+    def body(pct, l1, duration):
+        return F.concat(F.lit(head), pct.cast("string"), F.lit(mid), l1.cast("string"), F.lit(tail + "Duration "), duration, F.lit("\n"))
+
+    pct, ms = c % 10 * 10, c + 1
+    alone = F.concat(line("k1", 1024), body(pct, c, F.concat(F.lit("us "), F.format_number(ms * 1000, 0))))
+    bundle = F.concat(
+        F.lit("pre\n========== a.txt ==========\n"), body(pct, c + F.lit(0.5), F.concat(F.lit("ms "), ms.cast("string"))),
+        F.lit("========== b.txt ==========\n"), F.lit("kernel=hybrid[csr] m=1 k=1 n=1 nnz=1 density=1 time_ms=1 gflops=1\n"), line("k2", 2048), body(F.lit(50), c, F.lit("ms 0.5")),
+    )
+    cell = lambda k, source, text: F.struct((2 * c + k).alias("cell"), source.alias("source"), text.alias("text"))
+    title = F.concat(F.lit("# profile "), c.cast("string"), F.lit("\nrun()"))
+    cells = F.when(c % 3 == 0, F.array(cell(0, title, alone), cell(1, F.lit("again"), alone))).when(c % 3 == 1, F.array(cell(0, F.lit("bundle"), bundle)))
+    rows = _table(spark, sf_dir, "supplier").select(F.inline(F.coalesce(cells, F.array(cell(0, F.lit("nothing"), F.lit("DRAM Throughput % 50"))))))
+    return logs.profiles(rows)
 
 
-@query("SELECT * FROM (VALUES ('A1', 'DRAM 5' || chr(10) || 'x' || chr(10)), ('C 3', 'more DRAM')) t(name, body)")
+@query(
+    """SELECT concat('A', s_suppkey) AS name, concat('DRAM ', s_nationkey, chr(10), 'x', chr(10)) AS body FROM supplier
+UNION ALL SELECT concat('C ', s_nationkey), concat('more DRAM of ', s_suppkey) FROM supplier"""
+)
 def sections(spark, sf_dir):
-    text = "intro\n====== A1 ======\nDRAM 5\nx\n====== B2 ======\nnothing\n====== C 3 ======\nmore DRAM"
-    return logs.sections(spark.createDataFrame([(text,)], "value string"), "DRAM")
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    text = F.concat(
+        F.lit("intro\n====== A"), key, F.lit(" ======\nDRAM "), nation, F.lit("\nx\n====== B"), key, F.lit(" ======\nnothing\n====== C "), nation, F.lit(" ======\nmore DRAM of "), key
+    )
+    return logs.sections(_table(spark, sf_dir, "supplier").select(text.alias("value")), "DRAM")
+
+
+def _log_lines(spark, sf_dir):
+    """A line of a log for each line of an order, by its order's number: as it should be; with blanks
+    around it, two between fields, and a label; with a field that comes twice and a note; without a
+    number; or of another kind."""
+    f = {k: v.cast("string") for k, v in ((c, F.col(c)) for c in _cells(spark, sf_dir).columns)}
+    part = lambda *names: F.concat(*(x for k in names for x in (F.lit(f"{k}="), f[k], F.lit(" "))))
+    kinds = F.expr("(nnz - 1) div 64 % 5")
+    line = (
+        F.when(kinds == 0, F.concat(part("kernel", "m", "k", "n", "nnz"), F.lit("density=0.25 "), part("time_ms", "gflops")))
+        .when(kinds == 1, F.concat(F.lit("  kernel=hybrid[csr] "), part("m"), F.lit(" "), part("k", "n", "nnz", "time_ms", "gflops"), F.lit("\t")))
+        .when(kinds == 2, F.concat(part("kernel"), F.lit("m=7 "), part("k", "n", "nnz", "m"), F.lit("(again) gflops=3 "), part("time_ms", "gflops")))
+        .when(kinds == 3, part("kernel", "m", "k", "n", "time_ms", "gflops"))
+        .otherwise(F.concat(F.lit("bsr_stats blocks=12 "), part("m", "k", "n", "nnz", "time_ms", "gflops")))
+    )
+    return _cells(spark, sf_dir).select(line.alias("value"))
 
 
-# Blanks around a line, two blanks between fields, a field that comes twice, a note after one.
-LOG = [
-    "kernel=k1 m=1024 k=1024 n=256 nnz=10388 density=0.01 time_ms=0.03 gflops=177.3",
-    "  kernel=hybrid[csr] m=4096  k=4096 n=256 nnz=167686 time_ms=1.5e-1 gflops=572.4 \t",
-    "kernel=k3 m=7 k=8 n=9 nnz=1 m=10 (again) time_ms=2 gflops=3 gflops=4.5",
-    "bsr_stats blocks=12 stored_elems=3072 original_nnz=99 fill_in_ratio=31.0 block_density=0.5",
-    "kernel=k2 m=1024 k=1024 n=256 time_ms=0.03 gflops=177.3",
-]
+_PARSED = f"""WITH {_CELLS}, parsed AS (SELECT CASE WHEN (nnz - 1) // 64 % 5 = 1 THEN 'hybrid[csr]' ELSE kernel END AS kernel, m, k, n, nnz,
+  CASE WHEN (nnz - 1) // 64 % 5 = 0 THEN 0.25::DOUBLE END AS density, time_ms, gflops FROM cells WHERE (nnz - 1) // 64 % 5 < 3)"""
 
 
-@query(
-    "SELECT * FROM (VALUES ('k1', 1024, 1024, 256, 10388::BIGINT, 0.01::DOUBLE, 0.03::DOUBLE, 177.3::DOUBLE), ('hybrid[csr]', 4096, 4096, 256, 167686, NULL, 0.15, 572.4), "
-    "('k3', 10, 8, 9, 1, NULL, 2.0, 4.5)) t(kernel, m, k, n, nnz, density, time_ms, gflops)"
-)
+@query(f"{_PARSED} SELECT * FROM parsed")
 def log_parse(spark, sf_dir):
-    return logs.parse_lines(spark.createDataFrame([(x,) for x in LOG], "value string"))
+    return logs.parse_lines(_log_lines(spark, sf_dir))
 
 
 def _scratch(spark, name: str) -> str:
@@ -469,15 +498,19 @@ def _scratch(spark, name: str) -> str:
 
 
 @query(
-    "SELECT * FROM (VALUES ('table', 'banded', 'k1', 64, 3104::BIGINT, 2.5::DOUBLE), ('table', 'uniform', 'k2', 64, 7, 1.5), "
-    "('log', 'uniform', 'k1', 1024, 10388, 177.3), ('log', 'uniform', 'hybrid[csr]', 4096, 167686, 572.4), ('log', 'uniform', 'k3', 10, 1, 4.5)) t(origin, pattern, kernel, m, nnz, gflops)"
+    f"""{_PARSED} SELECT 'log' AS origin, 'uniform' AS pattern, kernel, m, nnz, gflops FROM parsed
+UNION ALL SELECT 'table', CASE WHEN nnz % 4 = 1 THEN 'uniform' ELSE 'banded' END, kernel, m, nnz, gflops FROM cells WHERE m % 4 <> 2"""
 )
 def csv_or_log(spark, sf_dir):
     """The same loader on a table with columns in an order of its own and on a log."""
     table, log = _scratch(spark, "table") + ".csv", _scratch(spark, "log") + ".txt"
-    lines = ["nnz,pattern,gflops,kernel,time_ms,m", "3104,banded,2.5,k1,1,64", "7,,1.5,k2,1,64", "x,banded,2.5,k1,1,64"]
-    for path, text in ((table, lines), (log, LOG)):
-        spark.createDataFrame([(x,) for x in text], "value string").coalesce(1).write.text(path)
+    text = {c: F.col(c).cast("string") for c in ("m", "nnz", "kernel", "gflops", "time_ms")}
+    # Some rows lack a pattern, in others a number is none.
+    nnz = F.when(F.col("m") % 4 == 2, F.lit("x")).otherwise(text["nnz"])
+    pattern = F.when(F.col("nnz") % 4 == 1, F.lit("")).otherwise(F.lit("banded"))
+    rows = _cells(spark, sf_dir).select(nnz.alias("nnz"), pattern.alias("pattern"), *(text[c].alias(c) for c in ("gflops", "kernel", "time_ms", "m")))
+    rows.write.csv(table, header=True)
+    _log_lines(spark, sf_dir).write.text(log)
     out = None
     for name, path in (("table", table), ("log", log)):
         part = logs.read_rows(spark, path).select(F.lit(name).alias("origin"), "pattern", "kernel", "m", "nnz", "gflops")
@@ -496,22 +529,31 @@ def _hash_sql(*keys: str, salt: int = 42) -> str:
 _VALUE = f"CAST({_hash_sql('row', 'col', salt=7)} % 2000 - 1000 AS BIGINT) AS val"
 
 
-@query(f"SELECT row, col, {_VALUE} FROM (SELECT unnest(range(200)) AS row) CROSS JOIN (SELECT unnest(range(300)) AS col) WHERE {_hash_sql('row', 'col')} < {int(0.02 * generate.SCALE)}")
+# Matrices as high and wide as tables are long.
+_M, _K = "(SELECT 16 + count(*) FROM supplier)", "(SELECT count(*) FROM embeddings)"
+_GRID = f"(SELECT unnest(range({_M})) AS row) CROSS JOIN (SELECT unnest(range({_K})) AS col)"
+
+
+def _sizes(spark, sf_dir) -> tuple[int, int]:
+    return 16 + _table(spark, sf_dir, "supplier").count(), _table(spark, sf_dir, "embeddings").count()
+
+
+@query(f"SELECT row, col, {_VALUE} FROM {_GRID} WHERE {_hash_sql('row', 'col')} < {int(0.02 * generate.SCALE)}")
 def gen_uniform_hash(spark, sf_dir):
-    return generate.uniform(spark, 200, 300, 0.02).entries
+    return generate.uniform(spark, *_sizes(spark, sf_dir), 0.02).entries
 
 
-@query(f"SELECT row, col, {_VALUE} FROM (SELECT unnest(range(300)) AS row) CROSS JOIN (SELECT unnest(range(200)) AS col) WHERE abs(row - col) <= 9")
+@query(f"SELECT row, col, {_VALUE} FROM {_GRID} WHERE abs(row - col) <= 9")
 def gen_banded(spark, sf_dir):
-    return generate.banded(spark, 300, 200, 9).entries
+    return generate.banded(spark, *_sizes(spark, sf_dir), 9).entries
 
 
-@query(f"SELECT row, col, {_VALUE} FROM (SELECT unnest(range(192)) AS row) CROSS JOIN (SELECT unnest(range(192)) AS col) WHERE row // 16 = col // 16")
+@query(f"SELECT row, col, {_VALUE} FROM {_GRID} WHERE row // 16 = col // 16 AND row // 16 < least({_M}, {_K}) // 16")
 def gen_blockdiag(spark, sf_dir):
-    return generate.block_diagonal(spark, 200, 300, 16).entries
+    return generate.block_diagonal(spark, *_sizes(spark, sf_dir), 16).entries
 
 
-def _power_law_sql(rows: int, cols: int, mean: float, alpha: float) -> str:
+def _power_law_sql(rows, cols, mean: float, alpha: float) -> str:
     """(row, col) of the power-law generator."""
     return f"""WITH u AS (SELECT row, pow(({_hash_sql('row', salt=11)} + 0.5::DOUBLE) / {generate.SCALE}, {-1.0 / alpha}::DOUBLE) AS raw FROM (SELECT unnest(range({rows})) AS row)),
 d AS (SELECT row, least({cols}, greatest(1, round_even(raw * ({float(mean)}::DOUBLE / (SELECT sum(raw) / count(*) FROM u)), 0)))::INT AS d FROM u),
@@ -523,28 +565,29 @@ y AS (SELECT row, d, c, row_number() OVER (PARTITION BY row ORDER BY {_hash_sql(
 SELECT row, col FROM r WHERE n >= d AND k <= d UNION ALL SELECT row, c AS col FROM y WHERE k <= d"""
 
 
-@query(f"SELECT row, col, {_VALUE} FROM ({_power_law_sql(400, 300, 8, 1.1)})")
+@query(f"SELECT row, col, {_VALUE} FROM ({_power_law_sql(_M, _K, 8, 1.1)})")
 def gen_powerlaw_hash(spark, sf_dir):
-    return generate.power_law(spark, 400, 300, 8, 1.1).entries
+    return generate.power_law(spark, *_sizes(spark, sf_dir), 8, 1.1).entries
 
 
-@query(f"SELECT k, CAST(j AS INTEGER) AS j, CAST({_hash_sql('k', 'j', salt=43)} % 2000 - 1000 AS BIGINT) AS b FROM (SELECT unnest(range(100)) AS k) CROSS JOIN (SELECT unnest(range(24)) AS j)")
+@query(f"SELECT k, CAST(j AS INTEGER) AS j, CAST({_hash_sql('k', 'j', salt=43)} % 2000 - 1000 AS BIGINT) AS b FROM (SELECT unnest(range({_K})) AS k) CROSS JOIN (SELECT unnest(range(24)) AS j)")
 def gen_dense_hash(spark, sf_dir):
-    return generate.dense(spark, 100, 24).long()
+    return generate.dense(spark, _sizes(spark, sf_dir)[1], 24).long()
 
 
-@query(
-    "SELECT * FROM (VALUES ('banded', 64, 14::BIGINT, 3104::BIGINT, 14 * 256 / 3104::DOUBLE), ('banded', 1024, 314, 65504, 314 * 256 / 65504::DOUBLE), "
-    "('blockdiag', 64, 4, 1024, 1.0), ('blockdiag', 1024, 64, 16384, 1.0)) t(pattern, m, n_blocks, nnz, fill_in)"
-)
+def _pattern_sql(name: str, where: str) -> str:
+    return f"""SELECT '{name}' AS pattern, CAST({_M} AS INTEGER) AS m, count(*) AS n_blocks, sum(n)::BIGINT AS nnz, count(*) * 256.0::DOUBLE / sum(n) AS fill_in
+FROM (SELECT count(*) AS n FROM {_GRID} WHERE {where} GROUP BY row // 16, col // 16)"""
+
+
+@query(f"{_pattern_sql('banded', 'abs(row - col) <= 32')} UNION ALL {_pattern_sql('blockdiag', f'row // 16 = col // 16 AND row // 16 < least({_M}, {_K}) // 16')}")
 def pattern_stats(spark, sf_dir):
-    out = None
-    for m in (64, 1024):
-        for name, a in (("banded", generate.banded(spark, m, m, 32)), ("blockdiag", generate.block_diagonal(spark, m, m, 16))):
-            part = planner.block_stats(a).select(
-                F.lit(name).alias("pattern"), F.lit(m).alias("m"), "n_blocks", F.col("original_nnz").alias("nnz"), F.col("fill_in_ratio").alias("fill_in")
-            )
-            out = part if out is None else out.union(part)
+    out, (m, k) = None, _sizes(spark, sf_dir)
+    for name, a in (("banded", generate.banded(spark, m, k, 32)), ("blockdiag", generate.block_diagonal(spark, m, k, 16))):
+        part = planner.block_stats(a).select(
+            F.lit(name).alias("pattern"), F.lit(m).alias("m"), "n_blocks", F.col("original_nnz").alias("nnz"), F.col("fill_in_ratio").alias("fill_in")
+        )
+        out = part if out is None else out.union(part)
     return out
 
 
@@ -552,7 +595,7 @@ def _sweep_sql(sizes, n: int) -> str:
     cells = {
         "uniform": lambda m: f"SELECT row, col FROM (SELECT unnest(range({m})) AS row) CROSS JOIN (SELECT unnest(range({m})) AS col) WHERE {_hash_sql('row', 'col')} < {int(0.01 * generate.SCALE)}",
         "banded": lambda m: f"SELECT row, col FROM (SELECT unnest(range({m})) AS row) CROSS JOIN (SELECT unnest(range({m})) AS col) WHERE abs(row - col) <= 32",
-        "block-diagonal": lambda m: f"SELECT row, col FROM (SELECT unnest(range({m})) AS row) CROSS JOIN (SELECT unnest(range({m})) AS col) WHERE row // 16 = col // 16",
+        "block-diagonal": lambda m: f"SELECT row, col FROM (SELECT unnest(range({m})) AS row) CROSS JOIN (SELECT unnest(range({m})) AS col) WHERE row // 16 = col // 16 AND row // 16 < {m} // 16",
         "power-law": lambda m: _power_law_sql(m, m, 32, 2.5),
     }
     parts = []
@@ -560,15 +603,15 @@ def _sweep_sql(sizes, n: int) -> str:
         for m in sizes:
             b = f"SELECT k, j, {_hash_sql('k', 'j', salt=43)} % 2000 - 1000 AS b FROM (SELECT unnest(range({m})) AS k) CROSS JOIN (SELECT unnest(range({n})) AS j)"
             parts.append(
-                f"SELECT '{name}' AS pattern, {m} AS m, (SELECT count(*) FROM ({sql(m)})) AS nnz, count(*) AS cells, CAST(sum(c) AS BIGINT) AS total FROM "
+                f"SELECT '{name}' AS pattern, CAST({m} AS INTEGER) AS m, (SELECT count(*) FROM ({sql(m)})) AS nnz, count(*) AS cells, CAST(sum(c) AS BIGINT) AS total FROM "
                 f"(SELECT row, j, sum(val * b) AS c FROM (SELECT row, col, {_VALUE} FROM ({sql(m)})) JOIN ({b}) ON col = k GROUP BY 1, 2)"
             )
     return " UNION ALL ".join(parts)
 
 
-@query(_sweep_sql((64, 256), 16))
+@query(_sweep_sql(("(SELECT 16 + count(*) FROM nation)", _M), 16))
 def pattern_sweep(spark, sf_dir):
-    return sweep.pattern_sweep(spark, (64, 256), 16)
+    return sweep.pattern_sweep(spark, (16 + _table(spark, sf_dir, "nation").count(), _sizes(spark, sf_dir)[0]), 16)
 
 
 @query(f"WITH {A} SELECT row, col, CAST(val AS BIGINT) AS val FROM a")

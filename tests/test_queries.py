@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from lacewing.plans.stored import free_all, held
 from lacewing.queries import ORACLE, QUERIES
 
 
@@ -27,6 +28,14 @@ def db(sf_dir):
     return con
 
 
+@pytest.fixture(autouse=True)
+def freed():
+    """What a query holds is freed after it."""
+    mark = held()
+    yield
+    free_all(mark)
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows(spark, sf_dir, db, name):
     df = QUERIES[name](spark, sf_dir)

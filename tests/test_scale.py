@@ -7,11 +7,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lacewing.cli import main
 from lacewing.functions.scalars import ordered_bits
 from lacewing.operators import analytics, evaluate, layout, multiply, selection
 from lacewing.plans import planner, stored
 from lacewing.plans.matrix import DenseMatrix, SparseMatrix
-from lacewing.sources import csr_binary, generate
+from lacewing.sources import csr_binary, generate, logs
 
 
 def plan_of(df):
@@ -119,10 +120,11 @@ def test_timing_is_of_the_product_alone(spark):
             builds.add(1)
             yield batch
 
+    before = stored.held()
     entries = generate.banded(spark, 40, 40, 2).entries.coalesce(1).mapInArrow(count, "row long, col long, val long")
     median, each = evaluate.benchmark_product(multiply.packed, SparseMatrix(entries, 40, 40), generate.dense(spark, 40, 4), warmup=1, runs=3)
     assert len(each) == 3 and median == sorted(each)[1]
-    assert builds.value == 1 and stored.held() == 0
+    assert builds.value == 1 and stored.held() == before
 
 
 def test_observed_numbers_come_with_the_result(spark):
@@ -275,3 +277,36 @@ def test_a_failed_write_leaves_no_file(spark, tmp_path):
     assert list(tmp_path.iterdir()) == []
     with pytest.raises(ValueError, match="file:"):
         csr_binary.write(a, "s3://bucket/x.bin")
+
+
+def test_block_product_keeps_rows_with_entries_alone(spark):
+    """Blocks are filled in NumPy: stored zeros count as entries, rows without any give no cell."""
+    a = SparseMatrix.from_entries(spark.createDataFrame([(0, 0, 0), (3, 17, 2), (3, 40, 5), (47, 40, -1)], "row long, col long, val long"), 48, 41)
+    b = generate.dense(spark, 41, 5)
+    got = sorted(tuple(r) for r in multiply.block(a, b).select("row", "j", "c").collect())
+    assert got == sorted(tuple(r) for r in multiply.long(a, b).select("row", "j", "c").collect())
+    assert {r[0] for r in got} == {0, 3, 47}
+    plan = plan_of(multiply.block(a, b))
+    assert "map_from_entries" not in plan and "LeftSemi" not in plan
+
+
+def test_roofline_table(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("pct_roofline,kernel,m,nnz,pct_dram_bw,gflops\n5.5,k1,4,9,1.5,2\n,k1,4,9,1.5,2\n5,k2,x,9,1,2\n7,wmma,4,9,1,99\n6,k3,4,9,1,3\n8,k3,4,8,1,3\n")
+    rows = logs.read_roofline(spark, f"{tmp_path}/r.csv")
+    assert rows.columns == ["kernel", "m", "nnz", "gflops", "pct_dram_bw", "pct_roofline"] and rows.count() == 4
+    best = analytics.best_per_cell(rows.withColumn("seq", F.col("pct_roofline")), ["m", "nnz"], "gflops", "seq", F.col("kernel") == "wmma")
+    assert sorted((r["nnz"], r["kernel"]) for r in best.collect()) == [(8, "k3"), (9, "k3")]
+
+
+def test_bench_lines_have_errors_and_names(spark, capsys):
+    args = ["bench", "--m", "32", "--k", "32", "--n", "16", "--pattern", "blockdiag", "--param", "16", "--runs", "1", "--warmup", "0", "--kernel"]
+    before = stored.held()
+    assert main([*args, "hybrid"], spark) == 0
+    out = capsys.readouterr().out.splitlines()
+    assert out[0].startswith("hybrid_plan backend=wmma fill_in=1.00 ") and out[1].startswith("kernel=hybrid[wmma] m=32 k=32 n=16 nnz=512 density=0.500000 time_ms=")
+    assert out[1].endswith("max_abs_err=0.000e+00 max_rel_err=0.000e+00 rel_l2_err=0.000e+00")
+    assert main([*args, "both"], spark) == 0
+    names = [line.split()[0] for line in capsys.readouterr().out.splitlines()]
+    assert names == ["kernel=baseline", "kernel=memopt"] and stored.held() == before
+    line = spark.createDataFrame([(out[1],)], "value string")
+    assert logs.parse_lines(line).first()["kernel"] == "hybrid[wmma]"

@@ -12,7 +12,10 @@ itself; runs cut to two), hashed, as square roots of relative frequencies; and a
 measures of length and repetition.
 
 The model is fitted on the driver on at most ``most_rows`` positives and as many unlabelled
-texts, the least by a hash of their ids; every text is scored whole, in a narrow map.
+texts, the least by a hash of their ids (of an id that repeats, one text). The prior is a statistic
+of all unlabelled training texts: two first models, each fitted on one half of the sample by a hash of the
+id, score the half of the corpus that they haven't seen, and the shares above each threshold come
+from a histogram of all scores. Every text is scored whole, in narrow maps.
 
 Defined cases: null text is empty and is scored like an empty text; null labels are no labels; with no positive
 rows every score is 0.5; repeated rows and null ids give a row each; an empty table gives
@@ -123,74 +126,150 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """The best-bin estimate from scores of held-back positives and unlabelled rows."""
-    cuts = np.quantile(np.concatenate([p, u]), np.linspace(0, 0.99, 200))
-    share = lambda x: 1 - np.searchsorted(np.sort(x), cuts) / x.size
+def cuts_of(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Thresholds, ascending, among the logits of positives and of a sample of unlabelled rows."""
+    return np.quantile(np.concatenate([p, u]), np.linspace(0, 0.99, 200))
+
+
+def counts_above(logits: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """How many logits are at least each threshold."""
+    return logits.size - np.searchsorted(np.sort(logits), cuts)
+
+
+def estimate_prior(above_p: np.ndarray, n_p: int, above_u: np.ndarray, n_u: int) -> float:
+    """The best-bin estimate from the numbers of positives and of unlabelled rows above each
+    threshold, by models that weren't fitted on them: the least ratio of the shares, with
+    confidence bounds."""
     bound = lambda n: np.sqrt(np.log(20) / (2 * n))
-    qp, qu = share(p), share(u)
-    usable = qp > 3 * bound(p.size)
+    qp, qu = above_p / n_p, above_u / n_u
+    usable = qp > 3 * bound(n_p)
     if not usable.any():
         return float(np.clip(qu[0], 0.01, 0.99))
-    ratio = (qu[usable] + bound(u.size)) / np.maximum(qp[usable] - bound(p.size), 1e-9)
+    ratio = (qu[usable] + bound(n_u)) / np.maximum(qp[usable] - bound(n_p), 1e-9)
     best = int(np.argmin(ratio))
     return float(np.clip(qu[usable][best] / qp[usable][best], 0.01, 0.99))
 
 
-def fit(p: np.ndarray, u: np.ndarray, seed: int = 5) -> tuple[Linear, float]:
-    """The classifier and the class prior, from feature rows of positives and unlabelled."""
-    if not len(p) or not len(u):
-        return Linear(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0), 0.5
-    mean, scale = u.mean(0, dtype=np.float64), u.std(0, dtype=np.float64) + 0.01
-    p, u = (((x - mean.astype(np.float32)) / scale.astype(np.float32)).astype(np.float32) for x in (p, u))
+def against(zp: np.ndarray, zu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slope, in the logits, of the logistic loss of positives against unlabelled rows."""
+    return -(1 - _sigmoid(zp)) / zp.size, _sigmoid(zu) / zu.size
+
+
+def negative_risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """The unbiased estimate of the negatives' risk: that of unlabelled rows as negatives, less
+    the positives' share of it."""
+    log_not = lambda z: -np.log(np.maximum(1 - _sigmoid(z), 1e-12)).mean()
+    return float(log_not(zu) - prior * log_not(zp))
+
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> float:
+    """The non-negative unbiased risk."""
+    return float(prior * -np.log(np.maximum(_sigmoid(zp), 1e-12)).mean() + max(0.0, negative_risk(zp, zu, prior)))
+
+
+def risk_slope(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The slope of the unbiased risk in the logits; where its negative part is below zero, the
+    step that brings that part back up instead."""
+    sp, su = _sigmoid(zp), _sigmoid(zu)
+    if negative_risk(zp, zu, prior) < 0:
+        return prior * sp / zp.size, -su / zu.size
+    return (-prior * (1 - sp) - prior * sp) / zp.size, su / zu.size
+
+
+class Standard:
+    """Feature rows with the mean and spread of unlabelled rows taken out."""
 
-    def against(zp, zu):
-        return -(1 - _sigmoid(zp)) / zp.size, _sigmoid(zu) / zu.size
+    def __init__(self, u: np.ndarray):
+        self.mean, self.scale = u.mean(0, dtype=np.float64), u.std(0, dtype=np.float64) + 0.01
 
-    half_p, half_u = np.arange(len(p)) % 2 == 0, np.arange(len(u)) % 2 == 0
-    if len(p) > 3 and len(u) > 3:
-        w, b = _descend(p[half_p], u[half_u], against, seed)
-        prior = estimate_prior(p[~half_p] @ w + b, u[~half_u] @ w + b)
-    else:
-        prior = 0.5
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean.astype(np.float32)) / self.scale.astype(np.float32)).astype(np.float32)
 
-    def risk(zp, zu):
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        negative = -np.log(np.maximum(1 - su, 1e-12)).mean() + prior * np.log(np.maximum(1 - sp, 1e-12)).mean()
-        if negative < 0:  # step back from a negative part of the risk
-            return prior * sp / zp.size, -su / zu.size
-        return (-prior * (1 - sp) - prior * sp) / zp.size, su / zu.size
 
-    w, b = _descend(p, u, risk, seed + 1)
-    return Linear(mean, scale, w, b), prior
+def first_models(p: np.ndarray, u: np.ndarray, side_p: np.ndarray, side_u: np.ndarray, standard: Standard, seed: int = 5) -> list[Linear] | None:
+    """Positives against unlabelled rows, fitted on each of two sides; none if one is empty."""
+    out = []
+    for side in (0, 1):
+        a, b = p[side_p == side], u[side_u == side]
+        if not len(a) or not len(b):
+            return None
+        out.append(Linear(standard.mean, standard.scale, *_descend(standard(a), standard(b), against, seed)))
+    return out
+
+
+def across(models: list[Linear], x: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Logits of each row by the model of the other side."""
+    return np.where(side == 0, models[1].logits(x), models[0].logits(x))
+
+
+def fit(p: np.ndarray, u: np.ndarray, prior: float, standard: Standard, seed: int = 6) -> Linear:
+    """The classifier of least non-negative risk, from feature rows."""
+    return Linear(standard.mean, standard.scale, *_descend(standard(p), standard(u), lambda zp, zu: risk_slope(zp, zu, prior), seed))
+
+
+def _side(doc_id):
+    """Column: one of two sides, by the id."""
+    return F.pmod(F.xxhash64(F.lit(5), doc_id), F.lit(2)).cast("int")
+
+
+def unlabelled_above(rows: DataFrame, models: list[Linear], cuts: np.ndarray) -> tuple[np.ndarray, int]:
+    """Of all rows (side, text), how many have a logit of at least each threshold, and how many
+    there are: counts of bins, combined in each task and before the driver."""
+
+    def count(batches):
+        bins = np.zeros(cuts.size + 1, np.int64)
+        for part in parts(batches):
+            z = across(models, features(as_bytes(part.column("text"))), part.column("side").to_numpy())
+            bins += np.bincount(np.searchsorted(cuts, z, side="right"), minlength=bins.size)
+        yield pa.record_batch([pa.array(np.arange(bins.size)), pa.array(bins)], names=["k", "v"])
+
+    found = map_arrow(rows.select("side", "text"), count, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    bins = np.zeros(cuts.size + 1, np.int64)
+    for r in found:
+        bins[r["k"]] = r["v"]
+    return bins[::-1].cumsum()[::-1][1:], int(bins.sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 8192) -> tuple[Linear, float]:
-    """Fits on rows whose crc32(id) modulo 5 is not 0."""
+    """Fits on rows whose crc32(id) modulo 5 is not 0; the prior is estimated from all of them."""
     spark = docs.sparkSession
     learn = id_remainder(F.col("doc_id")) != 0
-    order = F.xxhash64(F.lit(3), "doc_id")
     first = lambda df, kind: df.where(learn & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("sample_id"), F.lit(kind).alias("sample_kind")
     ).distinct().orderBy(F.xxhash64(F.lit(3), "sample_id")).limit(most_rows)
     chosen = first(labels.where("quality = 1"), "p").union(first(docs, "u")).collect()
+    keyed = docs.where(learn).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    empty = Linear(np.zeros(WIDTH), np.ones(WIDTH), np.zeros(WIDTH), 0.0), 0.5
     if not chosen:
-        return fit(np.zeros((0, WIDTH)), np.zeros((0, WIDTH)))
+        return empty
     sample = F.broadcast(spark.createDataFrame(chosen, "sample_id long, sample_kind string"))  # at most 2 * most_rows rows
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, F.col("doc_id") == F.col("sample_id"))
+    rows = keyed.join(sample, F.col("doc_id") == F.col("sample_id")).groupBy("sample_id", "sample_kind")
+    # An id that many rows have gives one of its texts, so the sample is bounded by its ids.
+    rows = rows.agg(F.min_by("text", F.xxhash64("text")).alias("text")).withColumn("side", _side(F.col("sample_id")))
 
     def compute(batches):
         for part in parts(batches):
             x = features(as_bytes(part.column("text")))
             blobs = pa.array([r.tobytes() for r in x], pa.binary())
-            yield pa.record_batch([part.column("sample_id"), part.column("sample_kind"), blobs], names=["id", "kind", "x"])
+            yield pa.record_batch([*(part.column(c) for c in ("sample_id", "sample_kind", "side")), blobs], names=["id", "kind", "side", "x"])
 
-    found = map_arrow(rows.select("sample_id", "sample_kind", "text"), compute, "id long, kind string, x binary")
+    found = map_arrow(rows.select("sample_id", "sample_kind", "side", "text"), compute, "id long, kind string, side int, x binary")
     found = found.toArrow().sort_by([("kind", "ascending"), ("id", "ascending"), ("x", "ascending")])
     n_p = found.column("kind").to_pylist().count("p")
-    flat = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
+    x = np.frombuffer(b"".join(found.column("x").to_pylist()), np.float32).reshape(-1, WIDTH)
+    side = found.column("side").to_numpy()
     del found
-    return fit(flat[:n_p], flat[n_p:])
+    p, u = x[:n_p], x[n_p:]
+    if not len(p) or not len(u):
+        return empty
+    standard = Standard(u)
+    models, prior = first_models(p, u, side[:n_p], side[n_p:], standard), 0.5
+    if models:
+        zp = across(models, p, side[:n_p])
+        cuts = cuts_of(zp, across(models, u, side[n_p:]))
+        above, n_u = unlabelled_above(keyed.withColumn("side", _side(F.col("doc_id"))), models, cuts)
+        prior = estimate_prior(counts_above(zp, cuts), len(zp), above, n_u)
+    return fit(p, u, prior, standard), prior
 
 
 def score(docs: DataFrame, model: Linear, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,12 +6,14 @@ that the weighted rule prefers: ``norm`` takes the least weighted residual after
 ``dot`` the largest weighted product of residual and demand.
 
 Encoding and packing are two steps with a written table of pieces between them, so the
-texts are encoded once. Pieces are dealt by hash to groups of about ``bins_per_group``
-sequences; a task packs a group at a time, hence bounded memory, and a group wastes at most
-its last few sequences.
-
-Defined cases: a null text is empty (the end id alone); repeated rows are packed each;
-ids may be null; an empty table gives no rows; other columns are ignored.
+texts are encoded once. Pieces are dealt to groups of about ``bins_per_group`` sequences, and
+of 64 times as many pieces at most; a group wastes at most its last few sequences. The number of
+groups follows the table alone. A task takes its groups one after another, in the order of a sort
+that may spill, and holds one at a time.
+
+Defined cases: a null text is empty (the end id alone); repeated rows are packed each, dealt
+to groups by their places in the table of pieces, so that no id gathers in one; ids may be
+null; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,13 +22,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import as_bytes, documents, map_arrow, materialize, parts
 from .encoding import encoder, slices
 
+#: Most tasks of the packing; a task takes several groups if there are more.
+MOST_TASKS = 20_000
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -112,34 +116,36 @@ def pack(
     """Adds sequence_id and offset to a table of pieces. Limits that are not given do not
     bind: as many documents as tokens, and the cost of one full-length piece."""
     caps = (capacity, max_documents or capacity, max_attention or capacity * capacity)
-    tokens = table.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, min(20_000, -(-tokens // (capacity * bins_per_group))))
-    most = bins_per_group * 64
+    size = table.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("tokens"), F.count("*").alias("n")).first()
+    groups = max(1, -(-size["tokens"] // (capacity * bins_per_group)), -(-size["n"] // (64 * bins_per_group)))
+    tasks = min(groups, MOST_TASKS)
 
     def place(batches):
-        task = TaskContext.get().partitionId()
-        held, n, group = [], 0, 0
-        first = task << 40
+        held, group = [], None
 
-        def packed(rows):
-            nonlocal first
-            t = pa.Table.from_batches(rows).sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        def packed():
+            t = pa.Table.from_batches(held)
             bins, offsets = best_fit(t.column("length").to_numpy(), caps, weights, rule)
-            out = t.append_column("sequence_id", pa.array(bins + first)).append_column("offset", pa.array(offsets))
-            first += int(bins.max()) + 1
-            return out.combine_chunks().to_batches()
+            out = t.drop_columns(["group"]).append_column("sequence_id", pa.array(bins + (group << 32)))
+            return out.append_column("offset", pa.array(offsets)).combine_chunks().to_batches()
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                n += batch.num_rows
-            if n >= most:
-                yield from packed(held)
-                held, n = [], 0
+            numbers = batch.column("group").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), numbers.size]
+            for start, stop in zip(edges, edges[1:]):
+                if stop > start:
+                    if held and int(numbers[start]) != group:
+                        yield from packed()
+                        held = []
+                    group = int(numbers[start])
+                    held.append(batch.slice(start, stop - start))
         if held:
-            yield from packed(held)
+            yield from packed()
 
-    dealt = table.repartition(groups, F.xxhash64("doc_id", "piece"))
+    row = F.monotonically_increasing_id()  # tells copies apart
+    dealt = table.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece", row), F.lit(groups)))
+    dealt = dealt.repartitionById(tasks, F.pmod(F.col("group"), F.lit(tasks)).cast("int"))
+    dealt = dealt.sortWithinPartitions("group", F.desc("length"), "doc_id", "piece")
     return map_arrow(dealt, place, f"{PIECES}, sequence_id long, offset long")
 
 

@@ -71,6 +71,31 @@ def test_packing_against_the_library(messy, messy_rows, in_order):
     assert len(bins) <= 1.05 * sum(r.length for r in out) / 128 + 8
 
 
+@pytest.mark.parametrize("tasks", [2, 20_000])
+def test_groups_are_even_and_whole_whatever_the_ids(spark, monkeypatch, tasks):
+    """A third of all pieces repeats one row; a task with many groups packs as many tasks with one do."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(packing, "MOST_TASKS", tasks)
+    one = spark.range(0, 4000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"))
+    one = one.withColumns({"length": F.lit(7).cast("long"), "ids_crc32": F.lit(1).cast("long")})
+    rest = spark.range(0, 8000, 1, 4).select("id", F.lit(0), F.lit(0).cast("long"), F.col("id") % 128 + 1, F.lit(2).cast("long"))
+    table = one.union(rest)
+    out = packing.pack(table, 128, bins_per_group=40).collect()
+    assert sorted(r.length for r in out) == sorted(r.length for r in table.collect()) and len(out) == 12_000
+    bins, groups, hot = defaultdict(list), defaultdict(int), defaultdict(int)
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+        groups[r.sequence_id >> 32] += 1
+        hot[r.sequence_id >> 32] += r.doc_id is None
+    for held in bins.values():
+        ends = np.cumsum([n for _, n in sorted(held)])
+        assert [a for a, _ in sorted(held)] == [0, *ends[:-1].tolist()] and ends[-1] <= 128
+    assert len(groups) == -(-sum(r.length for r in out) // (128 * 40))
+    assert max(groups.values()) < 1.5 * 12_000 / len(groups) and max(hot.values()) < 2 * 4000 / len(groups)
+    assert len(bins) <= 1.06 * sum(r.length for r in out) / 128
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_packing_respects_every_capacity(rule):
     rng = np.random.default_rng(1)

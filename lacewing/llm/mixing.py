@@ -142,11 +142,16 @@ def mix(
         F.lit(ranges) + F.floor((F.col("finish") - meet) / wide)
     )
     offers = materialize(offers.withColumn("range", by_time.cast("long")), "offers")
+    # Sources without a word finish at time 0, before any word is taken: all of their offers are
+    # in the mix at its start, and none is put in order, which one range would have to do.
+    first = offers.where("source_size = 0").withColumns({"position": F.lit(0).cast("long"), "end": F.lit(0).cast("long")})
+    offers = offers.where("source_size > 0")
     by_range = offers.groupBy("range").agg(F.sum("size").alias("n"))
     by_range = sums_before(by_range, [], "range", "n", "range_before").where(F.col("range_before") <= total)
     in_range = W.partitionBy("range").orderBy("finish", "source", "epoch", "shuffle", "doc_id", "row_id").rowsBetween(W.unboundedPreceding, 0)
     taken = offers.join(by_range, "range").withColumn("end", F.col("range_before") + F.sum("size").over(in_range))
-    taken = materialize(taken.where(F.col("end") <= total).withColumn("position", F.col("end") - F.col("size")), "taken")
+    taken = taken.where(F.col("end") <= total).withColumn("position", F.col("end") - F.col("size"))
+    taken = materialize(taken.unionByName(first, allowMissingColumns=True), "taken")
     return taken, known
 
 

@@ -34,6 +34,22 @@ def test_mix_meets_targets_and_reruns_agree(spark, messy):
     counts = defaultdict(list)
     for r in rows:
         counts[r.doc_id, r.source, r.size].append(r.epoch)
+    copies = {(r.doc_id, r.source, r.size): r["count"] for r in known.groupBy("doc_id", "source", "size").count().collect()}
+    assert all(set(e) <= {0, 1, 2} and max(map(e.count, e)) <= copies[k] for k, e in counts.items())
+
+
+def test_wordless_sources_come_first_and_are_put_in_no_order(spark):
+    """Half of all rows have no words, repeated ids and null ids among them."""
+    rows = [(None if i % 3 == 0 else i % 50, [None, "", " \t"][i % 3], ["w", None][i % 2]) for i in range(300)]
+    rows += [(i, "x " * (i % 7 + 1), ["a", "b"][i % 2]) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, known = mixing.mix(docs, documents_per_slice=10)
+    got = taken.select("source", "size", "position", "epoch").collect()
+    wordless = [r for r in got if r.source in ("w", None)]
+    assert len(wordless) == 900 and all(r.position == r.size == 0 for r in wordless)
+    assert known.where("source_size = 0").select("target").distinct().collect()[0][0] == 0
+    others = sorted(r.position for r in got if r.source in ("a", "b"))
+    assert others[0] == 0 and len(set(others)) == len(others)
 
 
 def test_weights_by_code_point_null_last(spark):

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lacewing.functions.scalars import to_half
 from lacewing.plans import planner
 from lacewing.plans.matrix import BLOCK, DenseMatrix, SparseMatrix
+from lacewing.plans.stored import Grid, hold_grid
 
 from .layout import all_rows, entry_shards, nnz_shards, unpack_blocks
 
@@ -172,6 +173,14 @@ def shuffled(a: SparseMatrix, b: DenseMatrix) -> DataFrame:
     return joined.select("row", "val", F.posexplode("b").alias("j", "x")).groupBy("row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
 
 
+def gridded(grid: Grid) -> DataFrame:
+    """The product of two sides written by ``hold_grid``. Buckets of equal number meet in a task as they
+    lie, merged in order of the inner position, so that a task holds one dense row at a time; only
+    partial sums are shuffled, once."""
+    joined = grid.left.join(grid.right.hint("merge"), ["rb", "k"])
+    return joined.select("row", "val", F.posexplode("b").alias("j", "x")).groupBy("row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
+
+
 def batched(entries: DataFrame, b: DenseMatrix, keys: list[str]) -> DataFrame:
     """Products of many sparse matrices, told apart by ``keys``, with one dense matrix: (keys, row,
     j, c). All are one join and one sum, whatever their number and sizes."""
@@ -192,7 +201,7 @@ STRATEGIES = {
     "baseline": long, "memopt": packed, "memopt_v2": packed, "tiled": wide, "tiled_v2": aligned_wide,
     "tiled_v3": lambda a, b: wide(a, b, 128), "tiled_v4": lambda a, b: wide(a, b, 256), "wmma": block,
     "hybrid": hybrid, "multigpu": lambda a, b: sharded(a, b, device_count(a.entries.sparkSession)), "unified": shuffled,
-    "skewed": skewed, "balanced": lambda a, b: entry_sharded(a, b, device_count(a.entries.sparkSession)),
+    "grid": lambda a, b: gridded(hold_grid(a, b)), "skewed": skewed, "balanced": lambda a, b: entry_sharded(a, b, device_count(a.entries.sparkSession)),
 }
 
 

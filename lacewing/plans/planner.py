@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .matrix import BLOCK, SparseMatrix
 
 THRESHOLD = 2.0
+
+#: Most blocks of a grid that are counted by bits: 32 MB a task at most, a bitmap of 4 KB at a time.
+MOST_BITS = 1 << 28
+
 REASONS = {
     "unaligned": "N not a multiple of 16 -> row-wise",
     "dense": "fill-in within threshold -> blocked",
@@ -33,12 +37,25 @@ class Plan:
     reason: str
 
 
-def block_stats(m: SparseMatrix) -> DataFrame:
+def block_stats(m: SparseMatrix, bits: bool | None = None) -> DataFrame:
     """One row: n_blocks, stored_elements, original_nnz, fill_in_ratio, block_density. Blocks
-    are counted, never built. An empty matrix has ratio 0."""
-    grid = -(-m.n_rows // BLOCK) * -(-m.n_cols // BLOCK)
-    by_block = m.entries.groupBy(F.expr(f"row div {BLOCK}").alias("br"), F.expr(f"col div {BLOCK}").alias("bc")).agg(F.count("*").alias("n"))
-    total = by_block.agg(F.count("*").alias("n_blocks"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("original_nnz"))
+    are counted, never built. An empty matrix has ratio 0.
+
+    With ``bits`` a block is a bit at its number in the grid, and tasks shuffle bitmaps, whose size
+    is that of the grid; otherwise they shuffle a row for each block that they saw, which is less
+    for a large grid with few entries. Left out, the grid's size decides. Both count exactly."""
+    across = -(-m.n_cols // BLOCK)
+    grid = -(-m.n_rows // BLOCK) * across
+    n = F.count("*").alias("n")
+    if grid <= MOST_BITS if bits is None else bits:
+        number = F.expr(f"(row div {BLOCK}) * {across}L + col div {BLOCK} + 1")
+        seen = F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("seen")
+        found = m.entries.groupBy(F.bitmap_bucket_number(number).alias("part")).agg(seen, n)
+        n_blocks = F.coalesce(F.sum(F.bitmap_count("seen")), F.lit(0).cast("long"))
+    else:
+        found = m.entries.groupBy(F.expr(f"row div {BLOCK}").alias("br"), F.expr(f"col div {BLOCK}").alias("bc")).agg(n)
+        n_blocks = F.count("*")
+    total = found.agg(n_blocks.alias("n_blocks"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("original_nnz"))
     stored = F.col("n_blocks") * BLOCK * BLOCK
     return total.select(
         "n_blocks",

@@ -4,12 +4,18 @@
 so a choice of layout and the product after it scan the source once, and a timed loop times the
 product alone. Blocks lie in memory or on executors' disks and are rebuilt from the plan if an
 executor is lost. They stay until ``free``, which leaving a ``with`` block does too.
+
+``hold_grid`` writes both sides of a product as bucketed tables, for sides that outgrow memory and
+the executors' disks.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .matrix import BLOCK, DenseMatrix, SparseMatrix
@@ -55,11 +61,67 @@ def hold_frame(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK
     return Held(df, [df], df.count())
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; a folder of this machine only if the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        folder = "file://" + tempfile.mkdtemp(prefix="lacewing-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+class Grid(Held):
+    """Two tables bucketed and sorted by (rb, k): ``left`` (rb, k, row, val), the entries, and
+    ``right`` (rb, k, b), the dense rows once for each of the row blocks."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.tables = spark, path, []
+        super().__init__(self, [], 0)
+
+    def write(self, df: DataFrame, buckets: int) -> DataFrame:
+        name = f"lacewing_grid_{uuid.uuid4().hex}"
+        self.tables.append(name)
+        # Dealt as the buckets are, so that a bucket is one file.
+        parts = df.repartition(buckets, "rb", "k").write.format("parquet").option("path", f"{self.path}/{name}")
+        parts.bucketBy(buckets, "rb", "k").sortBy("rb", "k").saveAsTable(name)
+        return self.spark.table(name)
+
+    def free(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.tables = []
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        super().free()
+
+
+def hold_grid(a: SparseMatrix, b: DenseMatrix, row_blocks: int = 8, buckets: int | None = None, path: str | None = None) -> Grid:
+    """Writes both sides once, cut by blocks of rows and by inner positions: products then shuffle
+    neither. Rows are dealt to ``row_blocks``, 16 at a time, so a column that many rows have lies in as
+    many cells, and the dense side is written as often. Choose ``buckets`` so that one of them
+    holds what a task should read; they are the shuffle partitions if left out."""
+    if row_blocks < 1:
+        raise ValueError("row_blocks must be positive")
+    spark = a.entries.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    grid = Grid(spark, path or scratch(spark, "grid"))
+    rb = F.expr(f"CAST(pmod(row div {BLOCK}, {row_blocks}) AS INT)").alias("rb")
+    each = F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb")
+    try:
+        grid.left = grid.write(a.entries.select(rb, F.col("col").cast("long").alias("k"), "row", "val"), buckets)
+        grid.right = grid.write(b.rows.select(each, F.col("k").cast("long").alias("k"), "b"), buckets)
+    except BaseException:
+        grid.free()
+        raise
+    return grid
+
+
 def held() -> int:
     """How many matrices are held."""
     return len(_HELD)
 
 
 def free_all(since: int = 0) -> None:
-    for h in _HELD[since:]:
+    for h in list(_HELD[since:]):
         h.free()

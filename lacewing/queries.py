@@ -14,7 +14,7 @@ from lacewing.functions.scalars import gflops, to_half
 from lacewing.operators import analytics, evaluate, layout, multiply, selection, sweep
 from lacewing.plans import planner
 from lacewing.plans.matrix import DenseMatrix, SparseMatrix
-from lacewing.plans.stored import hold
+from lacewing.plans.stored import hold, hold_grid, scratch
 from lacewing.sources import csr_binary, generate, logs
 
 SHARDS = 4
@@ -117,6 +117,7 @@ def spmm_heavy_columns(spark, sf_dir):
     return multiply.skewed(heavy_matrix(spark, sf_dir), thin, limit=1024).select("row", "j", "c")
 
 
+_product("spmm_grid", lambda a, b: multiply.gridded(hold_grid(a, b, row_blocks=4)))
 _product("spmm_entry_sharded", lambda a, b: multiply.entry_sharded(hold(a).matrix, b, SHARDS))
 
 
@@ -258,6 +259,25 @@ def bsr_stats(spark, sf_dir):
     return planner.block_stats(supplier_matrix(spark, sf_dir))
 
 
+@query(f"WITH {A}, {STATS} SELECT * FROM st")
+def bsr_stats_rows(spark, sf_dir):
+    """The same numbers by a row for each block, as a large grid takes them."""
+    return planner.block_stats(supplier_matrix(spark, sf_dir), bits=False)
+
+
+@query(
+    """WITH blk AS (SELECT l_orderkey // 16 AS br, l_partkey // 16 AS bc, count(*) AS n FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY 1, 2)
+SELECT count(*) AS n_blocks, CAST(count(*) * 256 AS BIGINT) AS stored_elements, CAST(sum(n) AS BIGINT) AS original_nnz, count(*) * 256.0::DOUBLE / sum(n) AS fill_in_ratio,
+  count(*)::DOUBLE / (((SELECT max(l_orderkey) FROM lineitem) + 16) // 16 * (((SELECT max(l_partkey) FROM lineitem) + 16) // 16)) AS block_density FROM blk"""
+)
+def bsr_stats_orders(spark, sf_dir):
+    """Orders by parts: a grid of many bitmaps with few bits each."""
+    lines = _table(spark, sf_dir, "lineitem")
+    size = lines.agg(F.max("l_orderkey").alias("m"), F.max("l_partkey").alias("k")).first()
+    entries = lines.select(F.col("l_orderkey").alias("row"), F.col("l_partkey").alias("col"), F.lit(1).alias("val"))
+    return planner.block_stats(SparseMatrix.from_entries(entries, (size["m"] or -1) + 1, (size["k"] or -1) + 1))
+
+
 @query(
     f"WITH {A}, {STATS} SELECT CASE WHEN fill_in_ratio <= 2.0 THEN 'wmma' ELSE 'csr' END AS backend, fill_in_ratio, block_density, 2.0::DOUBLE AS threshold, "
     f"true AS n_aligned, CASE WHEN fill_in_ratio <= 2.0 THEN '{planner.REASONS['dense']}' ELSE '{planner.REASONS['sparse']}' END AS reason FROM st"
@@ -484,26 +504,13 @@ def log_parse(spark, sf_dir):
     return logs.parse_lines(_log_lines(spark, sf_dir))
 
 
-def _scratch(spark, name: str) -> str:
-    """A new path in the shared folder; a folder of this machine only if the master is local."""
-    import tempfile
-    import uuid
-
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        folder = "file://" + tempfile.mkdtemp(prefix="lacewing-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query(
     f"""{_PARSED} SELECT 'log' AS origin, 'uniform' AS pattern, kernel, m, nnz, gflops FROM parsed
 UNION ALL SELECT 'table', CASE WHEN nnz % 4 = 1 THEN 'uniform' ELSE 'banded' END, kernel, m, nnz, gflops FROM cells WHERE m % 4 <> 2"""
 )
 def csv_or_log(spark, sf_dir):
     """The same loader on a table with columns in an order of its own and on a log."""
-    table, log = _scratch(spark, "table") + ".csv", _scratch(spark, "log") + ".txt"
+    table, log = scratch(spark, "table") + ".csv", scratch(spark, "log") + ".txt"
     text = {c: F.col(c).cast("string") for c in ("m", "nnz", "kernel", "gflops", "time_ms")}
     # Some rows lack a pattern, in others a number is none.
     nnz = F.when(F.col("m") % 4 == 2, F.lit("x")).otherwise(text["nnz"])
@@ -616,7 +623,7 @@ def pattern_sweep(spark, sf_dir):
 
 @query(f"WITH {A} SELECT row, col, CAST(val AS BIGINT) AS val FROM a")
 def csr_binary_roundtrip(spark, sf_dir):
-    path = _scratch(spark, "matrix") + ".bin"
+    path = scratch(spark, "matrix") + ".bin"
     csr_binary.write(hold(supplier_matrix(spark, sf_dir)).matrix, path)
     return csr_binary.read(spark, path, 64).entries.withColumn("val", F.col("val").cast("long"))
 
@@ -624,7 +631,7 @@ def csr_binary_roundtrip(spark, sf_dir):
 @query(f"WITH {A} SELECT row, col, CAST(val AS BIGINT) AS val FROM a WHERE row BETWEEN 11 AND 37 AND col % 3 = 1")
 def csr_binary_rows(spark, sf_dir):
     """A range of rows of a file, of which no other row is read."""
-    path = _scratch(spark, "matrix") + ".bin"
+    path = scratch(spark, "matrix") + ".bin"
     csr_binary.write(supplier_matrix(spark, sf_dir), path)
     found = csr_binary.read(spark, path, 8, begin=11, end=38).entries.where("col % 3 = 1")
     return found.withColumn("val", F.col("val").cast("long"))

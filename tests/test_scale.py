@@ -310,3 +310,79 @@ def test_bench_lines_have_errors_and_names(spark, capsys):
     assert names == ["kernel=baseline", "kernel=memopt"] and stored.held() == before
     line = spark.createDataFrame([(out[1],)], "value string")
     assert logs.parse_lines(line).first()["kernel"] == "hybrid[wmma]"
+
+
+def shuffled(df):
+    """Bytes that each exchange of the plan wrote, without adaptive changes."""
+    spark, sizes = df.sparkSession, []
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = df.select("*")._jdf.queryExecution().executedPlan()
+        plan.executeCollect()
+
+        def walk(node):
+            if node.nodeName() == "Exchange":
+                sizes.append(node.metrics().apply("shuffleBytesWritten").value())
+            for i in range(node.children().size()):
+                walk(node.children().apply(i))
+
+        walk(plan)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    return sizes
+
+
+@pytest.mark.parametrize("m,k", [(1, 1), (16, 16), (17, 33), (4000, 4000), (50, 600_000)])
+def test_blocks_by_bits_are_those_by_rows(spark, m, k):
+    ids = spark.range(3000)
+    entries = ids.select((F.col("id") * 7919 % m).alias("row"), (F.col("id") * F.col("id") * 104_729 % k).alias("col"), F.lit(0).alias("val")).distinct()
+    a = SparseMatrix(entries, m, k)
+    bits, rows = (planner.block_stats(a, b).collect() for b in (True, False))
+    assert bits == rows and bits[0]["n_blocks"] > 0
+    none = SparseMatrix(entries.limit(0), m, k)
+    assert planner.block_stats(none, True).collect() == planner.block_stats(none, False).collect()
+
+
+def test_bits_shuffle_a_tenth_of_rows(spark):
+    ids = spark.range(0, 400_000, 1, 8)
+    entries = ids.select((F.xxhash64("id") % 2000 + 2000).alias("row"), (F.xxhash64("id", "id") % 2000 + 2000).alias("col"), F.lit(1).alias("val"))
+    a = SparseMatrix(entries, 4000, 4000)
+    bits, rows = (sum(shuffled(planner.block_stats(a, b))) for b in (True, False))
+    assert 0 < 10 * bits < rows
+
+
+def test_a_stored_grid_is_not_shuffled_again(spark, heavy):
+    """One exchange, of partial sums; the heavy column lies in many buckets; the tables go."""
+    b = generate.dense(spark, 3100, 3)
+    key = lambda df: sorted(tuple(r) for r in df.select("row", "j", "c").collect())
+    want, before = key(multiply.long(heavy, b)), stored.held()
+    with stored.hold_grid(heavy, b, row_blocks=16, buckets=8) as grid:
+        c = multiply.gridded(grid)
+        sizes = shuffled(c)
+        assert len(sizes) == 1
+        plan = plan_of(c).split("== Initial Plan ==")[0]
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan and plan.count("Bucketed: true") == 2
+        assert key(c) == want
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            joined = grid.left.join(grid.right.hint("merge"), ["rb", "k"])
+            tasks = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        assert len(tasks) == 8 and max(tasks) <= 2 * np.median(tasks)
+        names = list(grid.tables)
+        assert all(spark.catalog.tableExists(n) for n in names)
+    assert not any(spark.catalog.tableExists(n) for n in names) and stored.held() == before
+    where = spark._jvm.org.apache.hadoop.fs.Path(grid.path)
+    assert not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def test_grids_of_odd_sides(spark, heavy):
+    empty = DenseMatrix(generate.dense(spark, 3100, 2).rows.where("k < 0"), 3100, 2)
+    with stored.hold_grid(heavy, empty, row_blocks=1, buckets=3) as grid:
+        assert multiply.gridded(grid).count() == 0
+    none = SparseMatrix(heavy.entries.limit(0), 20_000, 3100)
+    with stored.hold_grid(none, generate.dense(spark, 3100, 2), 2, 2) as grid:
+        assert multiply.gridded(grid).count() == 0
+    with pytest.raises(ValueError):
+        stored.hold_grid(heavy, empty, row_blocks=0)

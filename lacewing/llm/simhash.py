@@ -270,42 +270,59 @@ def wide_budget(similarity: float, bits: int) -> int:
     return math.ceil(bits * p + 5 * math.sqrt(bits * p * (1 - p)))
 
 
-def wide_links(distinct: DataFrame, budget: int, n_hashes: int) -> DataFrame:
+def wide_links(distinct: DataFrame, budget: int, n_hashes: int, most: int = 1 << 17) -> DataFrame:
     """Links (src, dst) between nodes (node long, w binary, bands array<long>) that agree on
     a band and differ in at most ``budget`` bits: candidates, at most one for each node and
-    band, with the components of all such pairs."""
+    trie. All nodes that such pairs lead to within a trie have links to one ``dst``.
+
+    A trie is a band's bucket. One of more than ``most`` nodes is cut into chunks, of which
+    each meets each in a trie of its own."""
 
     def join(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held)
-        node = table.column("node").to_numpy()
-        turn, head = table.column("turn").to_numpy(), table.column("head").to_numpy()
+        node, deal = table.column("node").to_numpy(), table.column("deal").to_numpy()
         keys = np.frombuffer(b"".join(table.column("w").to_pylist()), ">u8").reshape(node.size, -1).astype(np.uint64)
-        order = np.lexsort((*(keys[:, k] for k in reversed(range(n_hashes))), head, turn))
-        node, turn, head, keys = node[order], turn[order], head[order], keys[order]
-        new = np.concatenate([[True], (turn[1:] != turn[:-1]) | (head[1:] != head[:-1])])
-        parent = _Trie(keys, np.cumsum(new), 0, budget).parent
+        order = np.lexsort((*(keys[:, k] for k in reversed(range(n_hashes))), deal))
+        node, deal, keys = node[order], deal[order], keys[order]
+        parent = _Trie(keys, deal, 0, budget).parent
         linked = np.flatnonzero(parent != np.arange(node.size))
         if linked.size:
             yield pa.record_batch([pa.array(node[linked]), pa.array(node[parent[linked]])], names=["src", "dst"])
 
-    dealt = distinct.select("node", "w", F.posexplode("bands").alias("turn", "head"))
-    return map_arrow(dealt.repartition("turn", "head"), join, "src long, dst long")
-
-
-def similar(sets: list[np.ndarray], similarity: float, most: int = 1 << 22) -> np.ndarray:
+    held = distinct.select("node", "w", F.posexplode("bands").alias("turn", "head"))
+    chunks = F.ceil(F.count("*") / most).cast("int").alias("chunks")
+    large = materialize(held.groupBy("turn", "head").agg(chunks).where("chunks > 1"), "large-buckets")
+    deal = [F.col("turn"), F.col("head")]
+    if n_large := large.count():
+        held = held.join(F.broadcast(large) if n_large <= SMALL_ROWS else large, ["turn", "head"], "left")
+        n = F.coalesce("chunks", F.lit(1))
+        held = held.withColumn("own", F.pmod(F.xxhash64(F.lit(7), "node"), n).cast("int"))
+        held = held.withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+        deal += [F.least("own", "other"), F.greatest("own", "other")]
+    # Should two deals have one hash, they are one trie: more candidates, none less.
+    dealt = held.select("node", "w", F.xxhash64(*deal).alias("deal"))
+    return map_arrow(dealt.repartition("deal"), join, "src long, dst long")
+
+
+def similar(sets: list[np.ndarray], similarity: float, known: np.ndarray | None = None, most: int = 1 << 22) -> np.ndarray:
     """The class of each set (arrays of distinct hashes): those of all pairs whose exact
-    Jaccard similarity is ``similarity`` or more."""
+    Jaccard similarity is ``similarity`` or more, and of sets that are ``known`` to be of one."""
     parent = np.arange(len(sets))
+    if known is not None and known.size:
+        _, first, of = np.unique(known, return_index=True, return_inverse=True)
+        parent = first[of]
+    # Any pair of two classes has one outside the most frequent.
+    rest = np.flatnonzero(parent != np.bincount(parent).argmax()) if len(sets) else parent
     sizes = np.array([x.size for x in sets], np.int64)
     tokens, code = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
-    holder = np.repeat(parent, sizes)[np.argsort(code, kind="stable")]
+    holder = np.repeat(np.arange(len(sets)), sizes)[np.argsort(code, kind="stable")]
     n_of = np.bincount(code, minlength=tokens.size)
     first = np.cumsum(n_of) - n_of
     edges = np.concatenate([[0], np.cumsum(sizes)])
-    for i in range(len(sets)):
+    for i in rest.tolist():
         if not parent.any():
             break
         own = code[edges[i] : edges[i + 1]]
@@ -323,26 +340,65 @@ def similar(sets: list[np.ndarray], similarity: float, most: int = 1 << 22) -> n
     return parent
 
 
-def verified_links(members: DataFrame, width: int, similarity: float, most: int = 1 << 17) -> DataFrame:
-    """Links (src, dst) between nodes with the components of all pairs within a root whose
-    shingle sets have this Jaccard similarity or more, by the sets themselves.
-
-    ``members`` has root, total (shingles under the root), node and text. A root with more
-    than ``most`` shingles is cut into chunks, of which each meets each in a task of its own."""
+def _compared(members: DataFrame, width: int, similarity: float, *by: str) -> DataFrame:
+    """Links (src, dst) within each group of ``members`` (node, class, text) by the sets of shingles
+    themselves; nodes of one class are linked already."""
 
     def compare(table: pa.Table) -> pa.Table:
         node, at = np.unique(table.column("node").to_numpy(), return_index=True)
         texts = as_bytes(table.column("text").combine_chunks().take(pa.array(at)))
-        parent = similar([np.unique(shingle_hashes(t, width)) for t in texts], similarity)
+        known = table.column("class").to_numpy()[at]
+        parent = similar([np.unique(shingle_hashes(t, width)) for t in texts], similarity, known)
         linked = np.flatnonzero(parent != np.arange(node.size))
         return pa.table({"src": pa.array(node[linked]), "dst": pa.array(node[parent[linked]])})
 
-    chunks = F.ceil(F.col("total") / most).cast("int")
-    cut = members.withColumn("own", F.pmod(F.xxhash64(F.lit(5), "node"), chunks).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.greatest(chunks, F.lit(1)) - 1))
-    cut = cut.withColumn("own", F.coalesce("own", F.lit(0))).select("root", "own", "node", "text", other.alias("other"))
-    cut = cut.select("root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "text")
-    return cut.groupBy("root", "low", "high").applyInArrow(compare, "src long, dst long")
+    return members.groupBy(*by).applyInArrow(compare, "src long, dst long")
+
+
+def verified_links(candidates: DataFrame, sizes: DataFrame, with_text, width: int, similarity: float, most: int = 1 << 17) -> DataFrame:
+    """Links (src, dst) with the components of all pairs of a group whose sets of shingles
+    have this Jaccard similarity or more, by the sets themselves.
+
+    A group is a ``dst`` of the ``candidates`` and all that have links to it. ``sizes`` has node
+    and n (shingles); ``with_text`` adds the column text to rows with a node. A group of
+    more than ``most`` shingles is cut into pieces that each get the ``dst`` too, so that copies of
+    one text are of one class after a single comparison. Only pieces of groups in which several
+    classes remain meet each other, and never two pieces of one class."""
+    pair = candidates.select(F.col("dst").alias("root"), F.col("src").alias("node")).distinct()
+    held = pair.union(pair.select("root", F.col("root").alias("node")).distinct()).join(sizes, "node")
+    held = materialize(held.select("root", "node", "n"), "candidate-groups")
+    pieces = F.greatest(F.ceil(F.sum("n") / most).cast("int"), F.lit(1))
+    totals = materialize(held.groupBy("root").agg(pieces.alias("pieces")), "candidate-totals")
+    own = F.pmod(F.xxhash64(F.lit(5), "node"), "pieces").cast("int")
+    every = F.sequence(F.lit(0), F.col("pieces") - 1)
+    star = held.where("node <> root").join(totals, "root").select("root", own.alias("piece"), "node")
+    star = star.union(totals.select("root", F.explode(every).alias("piece"), F.col("root").alias("node")))
+    star = with_text(star.withColumn("class", F.col("node")))
+    links = materialize(_compared(star, width, similarity, "root", "piece"), "verified-links")
+    if totals.where("pieces > 1").isEmpty():
+        return links
+    known = components(links).withColumnRenamed("component", "class")
+    held = held.join(totals.where("pieces > 1").select("root"), "root").join(known, "node", "left")
+    held = materialize(held.withColumn("class", F.coalesce("class", "node")), "candidate-classes")
+    size = held.groupBy("root", "class").agg(F.sum("n").alias("n"))
+    large = F.col("n") > most
+    apart = size.groupBy("root").agg(F.count("*").alias("classes"), F.sum(F.when(~large, F.col("n"))).alias("few")).where("classes > 1")
+    # A large class has pieces of its own, the others share some.
+    pieces = F.when(large, F.ceil(F.col("n") / most)).otherwise(F.greatest(F.ceil(F.col("few") / most), F.lit(1))).cast("int")
+    size = materialize(size.join(apart, "root").select("root", "class", large.alias("large"), pieces.alias("pieces")), "class-pieces")
+
+    def piece(k):
+        return F.struct("large", F.when(F.col("large"), F.col("class")).otherwise(0).alias("class"), k.alias("k"))
+
+    shared = F.pmod(F.xxhash64(F.lit(5), "class"), "pieces").cast("int")
+    listed = F.when(F.col("large"), every).otherwise(F.array(shared))
+    listed = size.select("root", "class", "large", F.explode(listed).alias("k")).select("root", piece(F.col("k")).alias("low")).distinct()
+    pairs = listed.join(listed.withColumnRenamed("low", "high"), "root").where("low <= high")
+    pairs = pairs.where("NOT (low.large AND high.large AND low.class = high.class)")
+    dealt = pairs.select("root", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("piece"))
+    placed = held.join(size, ["root", "class"]).select("root", "node", "class", piece(F.when(F.col("large"), own).otherwise(shared)).alias("piece"))
+    met = materialize(placed.join(dealt, ["root", "piece"]).select("root", "low", "high", "node", "class"), "pieces-that-meet")
+    return links.union(_compared(with_text(met), width, similarity, "root", "low", "high"))
 
 
 def _classes(hashed: DataFrame, key: str, least, links) -> DataFrame:
@@ -368,8 +424,8 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
 
     Rows are linked if their sets of ``width``-word shingles have a Jaccard similarity of
     ``similarity`` or more. Candidates agree on a band of least hashes and have near
-    fingerprints of ``n_hashes`` times 64 bits; within the components of candidates all pairs
-    are compared by the sets. Texts without words are linked to each other. Columns named
+    fingerprints of ``n_hashes`` times 64 bits, and all pairs of candidates of different classes are
+    compared by the sets. Texts without words are linked to each other. Columns named
     ``near_*`` are not kept. Keys are broadcast up to ``SMALL_ROWS``; beyond it the texts are
     shuffled to them."""
     columns = docs.columns
@@ -380,16 +436,17 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.
     # All but the ids are the same for a node.
     grouped = materialize(hashed.groupBy("node").agg(least, *(F.first(c).alias(c) for c in ("n", "w", "bands"))), "distinct-sets")
     budget = wide_budget(similarity, 64 * n_hashes)
-    coarse = components(wide_links(grouped, budget, n_hashes)).withColumnRenamed("component", "root")
-    coarse = coarse.union(coarse.select(F.col("root").alias("node"), "root").distinct())
-    coarse = grouped.select("node", "n", "least.doc_id", "least.near_text").join(coarse, "node")
-    coarse = materialize(coarse, "candidates")
-    totals = coarse.groupBy("root").agg(F.sum("n").alias("total"))
-    named = coarse.join(totals, "root").select("root", "total", "node", F.col("doc_id").alias("near_id"), F.col("near_text").alias("near_hash"))
+    candidates = materialize(wide_links(grouped, budget, n_hashes), "candidates")
+    keys = grouped.select("node", F.col("least.doc_id").alias("near_id"), F.col("least.near_text").alias("near_hash"))
     same = F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("near_text") == F.col("near_hash"))
-    named = materialize(named, "candidates-named")
-    members = chosen.join(F.broadcast(named) if named.count() <= SMALL_ROWS else named.hint("merge"), same).select("root", "total", "node", "text")
-    roots = components(verified_links(members, width, similarity)).withColumnRenamed("node", "near_node")
+
+    def with_text(rows):
+        named = materialize(rows.join(keys, "node"), "candidates-named")
+        found = chosen.join(F.broadcast(named) if named.count() <= SMALL_ROWS else named.hint("merge"), same)
+        return found.select(*rows.columns, "text")
+
+    roots = components(verified_links(candidates, grouped.select("node", "n"), with_text, width, similarity))
+    roots = roots.withColumnRenamed("node", "near_node")
     rooted = grouped.select("node", "least").join(roots, F.col("node") == F.col("near_node"), "left")
     first = rooted.groupBy(F.coalesce("component", "node")).agg(F.min("least").alias("least"))
     first = first.select(F.col("least.doc_id").alias("near_id"), F.col("least.near_text").alias("near_hash"))

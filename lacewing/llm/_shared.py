@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 
@@ -40,7 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="lacewing-"))
         named = _OWN[0]
-    return named.rstrip("/")
+    return qualified(spark, named).rstrip("/")
+
+
+def qualified(spark: SparkSession, name: str) -> str:
+    """A folder's name with its scheme: Spark takes one without for the default file system's."""
+    if "://" not in name:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        name = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub(r"^file:/+", "file:///", name)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -49,9 +58,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 def shared_files(spark: SparkSession, name: str) -> str:
     """A path for a folder of files that tasks write themselves, deleted as the tables of
-    :func:`materialize` are."""
-    _WRITTEN.append(shared_path(spark, name))
-    return _WRITTEN[-1]
+    :func:`materialize` are. A folder that Arrow can't open is an error here, before any task."""
+    path = shared_path(spark, name)
+    filesystem(path)
+    _WRITTEN.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -98,10 +109,14 @@ def drop_shuffles(spark: SparkSession) -> None:
 
 
 def filesystem(uri: str):
-    """The Arrow file system of a folder and the folder's path there."""
+    """The Arrow file system of a folder and the folder's path there. Spark's other names of
+    the S3 scheme are taken as such."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    try:
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
+    except (pa.ArrowInvalid, ValueError) as e:
+        raise ValueError(f"tasks write files under {uri}, which Arrow can't open: name a folder by file, hdfs, s3 or gs in spark.checkpoint.dir") from e
 
 
 def words(text):

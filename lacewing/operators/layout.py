@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,15 +38,27 @@ def row_ptr(m: SparseMatrix, rows_per_slice: int = 65_536) -> DataFrame:
 
 
 def bsr_blocks(m: SparseMatrix, half: bool = False) -> DataFrame:
-    """(br, bc, block): an array of 256 values, row by row, zero where nothing is stored."""
+    """(br, bc, block): an array of 256 values, row by row, zero where nothing is stored. A block is put
+    together from its cells in order and the runs of zeros between them; two entries of a cell are an error."""
     value = to_half(F.col("val")) if half else F.col("val")
+    kind = F.lit(0).cast("double" if half else m.entries.schema["val"].dataType)
     placed = m.entries.select(
         F.expr(f"row div {BLOCK}").alias("br"), F.expr(f"col div {BLOCK}").alias("bc"),
-        F.expr(f"CAST((row % {BLOCK}) * {BLOCK} + col % {BLOCK} AS INT)").alias("at"), value.alias("v"),
+        F.expr(f"CAST((row % {BLOCK}) * {BLOCK} + col % {BLOCK} AS INT)").alias("at"), F.coalesce(value, kind).alias("v"),
     )
-    found = placed.groupBy("br", "bc").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"))
-    zero = F.lit(0).cast("double" if half else m.entries.schema["val"].dataType)
-    block = F.transform(F.sequence(F.lit(0), F.lit(BLOCK * BLOCK - 1)), lambda i: F.coalesce(F.try_element_at("m", i), zero))
+    # A given number of parts: a block is much larger than its entries.
+    placed = placed.repartition(int(m.entries.sparkSession.conf.get("spark.sql.shuffle.partitions")), "br", "bc")
+    found = placed.groupBy("br", "bc").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("cells"))
+    size = BLOCK * BLOCK
+
+    def filled(cells: Column) -> Column:
+        end = F.array(F.struct(F.lit(size).alias("at"), kind.alias("v")))
+        before = F.concat(F.array(F.lit(-1)), cells["at"])
+        gaps = F.zip_with(F.concat(cells, end), before, lambda x, p: F.concat(F.array_repeat(kind, x["at"] - p - 1), F.when(x["at"] < size, F.array(x["v"])).otherwise(F.slice(F.array(kind), 1, 0))))
+        return F.flatten(gaps)
+
+    # The cells are bound once by the lambda: named twice they would be sorted twice.
+    block = F.get(F.transform(F.array("cells"), filled), F.lit(0))
     return found.select("br", "bc", block.alias("block"))
 
 

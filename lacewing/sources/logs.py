@@ -29,18 +29,26 @@ def _typed(schema: str) -> list[tuple[str, str]]:
     return [tuple(f.split()) for f in schema.split(", ")]
 
 
+def _part(parts: Column, name: str, kind: str) -> Column:
+    """The value of the last ``name=value`` among a line's parts."""
+    found = F.filter(parts, lambda x: x.startswith(f"{name}="))
+    return F.substring(F.try_element_at(found, F.lit(-1)), len(name) + 2, 1 << 20).try_cast(kind)
+
+
 def _field(line: Column, name: str, kind: str) -> Column:
     """The value of the last ``name=value`` among a line's parts between blanks."""
-    parts = F.filter(F.split(line, r"\s+"), lambda x: x.startswith(f"{name}="))
-    return F.substring(F.try_element_at(parts, F.lit(-1)), len(name) + 2, 1 << 20).try_cast(kind)
+    return _part(F.split(line, r"\s+"), name, kind)
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Result lines of a column ``value``, trimmed: fields in any order, the last of a name
     counts, density may be absent. Other lines and lines that lack a number are left out."""
-    line = lines.select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("value")).where(F.col("value").startswith("kernel="))
+    # Rows of one-element arrays: a filter on what a generator gives is not pushed below it, where Spark
+    # would make the line and split it again for each condition.
+    parts = lines.select(F.explode(F.array(F.split(F.btrim("value", F.lit(" \t\n\x0b\f\r")), r"\s+"))).alias("parts"))
     kinds = [*_typed(SWEEP)[:5], ("density", "DOUBLE"), *_typed(SWEEP)[5:]]
-    rows = line.select(*(_field(F.col("value"), k, kind).alias(k) for k, kind in kinds))
+    fields = F.struct(*(_part(F.col("parts"), k, kind).alias(k) for k, kind in kinds))
+    rows = parts.where(F.get("parts", F.lit(0)).startswith("kernel=")).select(F.inline(F.array(fields)))
     return rows.where("kernel <> ''").dropna(subset=["m", "k", "n", "nnz", "time_ms", "gflops"])
 
 

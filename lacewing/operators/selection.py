@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType, IntegralType
 
 from lacewing.functions.scalars import ordered_bits
+from lacewing.ship import ship
 
 DIGITS = (48, 32, 16, 0)
 
@@ -61,19 +62,31 @@ def exact_medians(rows: DataFrame, keys: list[str], value: str, name: str = "med
     for none; else the mean of the two middle ones, null for none. Groups of over ``limit`` values
     and over a ``most_hot``-th of all are selected by digits; a count, run here, tells whether there
     are any."""
+    return several_medians(rows, keys, value, {name: upper}, limit, most_hot)
+
+
+def several_medians(rows: DataFrame, keys: list[str], value: str, names: dict[str, bool], limit: int = 1_000_000, most_hot: int = 100_000) -> DataFrame:
+    """As ``exact_medians``, with a column for each of ``names`` ({name: upper}): all of them are
+    selected in the same passes. The large groups' counts come to the driver, ``most_hot`` at most."""
+    spark = rows.sparkSession
+    ship(spark)
     data = rows.select(*keys, F.col(value).alias("_v"), _order(rows, value).alias("_o"))
     counts = data.groupBy(*keys).agg(F.count("_v").alias("_n"))
     total = F.broadcast(counts.agg(F.sum("_n").alias("_all")))  # one row
-    names = [f"k{i}" for i in range(len(keys))]
+    mid = [f"k{i}" for i in range(len(keys))]
     large = counts.crossJoin(total).where((F.col("_n") > limit) & (F.col("_n") * most_hot > F.col("_all")))
-    large = large.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), "_n")
-    plain = "coalesce(CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY _v DESC) AS DOUBLE), 0.0D)" if upper else "CAST(percentile(_v, 0.5D) AS DOUBLE)"
-    if large.isEmpty():
-        return data.groupBy(*keys).agg(F.expr(plain).alias(name))
-    wanted = F.array(F.expr("_n div 2")) if upper else F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2")))
-    ranks = large.select(*names, F.posexplode(wanted).alias("_which", "_r"))
+    large = large.select(*(F.col(k).alias(n) for k, n in zip(keys, mid)), "_n")
+    plain = {True: "coalesce(CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY _v DESC) AS DOUBLE), 0.0D)", False: "CAST(percentile(_v, 0.5D) AS DOUBLE)"}
+    plain = [F.expr(plain[upper]).alias(n) for n, upper in names.items()]
+    found = large.collect()
+    if not found:
+        return data.groupBy(*keys).agg(*plain)
+    large = spark.createDataFrame(found, large.schema)
+    wanted = F.array(F.expr("_n div 2")) if all(names.values()) else F.array_distinct(F.array(F.expr("(_n - 1) div 2"), F.expr("_n div 2")))
+    ranks = large.select(*mid, F.posexplode(wanted).alias("_which", "_r"))
     middle = select_ranks(data.where("_v IS NOT NULL"), ranks, keys).groupBy(*keys)
     # Halves are added, as of two values; of one, its half is taken twice.
-    hot = middle.agg((F.sum(F.col("_v").cast("double") * 0.5) * F.when(F.count("*") > 1, 1.0).otherwise(2.0)).alias(name))
-    rest = data.join(F.broadcast(large.select(*names)), _same(keys, names), "left_anti").groupBy(*keys)
-    return hot.union(rest.agg(F.expr(plain).alias(name)))
+    mean = F.sum(F.col("_v").cast("double") * 0.5) * F.when(F.count("*") > 1, 1.0).otherwise(2.0)
+    hot = middle.agg(*((F.max_by(F.col("_v").cast("double"), "_which") if upper else mean).alias(n) for n, upper in names.items()))
+    rest = data.join(F.broadcast(large.select(*mid)), _same(keys, mid), "left_anti").groupBy(*keys)
+    return hot.union(rest.agg(*plain))

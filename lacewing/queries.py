@@ -344,8 +344,7 @@ SELECT flag, max(CASE WHEN k = n // 2 THEN v END) AS upper, (max(CASE WHEN k = (
 def median_by_digits(spark, sf_dir):
     """Every group selected digit by digit, as large ones are."""
     rows = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").cast("double").alias("v"))
-    upper = selection.exact_medians(rows, ["flag"], "v", "upper", upper=True, limit=0)
-    return upper.join(selection.exact_medians(rows, ["flag"], "v", "middle", limit=0), "flag")
+    return selection.several_medians(rows, ["flag"], "v", {"upper": True, "middle": False}, limit=0)
 
 
 @query(

@@ -26,34 +26,56 @@ def _small(df: DataFrame, b: DenseMatrix, limit: int = BROADCAST_BYTES) -> DataF
     return F.broadcast(df) if b.bytes() <= limit else df
 
 
+def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by keys to as many tasks as there are shuffle partitions. The number is given, so
+    that adaptive execution doesn't merge small parts that a product makes large."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _by_row(a: SparseMatrix, b: DenseMatrix) -> DataFrame:
+    """Entries dealt by row if the dense side is broadcast: a task then holds the sums of its own rows
+    alone and no sum is shuffled. A row has at most K entries, so none is more than a task's work."""
+    return _dealt(a.entries, "row") if b.bytes() <= BROADCAST_BYTES else a.entries
+
+
+def _sums(joined: DataFrame, n: int, keys=("row",), tile: int = 64) -> DataFrame:
+    """(keys, j, c) of (keys, val, b): one sum for each column of a tile, so that an entry makes one
+    aggregation row for each tile and no element is ever a row before the sums are done. A cell is
+    there if some dense row of its keys reaches that far."""
+    if not n:
+        return joined.select(*keys, "val", F.posexplode("b").alias("j", "x")).groupBy(*keys, "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
+    starts = range(0, n, tile)
+    # One scan and join for all tiles: an entry makes a row for each tile, with its part of b.
+    tiles = joined.select(*keys, "val", F.posexplode(F.array(*(F.slice("b", at + 1, tile) for at in starts))).alias("t", "b")) if len(starts) > 1 else joined.select(*keys, "val", F.lit(0).alias("t"), "b")
+    columns = range(min(tile, n))
+    reach = F.coalesce(F.greatest(F.max(F.size("b")), F.lit(0)), F.lit(0)).alias("reach")
+    sums = tiles.groupBy(*keys, "t").agg(reach, *(F.sum(F.col("val") * F.get("b", F.lit(j))).alias(f"c{j}") for j in columns))
+    out = sums.select(*keys, "t", F.posexplode(F.slice(F.array(*(f"c{j}" for j in columns)), F.lit(1), F.col("reach"))).alias("p", "c"))
+    return out.select(*keys, (F.col("t") * tile + F.col("p")).alias("j"), "c")
+
+
 def long(a: SparseMatrix, b: DenseMatrix) -> DataFrame:
-    """Joins single elements: the plainest plan."""
-    joined = a.entries.join(_small(b.long().withColumnRenamed("k", "col"), b), "col")
-    return joined.groupBy("row", "j").agg(F.sum(F.col("val") * F.col("b")).alias("c"))
+    """Joins single elements while the dense side is broadcast: the plainest plan. Beyond that an element
+    would be shuffled with both its keys, so whole rows are joined, as ``packed`` does."""
+    if not b.n_cols or b.bytes() <= BROADCAST_BYTES:
+        joined = _by_row(a, b).join(_small(b.long().withColumnRenamed("k", "col"), b), "col")
+        return joined.groupBy("row", "j").agg(F.sum(F.col("val") * F.col("b")).alias("c"))
+    return packed(a, b)
 
 
 def packed(a: SparseMatrix, b: DenseMatrix) -> DataFrame:
-    """Joins whole dense rows and takes them apart after the join."""
-    joined = a.entries.join(_small(b.rows.withColumnRenamed("k", "col"), b), "col")
-    return joined.select("row", "val", F.posexplode("b").alias("j", "x")).groupBy("row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
+    """Joins whole dense rows and takes them apart after the sums."""
+    return wide(a, b)
 
 
 def wide(a: SparseMatrix, b: DenseMatrix, tile: int = 64) -> DataFrame:
-    """One sum for each column of a tile, so that a row of entries makes one aggregation row
-    for each tile: no element is ever a row before the sums are done."""
+    """One sum for each column of a tile."""
     if tile < 1:
         raise ValueError("tile must be positive")
     if not b.n_cols:
         return long(a, b)
-    joined = a.entries.join(_small(b.rows.withColumnRenamed("k", "col"), b), "col")
-    starts = range(0, b.n_cols, tile)
-    # One scan and join for all tiles: an entry makes a row for each tile, with its part of b.
-    tiles = joined.select("row", "val", F.posexplode(F.array(*(F.slice("b", at + 1, tile) for at in starts))).alias("t", "b")) if len(starts) > 1 else joined.withColumn("t", F.lit(0))
-    columns = range(min(tile, b.n_cols))
-    sums = tiles.groupBy("row", "t").agg(*(F.sum(F.col("val") * F.get("b", F.lit(j))).alias(f"c{j}") for j in columns))
-    out = sums.select("row", "t", F.posexplode(F.array(*(f"c{j}" for j in columns))).alias("p", "c"))
-    out = out.select("row", (F.col("t") * tile + F.col("p")).alias("j"), "c")
-    return out.where(F.col("j") < b.n_cols) if b.n_cols % tile and len(starts) > 1 else out
+    joined = _by_row(a, b).join(_small(b.rows.withColumnRenamed("k", "col"), b), "col")
+    return _sums(joined, b.n_cols, tile=tile)
 
 
 def aligned_wide(a: SparseMatrix, b: DenseMatrix, tile: int = 128) -> DataFrame:
@@ -118,13 +140,12 @@ def clamp_devices(spark, wanted: int) -> int:
 
 
 def sharded(a: SparseMatrix, b: DenseMatrix, n_shards: int) -> DataFrame:
-    """Rows dealt to shards of about as many entries; no sum crosses a shard: the shard stays
-    in the key, so that the deal serves the sums too."""
+    """Rows dealt to shards of about as many entries; no sum crosses a shard, which stays in the key. A
+    shard is work of many tasks, dealt by row: few shards don't mean few tasks."""
     shards = nnz_shards(a, n_shards).select("row", "shard")
-    dealt = a.entries.join(shards, "row").repartition(n_shards, "shard")
+    dealt = _dealt(a.entries.join(shards, "row"), "shard", "row")
     joined = dealt.join(_small(b.rows.withColumnRenamed("k", "col"), b), "col")
-    parts = joined.select("shard", "row", "val", F.posexplode("b").alias("j", "x"))
-    return parts.groupBy("shard", "row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c")).select("row", "j", "c")
+    return _sums(joined, b.n_cols, ("shard", "row")).select("row", "j", "c")
 
 
 def entry_sharded(a: SparseMatrix, b: DenseMatrix, n_shards: int) -> DataFrame:
@@ -134,7 +155,7 @@ def entry_sharded(a: SparseMatrix, b: DenseMatrix, n_shards: int) -> DataFrame:
     so that it is built once for the counts and the deal."""
     dealt = entry_shards(a, n_shards).repartitionById(n_shards, "shard")
     joined = dealt.join(_small(b.rows.withColumnRenamed("k", "col"), b), "col")
-    return joined.select("row", "val", F.posexplode("b").alias("j", "x")).groupBy("row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
+    return _sums(joined, b.n_cols)
 
 
 def heavy_columns(a: SparseMatrix, share: int) -> DataFrame:
@@ -161,16 +182,17 @@ def skewed(a: SparseMatrix, b: DenseMatrix, limit: int = BROADCAST_BYTES, share:
     there = rows.join(F.broadcast(heavy), "col", "left_semi").withColumnRenamed("b", "near")
     # A heavy column without a dense row stays near too: it adds nothing.
     near = heavy.join(F.broadcast(there), "col", "left").withColumn("heavy", F.lit(True))
-    split = a.entries.join(F.broadcast(near), "col", "left")
-    far = split.where("heavy IS NULL").select("row", "col", "val").join(rows.hint("merge"), "col").select("row", "val", "b")
+    split = _dealt(a.entries, "row").join(F.broadcast(near), "col", "left")
+    far = _dealt(split.where("heavy IS NULL").select("row", "col", "val"), "col")
+    far = far.join(_dealt(rows, "col").hint("merge"), "col").select("row", "val", "b")
     both = split.where("heavy").select("row", "val", F.col("near").alias("b")).union(far)
-    return both.select("row", "val", F.posexplode("b").alias("j", "x")).groupBy("row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
+    return _sums(both, b.n_cols)
 
 
 def shuffled(a: SparseMatrix, b: DenseMatrix) -> DataFrame:
     """Never broadcasts: for dense sides larger than memory."""
     joined = a.entries.join(b.rows.withColumnRenamed("k", "col").hint("merge"), "col")
-    return joined.select("row", "val", F.posexplode("b").alias("j", "x")).groupBy("row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
+    return _sums(joined, b.n_cols)
 
 
 def gridded(grid: Grid) -> DataFrame:
@@ -178,15 +200,16 @@ def gridded(grid: Grid) -> DataFrame:
     lie, merged in order of the inner position, so that a task holds one dense row at a time; only
     partial sums are shuffled, once."""
     joined = grid.left.join(grid.right.hint("merge"), ["rb", "k"])
-    return joined.select("row", "val", F.posexplode("b").alias("j", "x")).groupBy("row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
+    return _sums(joined, grid.n_cols)
 
 
 def batched(entries: DataFrame, b: DenseMatrix, keys: list[str]) -> DataFrame:
     """Products of many sparse matrices, told apart by ``keys``, with one dense matrix: (keys, row,
     j, c). All are one join and one sum, whatever their number and sizes."""
     summed = entries.groupBy(*keys, "row", "col").agg(F.sum("val").alias("val"))
-    joined = summed.join(_small(b.rows.withColumnRenamed("k", "col"), b), "col")
-    return joined.select(*keys, "row", "val", F.posexplode("b").alias("j", "x")).groupBy(*keys, "row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
+    dealt = _dealt(summed, *keys, "row") if b.bytes() <= BROADCAST_BYTES else summed
+    joined = dealt.join(_small(b.rows.withColumnRenamed("k", "col"), b), "col")
+    return _sums(joined, b.n_cols, (*keys, "row"))
 
 
 def hybrid(a: SparseMatrix, b: DenseMatrix, threshold: float = planner.THRESHOLD) -> DataFrame:

@@ -75,8 +75,8 @@ class Grid(Held):
     """Two tables bucketed and sorted by (rb, k): ``left`` (rb, k, row, val), the entries, and
     ``right`` (rb, k, b), the dense rows once for each of the row blocks."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.tables = spark, path, []
+    def __init__(self, spark: SparkSession, path: str, n_cols: int):
+        self.spark, self.path, self.n_cols, self.tables = spark, path, n_cols, []
         super().__init__(self, [], 0)
 
     def write(self, df: DataFrame, buckets: int) -> DataFrame:
@@ -105,7 +105,7 @@ def hold_grid(a: SparseMatrix, b: DenseMatrix, row_blocks: int = 8, buckets: int
         raise ValueError("row_blocks must be positive")
     spark = a.entries.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    grid = Grid(spark, path or scratch(spark, "grid"))
+    grid = Grid(spark, path or scratch(spark, "grid"), b.n_cols)
     rb = F.expr(f"CAST(pmod(row div {BLOCK}, {row_blocks}) AS INT)").alias("rb")
     each = F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb")
     try:

@@ -21,6 +21,12 @@ from .layout import all_rows, entry_shards, nnz_shards, unpack_blocks
 
 BROADCAST_BYTES = 64 << 20
 
+#: Most memory for the dense rows of a tile of ``block``, and for its sums.
+TILE_BYTES = 32 << 20
+
+#: Most tasks of ``block``; a task takes several tiles if there are more.
+MOST_TASKS = 20_000
+
 
 def _small(df: DataFrame, b: DenseMatrix, limit: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if b.bytes() <= limit else df
@@ -85,49 +91,102 @@ def aligned_wide(a: SparseMatrix, b: DenseMatrix, tile: int = 128) -> DataFrame:
     return wide(a, b, tile)
 
 
+def _tiling(a: SparseMatrix, b: DenseMatrix, tasks: int) -> tuple[int, int]:
+    """Bands of rows and chunks of columns: tiles enough for ``tasks``, so that copies of the dense
+    side (one a band) and partial sums (one a chunk) are about as many, and so that the sums
+    of a band and the dense rows of a chunk take TILE_BYTES at most."""
+    width = 8 * max(1, b.n_cols)
+    m, k = max(1, -(-a.n_rows // BLOCK)), max(1, -(-a.n_cols // BLOCK))
+    bands = min(m, max(-(-m * BLOCK * width // TILE_BYTES), round((tasks * m / k) ** 0.5), 1))
+    chunks = min(k, max(-(-k * BLOCK * width // TILE_BYTES), -(-tasks // bands), 1))
+    return bands, chunks + (bands == chunks and chunks < k)  # blocks of a diagonal meet more tiles
+
+
 def block(a: SparseMatrix, b: DenseMatrix, half: bool = False) -> DataFrame:
-    """16 by 16 blocks times 16 dense rows in NumPy, an Arrow batch at a time; partial sums
-    of block rows are added in Spark. A block travels as its stored cells and is filled in
-    NumPy, which also knows its rows with entries: no other row makes a cell. Dense rows
-    beyond K count as zeros."""
+    """16 by 16 blocks times 16 dense rows in NumPy, an Arrow batch at a time. Blocks are dealt to tiles,
+    by bands of block rows and chunks of block columns, and a chunk's dense rows go once to each of its tiles:
+    they don't travel with every block. A task takes a tile's dense rows, then its blocks column
+    by column, each as its stored cells, and gives a row of sums for each row of the tile that has
+    entries; chunks' sums are added in Spark. Entries without a dense row make no cell."""
+    spark, n = a.entries.sparkSession, b.n_cols
     value = "double" if half else a.entries.schema["val"].dataType.simpleString()
-    n = b.n_cols
+    kind = np.dtype({"double": "f8", "float": "f4", "int": "i4"}.get(value, "i8"))
+    bands, chunks = _tiling(a, b, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    high, wide_ = BLOCK * -(-a.n_rows // (BLOCK * bands)), BLOCK * -(-a.n_cols // (BLOCK * chunks))
+    at = lambda x, parts: F.expr(f"({x} div {BLOCK}) div {parts} * {BLOCK} + {x} % {BLOCK}").cast("int")
+    part = lambda x, parts: F.expr(f"({x} div {BLOCK}) % {parts}")
     number = to_half(F.col("val")) if half else F.col("val")
-    cells = F.struct(F.expr(f"CAST((row % {BLOCK}) * {BLOCK} + col % {BLOCK} AS INT)").alias("at"), number.alias("v"))
-    blocks = a.entries.groupBy(F.expr(f"row div {BLOCK}").alias("br"), F.expr(f"col div {BLOCK}").alias("bc")).agg(F.collect_list(cells).alias("cells"))
-    strips = b.rows.groupBy(F.expr(f"k div {BLOCK}").alias("bc")).agg(
-        F.collect_list(F.struct(F.expr(f"CAST(k % {BLOCK} AS INT)").alias("at"), "b")).alias("strip")
-    )
-    joined = blocks.join(_small(strips, b), "bc").select("br", F.col("cells.at").alias("place"), F.col("cells.v").alias("v"), F.col("strip.at").alias("at"), F.col("strip.b").alias("b"))
-
-    def spread(batch, name):
-        """Which row of the batch each element of a list column is in."""
-        return np.repeat(np.arange(batch.num_rows), batch.column(name).value_lengths().to_numpy())
+    # An empty array: nulls of a list column cost Arrow several times as much as all else.
+    empty = F.slice(F.array(F.lit(0).cast(value)), 1, 0)
+    # Places in a tile: ``r`` its row, -1 for a dense row; ``k`` its inner position.
+    left = a.entries.select(part("row", bands).alias("band"), part("col", chunks).alias("chunk"), at("row", bands).alias("r"), at("col", chunks).alias("k"), number.cast(value).alias("v"), empty.alias("b"))
+    each = F.explode(F.expr(f"sequence(0L, {bands - 1}L)")).alias("band")
+    right = b.rows.select(each, part("k", chunks).alias("chunk"), F.lit(-1).alias("r"), at("k", chunks).alias("k"), F.lit(0).cast(value).alias("v"), F.col("b").cast(f"array<{value}>").alias("b"))
+    tile = F.col("band") * chunks + F.col("chunk")
+    tasks = min(bands * chunks, MOST_TASKS)
+    dealt = left.union(right.where(F.col("k") < wide_)).select(tile.alias("tile"), "r", "k", "v", "b")
+    dealt = dealt.repartitionById(tasks, F.pmod("tile", F.lit(tasks)).cast("int"))
+    # Dense rows first, then blocks column by column.
+    dealt = dealt.sortWithinPartitions("tile", F.col("r") >= 0, F.expr(f"k div {BLOCK}"), "r")
 
     def multiply(batches):
+        now, dense, reach, total, held = None, None, None, None, None
+
+        def sums():
+            rows = np.flatnonzero(held)
+            band = now // chunks
+            number = (rows // BLOCK * bands + band) * BLOCK + rows % BLOCK
+            for i in range(0, rows.size, 4096):
+                some = rows[i : i + 4096]
+                cells = total[some][np.arange(n) < held[some, None] - 1]
+                offsets = np.concatenate([[0], np.cumsum(held[some] - 1)]).astype(np.int32)
+                yield pa.record_batch([pa.array(number[i : i + 4096]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(cells))], names=["row", "b"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column("v").flatten().to_numpy(zero_copy_only=False)
-            left, stored = np.zeros((batch.num_rows, BLOCK * BLOCK), v.dtype), np.zeros((batch.num_rows, BLOCK * BLOCK), bool)
-            place = batch.column("place").flatten().to_numpy()
-            left[spread(batch, "place"), place] = v
-            stored[spread(batch, "place"), place] = True
-            right = np.zeros((batch.num_rows, BLOCK, n), v.dtype)
-            right[spread(batch, "at"), batch.column("at").flatten().to_numpy()] = batch.column("b").flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
-            product = left.reshape(-1, BLOCK, BLOCK) @ right
-            br, back = np.unique(batch.column("br").to_numpy(), return_inverse=True)
-            total, held = np.zeros((br.size, BLOCK, n), product.dtype), np.zeros((br.size, BLOCK), bool)
-            np.add.at(total, back, product)
-            np.logical_or.at(held, back, stored.reshape(-1, BLOCK, BLOCK).any(2))
-            row = np.repeat((br[:, None] * BLOCK + np.arange(BLOCK))[held], n)
-            yield pa.record_batch([pa.array(row), pa.array(np.tile(np.arange(n, dtype=np.int32), int(held.sum()))), pa.array(total[held].ravel())], names=["row", "j", "c"])
+            tiles = batch.column("tile").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(tiles)) + 1).tolist(), tiles.size]
+            for start, stop in zip(edges, edges[1:]):
+                if stop == start:
+                    continue
+                if tiles[start] != now:
+                    if now is not None:
+                        yield from sums()
+                    now = int(tiles[start])
+                    dense, reach = np.zeros((wide_, n), kind), np.zeros(wide_, np.int32)
+                    total, held = np.zeros((high, n), kind), np.zeros(high, np.int32)  # held: 1 + how far a row's sums reach
+                run = batch.slice(start, stop - start)
+                r, k = run.column("r").to_numpy(), run.column("k").to_numpy()
+                n_dense = int(np.searchsorted(r >= 0, True))
+                if n_dense:
+                    lists = run.column("b").slice(0, n_dense)
+                    size = lists.value_lengths().fill_null(0).to_numpy()
+                    cell = np.repeat(k[:n_dense], size), np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+                    dense[cell] = lists.flatten().fill_null(0).to_numpy(zero_copy_only=False)
+                    reach[k[:n_dense]] = size + 1
+                r, k, v = r[n_dense:], k[n_dense:], run.column("v").slice(n_dense).fill_null(0).to_numpy(zero_copy_only=False)
+                known = reach[k] > 0
+                r, k, v = r[known], k[known], v[known]
+                if not r.size:
+                    continue
+                np.maximum.at(held, r, reach[k])
+                # Rows of blocks: entries of one row and one block column lie side by side.
+                column = k // BLOCK
+                first = np.flatnonzero(np.concatenate([[True], (np.diff(column) != 0) | (np.diff(r) != 0)]))
+                rows = np.zeros((first.size, BLOCK), kind)
+                rows[np.repeat(np.arange(first.size), np.diff(np.append(first, r.size))), k % BLOCK] = v
+                strip = column[first]
+                bounds = np.flatnonzero(np.concatenate([[True], np.diff(strip) != 0, [True]]))
+                for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    c = int(strip[i]) * BLOCK
+                    total[r[first[i:j]]] += rows[i:j] @ dense[c : c + BLOCK]
+        if now is not None:
+            yield from sums()
 
     from lacewing.ship import ship
 
-    ship(blocks.sparkSession)
-    parts = joined.mapInArrow(multiply, f"row long, j int, c {value}")
-    return parts.groupBy("row", "j").agg(F.sum("c").alias("c"))
+    ship(spark)
+    parts = dealt.mapInArrow(multiply, f"row long, b array<{value}>")
+    return _sums(parts.withColumn("val", F.lit(1).cast(value)), n) if n else long(a, b)
 
 
 def device_count(spark) -> int:

@@ -61,12 +61,14 @@ def _sums(joined: DataFrame, n: int, keys=("row",), tile: int = 64) -> DataFrame
 
 
 def long(a: SparseMatrix, b: DenseMatrix) -> DataFrame:
-    """Joins single elements while the dense side is broadcast: the plainest plan. Beyond that an element
-    would be shuffled with both its keys, so whole rows are joined, as ``packed`` does."""
-    if not b.n_cols or b.bytes() <= BROADCAST_BYTES:
-        joined = _by_row(a, b).join(_small(b.long().withColumnRenamed("k", "col"), b), "col")
-        return joined.groupBy("row", "j").agg(F.sum(F.col("val") * F.col("b")).alias("c"))
-    return packed(a, b)
+    """Makes a row of each element of a joined dense row while the dense side is broadcast: the plainest plan.
+    Dense rows are broadcast whole, since a row for each element takes several times the stated size.
+    Beyond that size an element would be shuffled with both its keys, so it is as ``packed``."""
+    if b.n_cols and b.bytes() > BROADCAST_BYTES:
+        return packed(a, b)
+    joined = _by_row(a, b).join(_small(b.rows.withColumnRenamed("k", "col"), b), "col")
+    elements = joined.select("row", "val", F.posexplode("b").alias("j", "x"))
+    return elements.groupBy("row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("c"))
 
 
 def packed(a: SparseMatrix, b: DenseMatrix) -> DataFrame:

@@ -51,6 +51,12 @@ def test_long_beyond_the_broadcast_joins_rows(sides, monkeypatch):
     assert sorted(map(tuple, multiply.long(a, b).collect())) == want
 
 
+def test_long_broadcasts_dense_rows_whole(sides):
+    """A row for each element takes several times the size that the limit counts."""
+    text = plan(multiply.long(*sides))
+    assert text.count("posexplode") == 1 and text.index("posexplode") < text.index("BroadcastHashJoin")
+
+
 def test_rows_of_unequal_length_make_the_cells_they_reach(spark):
     a = SparseMatrix.from_entries(spark.createDataFrame([(0, 0, 2), (1, 1, 3), (2, 2, 5), (3, 7, 1)], "row long, col long, val long"), 4, 8)
     b = DenseMatrix(spark.createDataFrame([(0, [1, 2, 3]), (1, [4]), (2, [])], "k long, b array<bigint>"), 8, 3)

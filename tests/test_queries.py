@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lacewing.plans.stored import free_all, held
@@ -50,6 +51,13 @@ def test_same_rows(spark, sf_dir, db, name):
     assert got == want
 
 
+def test_batches_add_up_to_the_whole_product(spark, sf_dir):
+    """Over all columns of the dense side."""
+    batches = QUERIES["spmm_batched"](spark, sf_dir).groupBy("row", "j").agg(F.sum("c").alias("c"))
+    whole = QUERIES["spmm_packed"](spark, sf_dir)
+    assert whole.exceptAll(batches).count() == 0 and batches.count() == whole.count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

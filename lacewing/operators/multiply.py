@@ -219,12 +219,12 @@ def entry_sharded(a: SparseMatrix, b: DenseMatrix, n_shards: int) -> DataFrame:
     return _sums(joined, b.n_cols)
 
 
-def heavy_columns(a: SparseMatrix, share: int) -> DataFrame:
-    """(col): the columns that hold more than a ``share``-th of the entries, at most ``share`` of
-    them. One pass with a sketch of frequent items, which tasks merge; its size depends on
+def heavy_columns(a: SparseMatrix, share: int, most: int | None = None) -> DataFrame:
+    """(col): the columns that hold more than a ``share``-th of the entries, the ``most`` largest of
+    them at most. One pass with a sketch of frequent items, which tasks merge; its size depends on
     ``share`` alone. The sketch may rate a column too high, so one near the limit may come or
     stay away; products are right with any columns."""
-    sketch = a.entries.agg(F.expr(f"approx_top_k(col, {share}, {16 * share})").alias("top"), F.count("*").alias("n"))
+    sketch = a.entries.agg(F.expr(f"approx_top_k(col, {min(share, most or share)}, {16 * share})").alias("top"), F.count("*").alias("n"))
     return sketch.select("n", F.inline("top")).where(F.col("count") * share > F.col("n")).select(F.col("item").alias("col"))
 
 
@@ -235,10 +235,11 @@ def skewed(a: SparseMatrix, b: DenseMatrix, limit: int = BROADCAST_BYTES, share:
     shuffle partition; there are as many at most as fit the limit."""
     spark = a.entries.sparkSession
     row_bytes = 8 * max(1, b.n_cols)
-    share = min(share or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), limit // row_bytes, 60_000)
-    if share < 1:
+    share = min(share or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 60_000)
+    # The limit bounds how many columns are near, not how much a heavy one has to hold.
+    if limit < row_bytes:
         return shuffled(a, b)
-    heavy = heavy_columns(a, share)
+    heavy = heavy_columns(a, share, limit // row_bytes)
     rows = b.rows.withColumnRenamed("k", "col")
     there = rows.join(F.broadcast(heavy), "col", "left_semi").withColumnRenamed("b", "near")
     # A heavy column without a dense row stays near too: it adds nothing.

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lacewing.operators import multiply
 from lacewing.plans.stored import free_all, held
-from lacewing.queries import ORACLE, QUERIES
+from lacewing.queries import ORACLE, QUERIES, dense, heavy_matrix
 
 
 def plain(v):
@@ -58,6 +59,12 @@ def test_batches_add_up_to_the_whole_product(spark, sf_dir):
     assert whole.exceptAll(batches).count() == 0 and batches.count() == whole.count()
 
 
+def test_heavy_columns_are_multiplied_by_the_whole_dense_side(spark, sf_dir):
+    got = QUERIES["spmm_heavy_columns"](spark, sf_dir)
+    want = multiply.shuffled(heavy_matrix(spark, sf_dir), dense(spark, sf_dir)).select("row", "j", "c")
+    assert want.exceptAll(got).count() == 0 and got.count() == want.count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())

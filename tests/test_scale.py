@@ -67,6 +67,14 @@ def test_no_task_of_the_join_holds_the_heavy_column(spark, heavy):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_a_small_limit_does_not_hide_a_heavy_column(spark, heavy, monkeypatch):
+    """Half of all entries is much, also where two dense rows fit the limit."""
+    found, real = [], multiply.heavy_columns
+    monkeypatch.setattr(multiply, "heavy_columns", lambda *x: found.append(real(*x)) or found[-1])
+    multiply.skewed(heavy, generate.dense(spark, 3100, 2), 2 * 8 * 2)
+    assert [r["col"] for r in found[0].collect()] == [7]
+
+
 def test_a_heavy_column_without_a_dense_row_adds_nothing(spark, heavy):
     b = DenseMatrix(generate.dense(spark, 3100, 2).rows.where("k <> 7"), 3100, 2)
     got = multiply.skewed(heavy, b, 2 * 8 * 32)

@@ -224,18 +224,20 @@ def heavy_columns(a: SparseMatrix, share: int, most: int | None = None) -> DataF
     them at most. One pass with a sketch of frequent items, which tasks merge; its size depends on
     ``share`` alone. The sketch may rate a column too high, so one near the limit may come or
     stay away; products are right with any columns."""
-    sketch = a.entries.agg(F.expr(f"approx_top_k(col, {min(share, most or share)}, {16 * share})").alias("top"), F.count("*").alias("n"))
+    sketch = a.entries.where("col IS NOT NULL").agg(F.expr(f"approx_top_k(col, {min(share, most or share)}, {16 * share})").alias("top"), F.count("*").alias("n"))
     return sketch.select("n", F.inline("top")).where(F.col("count") * share > F.col("n")).select(F.col("item").alias("col"))
 
 
 def skewed(a: SparseMatrix, b: DenseMatrix, limit: int = BROADCAST_BYTES, share: int | None = None) -> DataFrame:
-    """For a dense side over the broadcast limit and columns that hold much of the entries: the
-    dense rows of heavy columns are broadcast to where the entries are, and only the others'
-    entries are shuffled to their rows. A column counts as heavy above a quarter of a mean
-    shuffle partition; there are as many at most as fit the limit."""
+    """For a dense side over the broadcast limit and columns that hold much of the entries: entries stay where
+    they are dealt by row. The dense rows of heavy columns are broadcast to them; any other goes once
+    to each part that has entries of its column, so neither it nor a sum travels with every entry.
+    A column counts as heavy above a quarter of a mean shuffle partition; there are as many at most
+    as fit the limit."""
     spark = a.entries.sparkSession
     row_bytes = 8 * max(1, b.n_cols)
-    share = min(share or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 60_000)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = min(share or 4 * parts, 60_000)
     # The limit bounds how many columns are near, not how much a heavy one has to hold.
     if limit < row_bytes:
         return shuffled(a, b)
@@ -243,12 +245,17 @@ def skewed(a: SparseMatrix, b: DenseMatrix, limit: int = BROADCAST_BYTES, share:
     rows = b.rows.withColumnRenamed("k", "col")
     there = rows.join(F.broadcast(heavy), "col", "left_semi").withColumnRenamed("b", "near")
     # A heavy column without a dense row stays near too: it adds nothing.
-    near = heavy.join(F.broadcast(there), "col", "left").withColumn("heavy", F.lit(True))
-    split = _dealt(a.entries, "row").join(F.broadcast(near), "col", "left")
-    far = _dealt(split.where("heavy IS NULL").select("row", "col", "val"), "col")
-    far = far.join(_dealt(rows, "col").hint("merge"), "col").select("row", "val", "b")
-    both = split.where("heavy").select("row", "val", F.col("near").alias("b")).union(far)
-    return _sums(both, b.n_cols)
+    marked = heavy.withColumn("heavy", F.lit(True))
+    near = marked.join(F.broadcast(there), "col", "left")
+    placed = a.entries.withColumn("part", F.coalesce(F.pmod(F.hash("row"), F.lit(parts)), F.lit(0)))
+    # No anti-join: it would be pushed below the sum of duplicates, which the sketch reads too.
+    others = placed.join(F.broadcast(marked), "col", "left").where("heavy IS NULL")
+    wanted = _dealt(others.select("part", "col"), "col").distinct()
+    sent = wanted.join(_dealt(rows, "col").hint("merge"), "col").select("part", F.col("col").alias("far"), "b")
+    split = placed.repartitionById(parts, "part").join(F.broadcast(near), "col", "left")
+    split = split.select("part", "row", "val", "near", F.when(F.col("heavy").isNull(), F.col("col")).alias("far"))
+    both = split.join(sent.repartitionById(parts, "part").hint("merge"), ["part", "far"], "left")
+    return _sums(both.select("part", "row", "val", F.coalesce("near", "b").alias("b")), b.n_cols, ("part", "row")).drop("part")
 
 
 def shuffled(a: SparseMatrix, b: DenseMatrix) -> DataFrame:

@@ -30,6 +30,12 @@ def test_sums_of_a_broadcast_product_are_not_shuffled(sides, name):
     assert "Exchange" not in text[: text.index("BroadcastHashJoin")]
 
 
+def test_sums_with_heavy_columns_are_not_shuffled(sides):
+    """Dense rows go to the parts of rows, so nothing is dealt anew after the join."""
+    text = plan(multiply.skewed(*sides, limit=8 * 20))
+    assert "Exchange" not in text[: text.index("SortMergeJoin")]
+
+
 @pytest.mark.parametrize("name", ["memopt", "unified", "skewed", "grid", "balanced", "multigpu"])
 def test_no_element_is_a_row_before_the_sums(spark, sides, name):
     text = plan(multiply.STRATEGIES[name](*sides))

@@ -67,6 +67,14 @@ def test_no_task_of_the_join_holds_the_heavy_column(spark, heavy):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_entries_without_a_column_add_nothing_beside_heavy_columns(spark, heavy):
+    b = generate.dense(spark, 3100, 2)
+    none = spark.createDataFrame([(3, None, 5), (20_000, None, 1), (20_000, 3099, None), (20_001, 5000, 2)], "row long, col long, val long")
+    odd = SparseMatrix(heavy.entries.union(none), 20_002, 3100)
+    got, want = multiply.skewed(odd, b, 2 * 8 * 2), multiply.shuffled(odd, b)
+    assert want.exceptAll(got).count() == 0 and got.count() == want.count() == 2 * 20_001
+
+
 def test_a_small_limit_does_not_hide_a_heavy_column(spark, heavy, monkeypatch):
     """Half of all entries is much, also where two dense rows fit the limit."""
     found, real = [], multiply.heavy_columns
